@@ -1,0 +1,92 @@
+"""Numbering the batches of an ordered change feed.
+
+A batch is a run of one operation, cut every ``WRITE_BATCH_SIZE`` rows. Batch
+numbers depend on everything that came before, which a single global window
+would compute in one task. Instead the feed is range-partitioned by sequence
+number, numbered inside each range, and shifted by the totals of the ranges
+before it: one small row per range.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from recordloom.constants import WRITE_BATCH_SIZE
+from recordloom.session import shared_dir
+
+BATCH = "sys_batch"
+
+
+def _ranges(feed: DataFrame) -> int:
+    return int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def number_batches(
+    feed: DataFrame,
+    seq: str,
+    operation: str,
+    size: int = WRITE_BATCH_SIZE,
+    ranges: int | None = None,
+) -> DataFrame:
+    """``feed`` with the identity of each row's batch in ``sys_batch``.
+
+    ``seq`` must be unique. The identity is the pair (run, cut), runs being
+    counted from 0 in sequence order.
+    """
+    shared_dir(feed.sparkSession)
+    # range bounds come from sampling, which a recomputed stage might repeat with
+    # another outcome; the checkpoint fixes them
+    ranged = (
+        feed.repartitionByRange(ranges or _ranges(feed), seq)
+        .withColumn("sys_range", F.spark_partition_id())
+        .checkpoint()
+    )
+    local = Window.partitionBy("sys_range").orderBy(seq)
+    changed = (F.col(operation) != F.lag(operation).over(local)).cast("long")
+    rows = ranged.withColumn("sys_change", F.coalesce(changed, F.lit(0)))
+    rows = rows.withColumn("sys_run", F.sum("sys_change").over(local))
+    in_run = Window.partitionBy("sys_range", "sys_run").orderBy(seq)
+    rows = rows.withColumn("sys_row", F.row_number().over(in_run).cast("long"))
+
+    # one row per range: how many runs it has, how it starts and how it ends
+    ends = rows.groupBy("sys_range").agg(
+        F.max("sys_run").alias("last_run"),
+        F.min_by(operation, seq).alias("first_op"),
+        F.max_by(operation, seq).alias("last_op"),
+        F.max_by("sys_row", seq).alias("tail"),
+    )
+    # the ranges are few and fixed in number, so one task may walk them
+    walk = Window.orderBy("sys_range")
+    joins_up = F.coalesce(F.lag("last_op").over(walk) == F.col("first_op"), F.lit(False))
+    ends = ends.withColumn("joins", joins_up)
+    starts = F.col("last_run") + F.when(F.col("joins"), 0).otherwise(1)
+    ends = ends.withColumn("run_base", F.sum(starts).over(walk) - F.col("last_run") - 1)
+    # rows of the run a range continues: the tails since that run began
+    whole = (F.col("last_run") == 0) & F.col("joins")
+    stretch = F.sum(F.when(whole, 0).otherwise(1)).over(walk)
+    ends = ends.withColumn("stretch", stretch)
+    carried = F.sum("tail").over(Window.partitionBy("stretch").orderBy("sys_range"))
+    ends = ends.withColumn("open_rows", carried)
+    ends = ends.withColumn("row_base", F.lag("open_rows", 1, 0).over(walk))
+    shifts = ends.select(
+        F.col("sys_range").alias("shift_range"),
+        "run_base",
+        F.when(F.col("joins"), F.col("row_base")).otherwise(0).alias("row_base"),
+    )
+    placed = rows.join(F.broadcast(shifts), F.col("sys_range") == F.col("shift_range"))
+    run = F.col("sys_run") + F.col("run_base")
+    row = F.col("sys_row") + F.when(F.col("sys_run") == 0, F.col("row_base")).otherwise(0)
+    batch = F.struct(run.alias("run"), _cut(run, row, size).alias("cut"))
+    helpers = ("sys_range", "sys_change", "sys_run", "sys_row", "shift_range", "run_base", "row_base")
+    return placed.withColumn(BATCH, batch).drop(*helpers)
+
+
+def _cut(run: Column, row: Column, size: int) -> Column:
+    """Which cut of its run a row is in.
+
+    The first batch of every run but the first starts with the row that ended the
+    batch before, which is not counted against the size.
+    """
+    free = F.when(run > 0, 1).otherwise(0)
+    return F.floor(F.greatest(row - 1 - free, F.lit(0)) / size).cast("long")
