@@ -7,102 +7,129 @@ their element types agree on.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from recordloom.constants import RELATION_SCHEME
 from recordloom.functions import recognise as R
-from recordloom.functions.relation import is_relation
+from recordloom.functions.sqltext import apply, let, literal
 
-_NUMERIC_VARIANT = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
-_NESTED_VARIANT = r"^(OBJECT|ARRAY)"
+_NUMERIC_SHAPE = literal(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
 
 
-def text_type(c: Column) -> Column:
-    """Type of a value known to be text: a JSON string or a quoted cell."""
-    return (
-        F.when(c.isNull(), "NULL")
-        .when(is_relation(c), "RELATION")
-        .when(R.is_date(c), "DATE")
-        .when(R.is_date_time(c), "DATE_TIME")
-        .when(R.is_boolean(c), "BOOLEAN")
-        .when(R.is_json_object(c), "JSON")
-        .when(R.is_file(c), "FILE")
-        .otherwise("STRING")
-    )
+def text_rule(x: str) -> str:
+    return f"""CASE
+        WHEN {x} IS NULL THEN 'NULL'
+        WHEN startswith({x}, {literal(RELATION_SCHEME)}) THEN 'RELATION'
+        WHEN {R.date_rule(x)} THEN 'DATE'
+        WHEN {R.date_time_rule(x)} THEN 'DATE_TIME'
+        WHEN {R.boolean_rule(x)} THEN 'BOOLEAN'
+        WHEN {R.json_object_rule(x)} THEN 'JSON'
+        WHEN {R.file_rule(x)} THEN 'FILE'
+        ELSE 'STRING' END"""
 
 
-def element_type(v: Column) -> Column:
-    """Type of one variant array element."""
-    shape = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (shape == "VOID"), "NULL")
-        .when(shape.rlike(_NUMERIC_VARIANT), "NUMBER")
-        .when(shape == "BOOLEAN", "BOOLEAN")
-        .when(shape.rlike(_NESTED_VARIANT), "NESTED")
-        .otherwise(text_type(F.variant_get(v, "$", "string")))
-    )
+def _shape_rule(value: str, shape: str, array: str, obj: str) -> str:
+    """Type of a variant of known shape; for arrays and objects as given."""
+    text = let(f"variant_get({value}, '$', 'string')", "txt", text_rule("txt"))
+    return f"""CASE
+        WHEN {value} IS NULL OR {shape} = 'VOID' THEN 'NULL'
+        WHEN {shape} RLIKE {_NUMERIC_SHAPE} THEN 'NUMBER'
+        WHEN {shape} = 'BOOLEAN' THEN 'BOOLEAN'
+        WHEN startswith({shape}, 'ARRAY') THEN {array}
+        WHEN startswith({shape}, 'OBJECT') THEN {obj}
+        ELSE {text} END"""
+
 
+def element_rule(v: str) -> str:
+    """Type of one variant array element; ``NESTED`` for arrays and objects."""
+    shaped = _shape_rule(v, "elem_shape", "'NESTED'", "'NESTED'")
+    return let(f"schema_of_variant({v})", "elem_shape", shaped)
 
-def agreed_array_type(element_types: Column) -> Column:
+
+def agreed_array_rule(types: str) -> str:
     """Array type for the element type names, given in element order.
 
     Nulls yield to any type. Dates followed by date-times widen to date-times;
     any other mixture is an array of strings. Nested elements make it JSON.
     """
-    distinct = F.array_remove(F.array_distinct(element_types), "NULL")
-    return (
-        F.when(F.size(element_types) == 0, "EMPTY_ARRAY")
-        .when(F.array_contains(element_types, "NESTED"), "ARRAY_OF_JSON")
-        .when(F.size(distinct) == 0, "ARRAY_OF_STRING")
-        .when(F.size(distinct) == 1, F.concat(F.lit("ARRAY_OF_"), F.get(distinct, 0)))
-        .when(distinct == F.array(F.lit("DATE"), F.lit("DATE_TIME")), "ARRAY_OF_DATE_TIME")
-        .otherwise("ARRAY_OF_STRING")
-    )
+    decided = f"""CASE
+        WHEN size({types}) = 0 THEN 'EMPTY_ARRAY'
+        WHEN array_contains({types}, 'NESTED') THEN 'ARRAY_OF_JSON'
+        WHEN size(kinds) = 0 THEN 'ARRAY_OF_STRING'
+        WHEN size(kinds) = 1 THEN concat('ARRAY_OF_', get(kinds, 0))
+        WHEN kinds = array('DATE', 'DATE_TIME') THEN 'ARRAY_OF_DATE_TIME'
+        ELSE 'ARRAY_OF_STRING' END"""
+    return let(f"array_remove(array_distinct({types}), 'NULL')", "kinds", decided)
 
 
-def array_type(v: Column) -> Column:
-    """Type of a variant that holds an array."""
-    return agreed_array_type(F.transform(F.variant_get(v, "$", "array<variant>"), element_type))
+def array_rule(v: str) -> str:
+    elements = f"transform(variant_get({v}, '$', 'array<variant>'), elem -> {element_rule('elem')})"
+    return let(elements, "elem_types", agreed_array_rule("elem_types"))
 
 
-def json_type(v: Column) -> Column:
-    """Type of a value that came as JSON, given as a variant."""
-    shape = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (shape == "VOID"), "NULL")
-        .when(shape.rlike(_NUMERIC_VARIANT), "NUMBER")
-        .when(shape == "BOOLEAN", "BOOLEAN")
-        .when(shape.startswith("ARRAY"), array_type(v))
-        .when(shape.startswith("OBJECT"), "JSON")
-        .otherwise(text_type(F.variant_get(v, "$", "string")))
-    )
+def json_rule(v: str) -> str:
+    shaped = _shape_rule("val", "shape", array_rule("val"), "'JSON'")
+    return let(v, "val", let("schema_of_variant(val)", "shape", shaped))
 
 
-def tsv_array(c: Column) -> Column:
+def tsv_array_rule(x: str) -> str:
     """Variant array held by a TSV cell, null where the cell holds none.
 
     A cell that only parses in lower case counts if all its elements are booleans.
     """
-    text = R.straighten_quotes(c)
-    looks = F.ltrim(text).startswith("[")
-    exact = F.try_parse_json(F.when(looks, text))
-    lowered = F.try_parse_json(F.when(looks, F.lower(text)))
-    shapes = F.transform(F.variant_get(lowered, "$", "array<variant>"), F.schema_of_variant)
-    return F.coalesce(exact, F.when(F.forall(shapes, lambda s: s == "BOOLEAN"), lowered))
+    text = R.straighten_rule(x)
+    shapes = "transform(variant_get(low, '$', 'array<variant>'), e -> schema_of_variant(e))"
+    lowered = let(
+        f"try_parse_json(lower({text}))",
+        "low",
+        f"CASE WHEN forall({shapes}, s -> s = 'BOOLEAN') THEN low END",
+    )
+    return f"""CASE WHEN startswith(ltrim({x}), '[') THEN coalesce(try_parse_json({text}), {lowered}) END"""
 
 
-def is_quoted(c: Column) -> Column:
-    return (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
+def tsv_rule(x: str) -> str:
+    quoted = let(f"substr({x}, 2, length({x}) - 2)", "inside", text_rule("inside"))
+    listed = let(
+        tsv_array_rule(x),
+        "arr",
+        f"CASE WHEN arr IS NOT NULL THEN {array_rule('arr')} ELSE 'STRING' END",
+    )
+    return f"""CASE
+        WHEN {x} IS NULL OR {x} = '' THEN 'NULL'
+        WHEN {quoted_rule(x)} THEN {quoted}
+        WHEN {R.boolean_rule(x)} THEN 'BOOLEAN'
+        WHEN {R.number_rule(x)} THEN 'NUMBER'
+        WHEN {R.json_object_rule(x)} THEN 'JSON'
+        WHEN startswith(ltrim({x}), '[') THEN {listed}
+        ELSE {text_rule(x)} END"""
 
 
-def tsv_type(c: Column) -> Column:
+def quoted_rule(x: str) -> str:
+    return f"""(startswith({x}, '"') AND endswith({x}, '"') AND length({x}) >= 2)"""
+
+
+def text_type(c: str | Column) -> Column:
+    """Type of a value known to be text: a JSON string or a quoted cell."""
+    return apply(text_rule, c)
+
+
+def array_type(c: str | Column) -> Column:
+    """Type of a variant that holds an array."""
+    return apply(array_rule, c)
+
+
+def json_type(c: str | Column) -> Column:
+    """Type of a value that came as JSON, given as a variant."""
+    return apply(json_rule, c)
+
+
+def tsv_type(c: str | Column) -> Column:
     """Type of a TSV cell."""
-    array = tsv_array(c)
-    return (
-        F.when(c.isNull() | (c == ""), "NULL")
-        .when(is_quoted(c), text_type(F.substr(c, F.lit(2), F.length(c) - 2)))
-        .when(R.is_boolean(c), "BOOLEAN")
-        .when(R.is_number(c), "NUMBER")
-        .when(R.is_json_object(c), "JSON")
-        .when(array.isNotNull(), array_type(array))
-        .otherwise(text_type(c))
-    )
+    return apply(tsv_rule, c)
+
+
+def tsv_array(c: str | Column) -> Column:
+    return apply(tsv_array_rule, c)
+
+
+def is_quoted(c: str | Column) -> Column:
+    return apply(quoted_rule, c)

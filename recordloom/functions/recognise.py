@@ -1,6 +1,7 @@
 """Recognisers: does this text spell a value of some type?
 
-Each takes and returns a column and is null only where its input is.
+Each exists as a rule over SQL text (``*_rule``), for use inside larger rules, and
+as a function of a column name or column. They are null only where the text is.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordloom.functions.sqltext import apply, literal
+
 # The accepted spellings, as patterns.
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DATE_PATTERN = r"^(\d{4}|-\d{4}|[+-]\d{5,7})-\d{2}-\d{2}$"
@@ -24,40 +27,69 @@ BLOB_PATTERN = (
 )
 
 
-def is_boolean(c: Column) -> Column:
-    return F.lower(c).isin("true", "false")
+def boolean_rule(x: str) -> str:
+    return f"lower({x}) IN ('true', 'false')"
 
 
-def is_number(c: Column) -> Column:
-    return c.rlike(NUMBER_PATTERN)
+def number_rule(x: str) -> str:
+    return f"{x} RLIKE {literal(NUMBER_PATTERN)}"
 
 
-def is_date(c: Column) -> Column:
-    """Strict ISO date that exists in the calendar."""
-    return c.rlike(DATE_PATTERN) & c.try_cast("date").isNotNull()
+def date_rule(x: str) -> str:
+    return f"({x} RLIKE {literal(DATE_PATTERN)} AND try_cast({x} AS DATE) IS NOT NULL)"
 
 
-def is_date_time(c: Column) -> Column:
-    """Strict ISO local date-time, seconds and fraction optional."""
-    return c.rlike(DATE_TIME_PATTERN) & date_time(c).isNotNull()
+def date_time_value_rule(x: str) -> str:
+    return f"try_cast(translate({x}, 't', 'T') AS TIMESTAMP_NTZ)"
 
 
-def date_time(c: Column) -> Column:
-    """Local date-time of ISO text, null where the text is none."""
-    return F.translate(c, "t", "T").try_cast("timestamp_ntz")
+def date_time_rule(x: str) -> str:
+    return f"({x} RLIKE {literal(DATE_TIME_PATTERN)} AND {date_time_value_rule(x)} IS NOT NULL)"
 
 
-def is_json_object(c: Column) -> Column:
+def json_object_rule(x: str) -> str:
     # the prefix test spares the parser for the many cells that cannot be objects
-    return F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull()
+    return f"(startswith(ltrim({x}), '{{') AND try_parse_json({x}) IS NOT NULL)"
+
+
+def file_rule(x: str) -> str:
+    return f"({x} RLIKE {literal(DRS_PATTERN)} OR {x} RLIKE {literal(BLOB_PATTERN)})"
 
 
-def is_json_array(c: Column) -> Column:
-    return F.ltrim(c).startswith("[") & F.try_parse_json(c).isNotNull()
+def straighten_rule(x: str) -> str:
+    """Curly double quotes, as office programs write them, to straight ones."""
+    return f"translate({x}, '“”', '\"\"')"
+
+
+def is_boolean(c: str | Column) -> Column:
+    return apply(boolean_rule, c)
 
 
-def is_file(c: Column) -> Column:
-    return c.rlike(DRS_PATTERN) | c.rlike(BLOB_PATTERN)
+def is_number(c: str | Column) -> Column:
+    return apply(number_rule, c)
+
+
+def is_date(c: str | Column) -> Column:
+    """Strict ISO date that exists in the calendar."""
+    return apply(date_rule, c)
+
+
+def is_date_time(c: str | Column) -> Column:
+    """Strict ISO local date-time, seconds and fraction optional."""
+    return apply(date_time_rule, c)
+
+
+def date_time(c: str | Column) -> Column:
+    """Local date-time of ISO text, null where the text is none."""
+    return apply(date_time_value_rule, c)
+
+
+def is_json_object(c: str | Column) -> Column:
+    return apply(json_object_rule, c)
+
+
+def is_file(c: str | Column) -> Column:
+    return apply(file_rule, c)
 
 
 def is_uuid(c: Column) -> Column:
@@ -65,5 +97,4 @@ def is_uuid(c: Column) -> Column:
 
 
 def straighten_quotes(c: Column) -> Column:
-    """Curly double quotes, as office programs write them, to straight ones."""
     return F.translate(c, "“”", '""')

@@ -82,7 +82,7 @@ def _case(names: dict[str, str]) -> str:
 )
 def tsv_infer(spark, sf):
     cells = tsv_cells(raw(spark, sf, "events"))
-    return cells.select("event_id", *[infer.tsv_type(F.col(n)).alias(n) for n in _TSV_TYPES])
+    return cells.select("event_id", *[infer.tsv_type(n).alias(n) for n in _TSV_TYPES])
 
 
 @query(
@@ -113,8 +113,8 @@ def infer_cell(spark, sf):
 _FOLD = """SELECT '{0}' AS attribute, CASE
     WHEN len(t) = 0 THEN 'NULL' WHEN len(t) = 1 THEN t[1]
     WHEN t = ['DATE', 'DATE_TIME'] AND d < s THEN 'DATE_TIME'
-    WHEN len(list_filter(t, x -> NOT (x LIKE 'ARRAY_OF%' OR x = 'EMPTY_ARRAY'))) > 0 THEN 'STRING'
-    WHEN len(list_filter(t, x -> x <> 'EMPTY_ARRAY')) = 1 THEN list_filter(t, x -> x <> 'EMPTY_ARRAY')[1]
+    WHEN len([x for x in t if NOT (x LIKE 'ARRAY_OF%' OR x = 'EMPTY_ARRAY')]) > 0 THEN 'STRING'
+    WHEN len([x for x in t if x <> 'EMPTY_ARRAY']) = 1 THEN [x for x in t if x <> 'EMPTY_ARRAY'][1]
     ELSE 'ARRAY_OF_STRING' END AS attribute_type
   FROM (SELECT list_sort(list_distinct(list(k) FILTER (k <> 'NULL'))) t, max(event_id) FILTER (k = 'DATE') d,
                min(event_id) FILTER (k = 'DATE_TIME') s
@@ -152,7 +152,7 @@ def infer_column(spark, sf):
         F.col("event_id") == F.col("id"),
     )
     names = [*_TSV_TYPES, "widened", "narrowed", "numbers", "lists", "both"]
-    return infer_columns(cells, {n: infer.tsv_type(F.col(n)) for n in names}, F.col("event_id"))
+    return infer_columns(cells, {n: infer.tsv_type(n) for n in names}, F.col("event_id"))
 
 
 @query(
@@ -198,7 +198,7 @@ _SQL_DATE = r"regexp_full_match(w, '\d{4}-\d{2}-\d{2}') AND TRY_CAST(w AS DATE)
 def recognisers(spark, sf):
     """Every token of every document, counted by what it could be."""
     words = raw(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w"))
-    w = F.col("w")
+    w = "w"
     flags = words.select(
         R.is_boolean(w).alias("boolean"), R.is_number(w).alias("number"), R.is_date(w).alias("date"),
         R.is_date_time(w).alias("date_time"), R.is_file(w).alias("file"),
@@ -282,6 +282,6 @@ def relation_targets_query(spark, sf):
 def type_mismatch(spark, sf):
     cells = tsv_cells(raw(spark, sf, "events"))
     cells = cells.withColumn("event_id", F.col("event_id").cast("string"))
-    kinds = {n: infer.tsv_type(F.col(n)) for n in ("mixed", "listed")}
+    kinds = {n: infer.tsv_type(n) for n in ("mixed", "listed")}
     schema = {"mixed": A.NUMBER, "listed": A.ARRAY_OF_NUMBER}
     return type_mismatches(cells, "event_id", "event", kinds, schema)

@@ -29,6 +29,12 @@ SCALE_CONF = {
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
+# Settings a session can only be started with.
+STATIC_CONF = {
+    # capturing a call site per column operation makes wide plans slow to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings above to an existing session and return it."""
@@ -41,7 +47,7 @@ def build_session(app: str = "recordloom", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SEMANTIC_CONF, **SCALE_CONF, **conf}.items():
+    for key, value in {**SEMANTIC_CONF, **SCALE_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

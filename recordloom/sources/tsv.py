@@ -76,7 +76,7 @@ def bad_keys(cells: DataFrame, key: str) -> DataFrame:
 def infer_tsv(cells: DataFrame, key: str, ordinal: Column | None = None) -> dict[str, A]:
     """Attribute types of the columns; the ordinal defaults to file position."""
     order = F.monotonically_increasing_id() if ordinal is None else ordinal
-    kinds = {c: tsv_type(quoted(c)) for c in cells.columns if c != key and c != ORDINAL}
+    kinds = {c: tsv_type(c) for c in cells.columns if c != key and c != ORDINAL}
     return infer_schema(cells, kinds, order)
 
 
