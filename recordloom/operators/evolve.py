@@ -225,3 +225,8 @@ def collections_of(catalog: DataFrame, workspace_id: str) -> DataFrame:
 def default_collections(catalog: DataFrame) -> DataFrame:
     """Collections that carry their workspace's own id."""
     return catalog.filter(F.col("id") == F.col("workspace_id"))
+
+
+def visible_types(catalog: DataFrame) -> DataFrame:
+    """Rows of a ``record_type`` catalog whose names are not reserved."""
+    return catalog.filter(~F.col("record_type").startswith(RESERVED_PREFIX))

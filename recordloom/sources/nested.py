@@ -42,30 +42,37 @@ def relation_records(rows: DataFrame, record_type: str, targets: Sequence[str])
     picked = rows.filter((quoted(TYPE) == record_type) & (F.size(RELATIONS) > 0))
     columns = []
     for target in targets:
-        same = F.filter(RELATIONS, lambda r, t=target: r["dst_name"] == t)
-        columns.append(F.get(same, F.size(same) - 1)["dst_id"].alias(target))
+        columns.append(_last_of(target).alias(target))
     found = picked.select(ID, *columns)
     given = F.coalesce(*[quoted(t) for t in targets]) if targets else F.lit(None)
     kept = found.filter(given.isNotNull())
     return tag(kept, ID, relations={t: t for t in targets})
 
 
+def _last_of(target: str) -> Column:
+    same = F.filter(RELATIONS, lambda r: r["dst_name"] == target)
+    return F.get(same, F.size(same) - 1)["dst_id"]
+
+
 def relation_uris(df: DataFrame, relations: Mapping[str, str]) -> DataFrame:
     """Columns holding keys, scalar or array, as relation URIs to their target types."""
     out = []
     for f in df.schema.fields:
         c = quoted(f.name)
         if f.name in relations:
-            target = relations[f.name]
-            if isinstance(f.dataType, T.ArrayType):
-                c = F.transform(c, lambda e, t=target: relation_uri(t, e.cast("string")))
-            else:
-                c = relation_uri(target, c.cast("string"))
-            c = c.alias(f.name)
+            is_array = isinstance(f.dataType, T.ArrayType)
+            c = _uris(c, relations[f.name], is_array).alias(f.name)
         out.append(c)
     return tag(df.select(*out), relations=relations)
 
 
+def _uris(c: Column, target: str, is_array: bool) -> Column:
+    def uri(key: Column) -> Column:
+        return relation_uri(target, key.cast("string"))
+
+    return F.transform(c, uri) if is_array else uri(c)
+
+
 # ---- values ----------------------------------------------------------------
 
 

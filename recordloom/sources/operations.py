@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.convert import convert
@@ -59,19 +59,20 @@ def typed_feed(ops: DataFrame, schema: Mapping[str, A]) -> DataFrame:
     """A change feed with one typed column per attribute and the ``given`` names."""
     columns = []
     for name, kind in schema.items():
-        v = F.col("attributes").getItem(name)
-        base = kind.stored.base
-        if kind.is_array:
-            values = F.variant_get(v, "$", "array<variant>")
-            c = F.transform(values, lambda e, b=base: _typed(e, b))
-        else:
-            c = _typed(v, kind.stored)
-        columns.append(c.cast(kind.stored.spark_type).alias(name))
+        value = _typed_value(F.col("attributes").getItem(name), kind.stored)
+        columns.append(value.cast(kind.stored.spark_type).alias(name))
     given = F.map_keys("attributes").alias("given")
     return ops.select("seq", "operation", "record_id", given, *columns)
 
 
-def _typed(v, kind: A):
+def _typed_value(v: Column, kind: A) -> Column:
+    if kind.is_array:
+        values = F.variant_get(v, "$", "array<variant>")
+        return F.transform(values, lambda e: _typed(e, kind.base))
+    return _typed(v, kind)
+
+
+def _typed(v: Column, kind: A) -> Column:
     if kind is A.JSON:
         return F.when(F.schema_of_variant(v) != "VOID", F.to_json(v))
     text = F.variant_get(v, "$", "string")
