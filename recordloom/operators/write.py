@@ -80,7 +80,8 @@ def upsert(
     known = old.select(quoted(key).alias("old_key")).join(
         F.broadcast(new.select("new_key")), F.col("old_key") == F.col("new_key"), "left_semi"
     )
-    fresh = new.join(known, F.col("new_key") == F.col("old_key"), "left_anti")
+    # a key is found at most once, so what is known is no larger than the changes
+    fresh = new.join(F.broadcast(known), F.col("new_key") == F.col("old_key"), "left_anti")
     nulls = [F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
     inserted = fresh.select("*", *nulls).select(*merged(hit))
     return updated.unionByName(inserted)
