@@ -86,7 +86,9 @@ def _cut(run: Column, row: Column, size: int) -> Column:
     """Which cut of its run a row is in.
 
     The first batch of every run but the first starts with the row that ended the
-    batch before, which is not counted against the size.
+    batch before, which is not counted against the size. (Where a run ends exactly
+    with a full batch a reader would count that row after all; that would make each
+    run's cuts depend on the run before, and is not done.)
     """
     free = F.when(run > 0, 1).otherwise(0)
     return F.floor(F.greatest(row - 1 - free, F.lit(0)) / size).cast("long")
