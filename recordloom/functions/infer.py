@@ -12,7 +12,7 @@ from recordloom.constants import RELATION_SCHEME
 from recordloom.functions import recognise as R
 from recordloom.functions.sqltext import apply, let, literal
 
-_NUMERIC_SHAPE = literal(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+_BOOLEAN_LIST = literal(r"^\s*\[\s*(?i:true|false)(\s*,\s*(?i:true|false))*\s*\]")
 
 
 def text_rule(x: str) -> str:
@@ -32,7 +32,7 @@ def _shape_rule(value: str, shape: str, array: str, obj: str) -> str:
     text = let(f"variant_get({value}, '$', 'string')", "txt", text_rule("txt"))
     return f"""CASE
         WHEN {value} IS NULL OR {shape} = 'VOID' THEN 'NULL'
-        WHEN {shape} RLIKE {_NUMERIC_SHAPE} THEN 'NUMBER'
+        WHEN {shape} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({shape}, 'DECIMAL') THEN 'NUMBER'
         WHEN {shape} = 'BOOLEAN' THEN 'BOOLEAN'
         WHEN startswith({shape}, 'ARRAY') THEN {array}
         WHEN startswith({shape}, 'OBJECT') THEN {obj}
@@ -74,16 +74,11 @@ def json_rule(v: str) -> str:
 def tsv_array_rule(x: str) -> str:
     """Variant array held by a TSV cell, null where the cell holds none.
 
-    A cell that only parses in lower case counts if all its elements are booleans.
+    Booleans may be in any case, if the list holds nothing else.
     """
     text = R.straighten_rule(x)
-    shapes = "transform(variant_get(low, '$', 'array<variant>'), e -> schema_of_variant(e))"
-    lowered = let(
-        f"try_parse_json(lower({text}))",
-        "low",
-        f"CASE WHEN forall({shapes}, s -> s = 'BOOLEAN') THEN low END",
-    )
-    return f"""CASE WHEN startswith(ltrim({x}), '[') THEN coalesce(try_parse_json({text}), {lowered}) END"""
+    cased = f"CASE WHEN {x} RLIKE {_BOOLEAN_LIST} THEN lower({x}) ELSE {text} END"
+    return f"CASE WHEN startswith(ltrim({x}), '[') THEN try_parse_json({cased}) END"
 
 
 def tsv_rule(x: str) -> str:

@@ -17,12 +17,12 @@ def is_relation(c: Column) -> Column:
 
 def relation_type(c: Column) -> Column:
     """Target record type of a relation URI; null where the URI is malformed."""
-    return F.nullif(F.regexp_extract(c, _URI, 1), F.lit(""))
+    return F.get(F.regexp_extract_all(c, F.lit(_URI), F.lit(1)), 0)
 
 
 def relation_id(c: Column) -> Column:
     """Target record id of a relation URI; null where the URI is malformed."""
-    return F.nullif(F.regexp_extract(c, _URI, 2), F.lit(""))
+    return F.get(F.regexp_extract_all(c, F.lit(_URI), F.lit(2)), 0)
 
 
 def relation_uri(record_type: Column | str, record_id: Column) -> Column:

@@ -98,22 +98,23 @@ def type_mismatches(
     Rows are ``(record_id, attribute, message)``; cells of the right type, and
     attributes the schema does not know, yield none.
     """
+    checked = [n for n in schema if n in cell_types]
+    # the types are a projection of their own, so that each cell is typed once
+    typed = df.select(
+        quoted(key).alias("record_id"), *[cell_types[n].alias(f"t{i}") for i, n in enumerate(checked)]
+    )
     problems = []
-    for name, expected in schema.items():
-        if name not in cell_types:
-            continue
-        found = cell_types[name]
-        text = F.format_string(
-            f"%s.{name.replace('%', '%%')} is a %s in the request but is defined as "
-            f"{expected.value} in the record type definition for {record_type.replace('%', '%%')}",
-            quoted(key),
+    for i, name in enumerate(checked):
+        expected, found = schema[name].value, F.col(f"t{i}")
+        text = F.concat(
+            F.col("record_id"),
+            F.lit(f".{name} is a "),
             found,
+            F.lit(f" in the request but is defined as {expected} in the record type definition for {record_type}"),
         )
         problem = F.struct(F.lit(name).alias("attribute"), text.alias("message"))
-        problems.append(F.when(found != expected.value, problem))
-    rows = df.select(
-        quoted(key).alias("record_id"), F.explode(F.array_compact(F.array(*problems))).alias("p")
-    )
+        problems.append(F.when(found != expected, problem))
+    rows = typed.select("record_id", F.explode(F.array_compact(F.array(*problems))).alias("p"))
     return rows.select("record_id", "p.*")
 
 
