@@ -203,6 +203,51 @@ def _evaluate(collection, root_type, expressions, roots, no_rows):
     )
 
 
+def evaluate_bounded(
+    collection: Collection,
+    root_type: str,
+    expressions: Mapping[str, object],
+    max_values: int,
+    roots: Sequence[str] | DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``evaluate``, with records whose arrays are too long for one cell set apart.
+
+    Returns the rows of ``evaluate`` for every record none of whose array lookups
+    reaches more than ``max_values`` records, and for the others all values in
+    long form: ``(record_id, path, attribute, target_id, value)``. Together they
+    are whole; no task ever gathers more than ``max_values`` values of a record.
+
+    How many records a root reaches is counted with map-side combining, and at
+    most one in ``max_values`` of the reached records can make a root large.
+    """
+    table = collection[root_type]
+    lookups = lookups_in(list(expressions.values()))
+    has_array = _check(collection, root_type, lookups)
+    large = None
+    for path in sorted(p for p, array in has_array.items() if array):
+        reached, _ = _follow(collection, root_type, path, roots)
+        counts = reached.groupBy(F.col(ROOT_COLUMN).alias(RECORD_ID)).agg(F.count(F.lit(1)).alias("n"))
+        found = counts.filter(F.col("n") > max_values).select(RECORD_ID)
+        large = found if large is None else large.unionByName(found)
+    if large is None:
+        large = table.df.select(quoted(table.primary_key).alias(RECORD_ID)).limit(0)
+    large = large.distinct()
+    df = table.df if roots is None else filter_ids(table, roots)
+    big = large.select(F.col(RECORD_ID).alias("sys_big"))
+    small = df.join(big, quoted(table.primary_key) == F.col("sys_big"), "left_anti")
+    small = small.select(quoted(table.primary_key).alias(RECORD_ID))
+    shaped = evaluate(collection, root_type, expressions, small)
+    long = None
+    for lookup in sorted(lookups, key=lambda lk: (lk.path, lk.attribute)):
+        rows = lookup_rows(collection, root_type, lookup.path, [lookup.attribute], large)
+        rows = rows.select(
+            RECORD_ID, F.lit(".".join(lookup.path)).alias("path"), F.lit(lookup.attribute).alias("attribute"),
+            "target_id", quoted(lookup.attribute).alias("value"),
+        )
+        long = rows if long is None else long.unionByName(rows)
+    return shaped, long
+
+
 def evaluate_members(
     collection: Collection,
     array_type: str,
@@ -224,7 +269,9 @@ def evaluate_members(
     per_root = Window.partitionBy(ARRAY_ROOT)
     more = F.max("sys_rank").over(per_root) > offset + page_size
     paged = members.withColumn("has_next", more).filter(F.col("sys_rank") <= offset + page_size)
-    ids = paged.select(F.col(ROOT_COLUMN).alias(RECORD_ID)).distinct()
+    # the extra member is evaluated too: with the same rank bound everywhere, the
+    # page is ranked once and its exchange reused
+    ids = members.select(F.col(ROOT_COLUMN).alias(RECORD_ID)).distinct()
     _, rows = _evaluate(collection, table.name, expressions, ids, None)
     rows = rows.filter("sys_reached").drop("sys_reached")
     keyed = paged.select(ARRAY_ROOT, F.col(ROOT_COLUMN).alias("member"), "has_next")

@@ -208,3 +208,30 @@ def expr_eval_array(spark, sf):
 )
 def expr_rows(spark, sf):
     return E.lookup_rows(star(spark, sf), "orders", ["parts"], ["p_name", "p_retailprice"])
+
+
+_COUNTED = """(SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"""
+
+
+@query(
+    "expr_bounded_shaped",
+    f"""SELECT CAST(c_custkey AS VARCHAR) record_id, coalesce(statuses, '[]') AS statuses FROM {_COUNTED} LEFT JOIN (
+          SELECT o_custkey, '[' || string_agg('"' || o_orderstatus || '"', ',' ORDER BY CAST(o_orderkey AS VARCHAR)) || ']' AS statuses
+          FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n <= 10""",
+)
+def expr_bounded_shaped(spark, sf):
+    """Arrays of the customers with few orders."""
+    wanted = {"statuses": this("orders", "o_orderstatus")}
+    return E.evaluate_bounded(star(spark, sf), "customer", wanted, max_values=10)[0]
+
+
+@query(
+    "expr_bounded_rows",
+    f"""SELECT CAST(c_custkey AS VARCHAR) record_id, 'orders' AS path, 'o_orderstatus' AS attribute,
+               CAST(o_orderkey AS VARCHAR) target_id, '"' || o_orderstatus || '"' AS value
+        FROM {_COUNTED} JOIN orders ON o_custkey = c_custkey WHERE n > 10""",
+)
+def expr_bounded_rows(spark, sf):
+    """The values of the customers with many, in long form."""
+    wanted = {"statuses": this("orders", "o_orderstatus")}
+    return E.evaluate_bounded(star(spark, sf), "customer", wanted, max_values=10)[1]

@@ -104,3 +104,23 @@ def test_hot_member_is_cut_before_the_shuffle(spark, capsys):
     assert "WindowGroupLimit" in capsys.readouterr().out
     want = sorted(str(i) for i in range(20_000))[2:5]
     assert [r["sys_root"] for r in page.orderBy("sys_root").collect()] == want
+
+
+def test_large_arrays_are_set_apart_whole(spark, graph):
+    from recordloom.operators.expressions import evaluate_bounded
+
+    wanted = {"n": this("donors", "name"), "id": this("group_id")}
+    shaped, long = evaluate_bounded(graph, "group", wanted, max_values=2)
+    assert collect(shaped) == [("g2", '["bob","bob"]', '"g2"'), ("g3", "[]", '"g3"'), ("g4", "[]", '"g4"')]
+    assert collect(long.select("record_id", "path", "target_id", "value")) == [
+        ("g1", "", "g1", '"g1"'), ("g1", "donors", "d1", '"ann"'), ("g1", "donors", "d2", '"bob"'), ("g1", "donors", "d3", '"cy"')
+    ]
+
+
+def test_member_page_is_ranked_once(spark, sf):
+    """The executed plan reuses the ranked exchange for every place that needs the page."""
+    from recordloom.plans import registry
+
+    df = registry.load()[0]["expr_eval_array"](spark, sf)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
