@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from recordloom.constants import RELATION_SCHEME
 from recordloom.model import RecordTable, tag
-from recordloom.operators.write import upsert
 from recordloom.plans.changing import _UPSERT, _but_building, _customers, _latest_events
 from recordloom.plans.importing import scratch
 from recordloom.plans.registry import query
 from recordloom.plans.star import records
 from recordloom.sinks import export as X
-from recordloom.sinks.table import read_table, write_version
+from recordloom.sinks.table import read_table, upsert_table, write_version
 
 _SQL_NUMBER = "rtrim(rtrim(CAST(CAST({} AS DECIMAL(38,6)) AS VARCHAR), '0'), '.')"
 
@@ -104,6 +103,5 @@ def sink_upsert(spark, sf):
     path = scratch(spark, "table")
     table = _but_building(_customers(spark, sf))
     write_version(table.df, path, table.primary_key)
-    first = read_table(spark, path, "customer")
-    write_version(upsert(first, _latest_events(spark, sf), broadcast_rows=100_000), path, table.primary_key)
+    upsert_table(spark, path, "customer", table.primary_key, _latest_events(spark, sf))
     return read_table(spark, path, "customer").df

@@ -2,58 +2,138 @@
 
 A write makes a new version next to the old ones and is seen only once it is
 whole, so readers never meet half a batch and a failed job changes nothing.
-Files are range-partitioned and sorted by primary key: a lookup by id reads the
-few files whose statistics admit it.
+
+Records are spread over hash buckets of their key, each a folder of files sorted by
+key: a lookup by id reads the files whose statistics admit it. A *full* version
+(``version=N``) has all buckets, an *upsert* (``upsert=N``) only those it changed;
+a reader takes each bucket from the newest version that has it. Small change sets
+thus rewrite the buckets they touch, not the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.model import RecordTable, quoted
+from recordloom.operators.ingest import merge_records
+from recordloom.operators.write import BROADCAST_ROWS
 
-_VERSION = "version="
+_FULL, _UPSERT, _BUCKET = "version=", "upsert=", "bucket_of_"
 _DONE = "_SUCCESS"
+DEFAULT_BUCKETS = 16
 
 
-def _file_system(spark: SparkSession, path: str):
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, on whatever file system it lives; none if it does not exist."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions below ``path``, oldest first."""
-    jvm, root, fs = _file_system(spark, path)
-    if not fs.exists(root):
-        return []
+def _history(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Finished versions, oldest first, with their folders."""
     found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), _DONE)
-        if name.startswith(_VERSION) and fs.exists(done):
-            found.append(int(name.removeprefix(_VERSION)))
+    for name in _children(spark, path):
+        for prefix in (_FULL, _UPSERT):
+            if name.startswith(prefix) and _DONE in _children(spark, f"{path}/{name}"):
+                found.append((int(name.removeprefix(prefix)), name))
     return sorted(found)
 
 
-def version_path(path: str, version: int) -> str:
-    return f"{path.rstrip('/')}/{_VERSION}{version}"
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions below ``path``, oldest first."""
+    return [v for v, _ in _history(spark, path.rstrip("/"))]
+
+
+def _current(spark: SparkSession, path: str, version: int | None) -> tuple[dict[int, str], int]:
+    """Folder of each bucket as of a version, and the number of buckets."""
+    folders: dict[int, str] = {}
+    count = 0
+    for number, name in _history(spark, path):
+        if version is not None and number > version:
+            break
+        if name.startswith(_FULL):
+            folders = {}
+        for bucket in _children(spark, f"{path}/{name}"):
+            if bucket.startswith(_BUCKET):
+                of, which = bucket.removeprefix(_BUCKET).split("=")
+                folders[int(which)] = f"{path}/{name}/{bucket}"
+                count = int(of)
+    return folders, count
+
+
+def bucket(key: Column, count: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
 
-def write_version(df: DataFrame, path: str, primary_key: str, version: int | None = None) -> int:
-    """Write ``df`` as the next version (or overwrite version ``version``)."""
+def _write(df: DataFrame, folder: str, key: str, buckets: int) -> None:
+    column = f"{_BUCKET}{buckets}"
+    placed = df.withColumn(column, bucket(quoted(key), buckets))
+    # ranges of (bucket, key) are even however many records a bucket has
+    ranged = placed.repartitionByRange(column, quoted(key)).sortWithinPartitions(column, quoted(key))
+    ranged.write.mode("overwrite").partitionBy(column).parquet(folder)
+
+
+def write_version(
+    df: DataFrame, path: str, primary_key: str, version: int | None = None, buckets: int = DEFAULT_BUCKETS
+) -> int:
+    """Write ``df`` as a full version: the next one, or the one named."""
+    path = path.rstrip("/")
     if version is None:
         found = versions(df.sparkSession, path)
         version = found[-1] + 1 if found else 0
-    key = quoted(primary_key)
-    sorted_ = df.repartitionByRange(key).sortWithinPartitions(key)
-    sorted_.write.mode("overwrite").parquet(version_path(path, version))
+    _write(df, f"{path}/{_FULL}{version}", primary_key, buckets)
     return version
 
 
 def read_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> RecordTable | None:
     """The newest version (or the named one); None where there is none yet."""
-    found = versions(spark, path)
-    if not found:
-        return None
-    return RecordTable.of(name, spark.read.parquet(version_path(path, found[-1] if version is None else version)))
+    folders, _ = _current(spark, path.rstrip("/"), version)
+    return _read(spark, folders, name) if folders else None
+
+
+def _read(spark: SparkSession, folders: dict[int, str], name: str, only=None) -> RecordTable:
+    # attributes are only ever added between full versions, so the newest folder
+    # has the schema of all
+    newest = max(folders.values(), key=lambda f: int(f.rsplit("/", 2)[1].split("=")[1]))
+    schema = spark.read.parquet(newest).schema
+    wanted = [f for b, f in sorted(folders.items()) if only is None or b in only]
+    if not wanted:
+        return RecordTable.of(name, spark.createDataFrame([], schema))
+    return RecordTable.of(name, spark.read.schema(schema).parquet(*wanted))
+
+
+def upsert_table(
+    spark: SparkSession,
+    path: str,
+    name: str,
+    key: str,
+    records: DataFrame,
+    version: int | None = None,
+    buckets: int = DEFAULT_BUCKETS,
+) -> RecordTable:
+    """Evolve and upsert typed records into the stored table, as a new version.
+
+    The version builds on the newest one before it. Only the buckets of the given
+    keys are read and written, unless an attribute changes its type.
+    """
+    path = path.rstrip("/")
+    known = versions(spark, path)
+    number = version if version is not None else (known[-1] + 1 if known else 0)
+    folders, count = _current(spark, path, number - 1)
+    if not folders:
+        merged = merge_records(None, name, key, records)
+        _write(merged.df, f"{path}/{_FULL}{number}", key, buckets)
+        return read_table(spark, path, name, number)
+    touched = records.select(bucket(quoted(key), count).alias("b")).distinct().collect()
+    only = {r["b"] for r in touched}
+    part = _read(spark, folders, name, only)
+    merged = merge_records(part, name, key, records, BROADCAST_ROWS)
+    if all(merged.types[c] is t for c, t in part.types.items()):
+        _write(merged.df, f"{path}/{_UPSERT}{number}", key, count)
+    else:
+        whole = merge_records(_read(spark, folders, name), name, key, records, BROADCAST_ROWS)
+        _write(whole.df, f"{path}/{_FULL}{number}", key, count)
+    return read_table(spark, path, name, number)

@@ -107,7 +107,10 @@ def typed_text(c: Column, target: A) -> Column:
 
 
 def load_tsv(cells: DataFrame, key: str, schema: dict[str, A] | None = None) -> DataFrame:
-    """Typed and tagged records of TSV cells; bad keys are an error."""
+    """Typed and tagged records of TSV cells; bad keys are an error.
+
+    Tags are the inferred types: a column of nothing but nulls says so.
+    """
     problems = bad_keys(cells, key)
     worst = problems.groupBy("problem").count().collect()
     for row in worst:
@@ -115,4 +118,4 @@ def load_tsv(cells: DataFrame, key: str, schema: dict[str, A] | None = None) ->
     kinds = schema or infer_tsv(cells, key)
     typed = [typed_cell(quoted(n), k).cast(k.stored.spark_type).alias(n) for n, k in kinds.items()]
     records = cells.select(quoted(key), *typed)
-    return tag(records, key, {n: k.stored for n, k in kinds.items()})
+    return tag(records, key, kinds)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recordloom.model import AttributeType as A
-from recordloom.model import RecordTable, quoted
-from recordloom.operators.evolve import create_type, evolve
+from recordloom.model import RecordTable, quoted, tag
 from recordloom.operators.inference import infer_schema
-from recordloom.operators.write import BROADCAST_ROWS, latest, upsert
-from recordloom.sinks.table import read_table, versions, write_version
+from recordloom.operators.write import latest
+from recordloom.sinks.table import DEFAULT_BUCKETS, upsert_table
 
 TypedCell = Callable[[Column, A], Column]
 
@@ -27,30 +26,19 @@ def upsert_batch(
     cell_type: Callable[[Column], Column],
     typed_cell: TypedCell,
     version: int,
+    buckets: int = DEFAULT_BUCKETS,
 ) -> RecordTable:
-    """Infer, evolve and upsert one batch of text cells, as version ``version``.
-
-    It builds on the newest version before that.
-    """
-    spark = batch.sparkSession
-    before = [v for v in versions(spark, path) if v < version]
+    """Infer, evolve and upsert one batch of text cells, as version ``version``."""
     attributes = [c for c in batch.columns if c not in (key, seq)]
     inferred = infer_schema(batch, {c: cell_type(quoted(c)) for c in attributes}, F.col(seq))
-    table = (
-        read_table(spark, path, name, before[-1])
-        if before
-        else create_type(spark, name, inferred, key)
-    )
-    table = evolve(table, inferred)
     rows = latest(batch, key, seq).drop(seq)
-    kinds: Mapping[str, A] = table.types
     typed = rows.select(
         quoted(key),
-        *[typed_cell(quoted(c), kinds[c]).cast(kinds[c].stored.spark_type).alias(c) for c in attributes],
+        *[typed_cell(quoted(c), k).cast(k.stored.spark_type).alias(c) for c, k in inferred.items()],
+    )
+    return upsert_table(
+        batch.sparkSession, path, name, key, tag(typed, key, inferred), version, buckets
     )
-    state = upsert(table, typed, broadcast_rows=BROADCAST_ROWS)
-    write_version(state, path, key, version)
-    return read_table(spark, path, name, version)
 
 
 def start_upserts(

@@ -12,7 +12,7 @@ from recordloom.model import Collection, RecordTable, tag
 from recordloom.operators import evolve as E
 from recordloom.operators import jobs as J
 from recordloom.sinks import export as X
-from recordloom.sinks.table import read_table, versions, write_version
+from recordloom.sinks.table import read_table, upsert_table, versions, write_version
 from recordloom.sources.tsv import typed_cell
 from recordloom.streaming.ingest import start_upserts
 from recordloom.streaming.status import start_status_fold
@@ -28,10 +28,38 @@ def test_versions(spark, tmp_path):
     newest, first = read_table(spark, path, "t"), read_table(spark, path, "t", 0)
     assert newest.df.count() == 5 and first.df.count() == 100
     assert newest.primary_key == "id" and newest.relations == {"r": "x"}
-    (tmp_path / "t" / "version=2").mkdir()
+    (tmp_path / "t" / "version=9").mkdir()
     assert versions(spark, path) == [0, 1]
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = tag(spark.range(200).selectExpr("cast(id as string) id", "id as n"), "id")
+    write_version(df, path, "id", buckets=8)
+    change = spark.createDataFrame([("7", 70, "new")], "id string, n long, note string")
+    table = upsert_table(spark, path, "t", "id", change)
+    assert len([p for p in (tmp_path / "t" / "upsert=1").iterdir() if p.is_dir()]) == 1
+    assert table.df.count() == 200 and table.df.filter("note is null").count() == 199
+    assert tuple(table.df.filter("id = '7'").first()) == ("7", 70, "new")
+    # a change of type rewrites all of it
+    text = tag(spark.createDataFrame([("8", "x")], "id string, n string"), "id")
+    table = upsert_table(spark, path, "t", "id", text)
+    assert (tmp_path / "t" / "version=2").exists() and table.types["n"] is A.STRING
+    assert table.df.filter("id = '7'").first()["n"] == "70" and table.df.count() == 200
+    assert read_table(spark, path, "t", 0).df.filter("id = '7'").first()["n"] == 7
+    assert versions(spark, path) == [0, 1, 2]
+
+
+def test_lost_version_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_version(tag(spark.createDataFrame([("1", 1)], "id string, n int"), "id"), path, "id")
+    change = spark.createDataFrame([("1", 2)], "id string, n int")
+    upsert_table(spark, path, "t", "id", change, version=5)
+    (tmp_path / "t" / "upsert=5" / "_SUCCESS").unlink()
+    assert read_table(spark, path, "t").df.first()["n"] == 1
+    assert upsert_table(spark, path, "t", "id", change, version=5).df.first()["n"] == 2
+
+
 def _fake(spark):
     df = spark.sql("SELECT 'r1' AS id, 'hi \"x\"' AS name, 2.50D AS num, array('a', 'b') AS arr, cast(null as string) AS gone, 'p9' AS rel, array('p1') AS rels, cast(array() as array<string>) AS none, '{\"k\":[1]}' AS j")
     return RecordTable("thing", tag(df, "id", {"j": A.JSON}, {"rel": "person", "rels": "person", "none": "person"}), "id")
