@@ -286,3 +286,50 @@ def edges_of_touched(spark, sf):
     parts = order_lines(spark, sf, "l_partkey")
     gone = _ids(raw(spark, sf, "orders").filter("o_orderstatus = 'F'"), "o_orderkey")
     return I.replace_edges(parts, gone, parts.limit(0))
+
+
+@query(
+    "json_ops_apply",
+    f"""WITH o AS (SELECT *, CASE WHEN lag(op) OVER (ORDER BY seq) = op THEN 0 ELSE 1 END AS change FROM {_FEED}),
+      r AS (SELECT *, sum(change) OVER (ORDER BY seq) AS run FROM o),
+      b AS (SELECT *, greatest(row_number() OVER (PARTITION BY run ORDER BY seq) - 1 - CASE WHEN run > 1 THEN 1 ELSE 0 END, 0) // 5000 AS cut FROM r),
+      g AS (SELECT *, bool_or(event_type IN ('view', 'click')) OVER w AS gv, bool_or(event_type = 'click') OVER w AS gp
+            FROM b WINDOW w AS (PARTITION BY run, cut)),
+      f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
+              max(seq) FILTER (op = 'upsert' AND gv) sv, max(seq) FILTER (op = 'upsert' AND gp) sp FROM g GROUP BY user_id)
+      SELECT CAST(f.user_id AS VARCHAR) user_id,
+        CASE WHEN sv > coalesce(d, -1) AND ev.event_type = 'view' THEN ev.value END AS value,
+        CASE WHEN sp > coalesce(d, -1) AND ep.event_type = 'click' THEN replace(ep.props, ' ', '') END AS props
+      FROM f LEFT JOIN events ev ON ev.event_id = sv LEFT JOIN events ep ON ep.event_id = sp
+      WHERE u IS NOT NULL AND (d IS NULL OR u > d)""",
+)
+def json_ops_apply(spark, sf):
+    """A JSON change batch made into a new table: inferred, evolved, applied in order."""
+    from recordloom.operators.ingest import apply_operations
+    from recordloom.plans.importing import _operation_lines
+    from recordloom.sources.operations import parse_operations
+
+    ops = parse_operations(_operation_lines(spark, sf), "line", "event_id")
+    table = apply_operations(None, "user", ops, "user_id")
+    return table.df.select("user_id", F.col("value").cast("double").alias("value"), "props")
+
+
+@query(
+    "tsv_upload",
+    f"""SELECT CAST(coalesce(c_custkey, user_id) AS VARCHAR) c_custkey, c_name,
+          CASE WHEN user_id IS NULL THEN rtrim(rtrim(CAST(CAST(c_acctbal AS DECIMAL(38,6)) AS VARCHAR), '0'), '.')
+               ELSE '~' || CAST(value AS VARCHAR) END AS c_acctbal, event_type AS last_event
+        FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') FULL JOIN {_CHANGES} ON c_custkey = user_id""",
+)
+def tsv_upload(spark, sf):
+    """Two uploads of cells; the second turns a number column into text and adds one."""
+    from recordloom.operators.ingest import merge_records
+    from recordloom.sinks.export import tsv_cells
+    from recordloom.sources.tsv import load_tsv
+
+    customers = _but_building(_customers(spark, sf))
+    customers = customers.with_df(customers.df.select("c_custkey", "c_name", "c_acctbal"))
+    table = merge_records(None, "customer", "c_custkey", load_tsv(tsv_cells(customers), "c_custkey"))
+    text = F.concat(F.lit("~"), F.col("c_acctbal").cast("string"))
+    changes = load_tsv(_latest_events(spark, sf).withColumn("c_acctbal", text), "c_custkey")
+    return merge_records(table, "customer", "c_custkey", changes).df
