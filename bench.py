@@ -27,7 +27,7 @@ HEADLINE = [
     "upsert_batch", "upsert_broadcast", "apply_changes", "apply_changes_batched", "patch_record", "delete_ids",
     "delete_blocked", "dangling_edges", "tsv_scan", "tsv_load", "json_ops", "nested_base", "import_relations",
     "manifest_relations", "tsv_export", "entity_ops", "sink_upsert", "status_fold", "status_classify", "job_elapsed",
-    "import_rules", "stream_upsert",
+    "import_rules", "stream_upsert", "json_ops_apply", "tsv_upload",
 ]
 
 

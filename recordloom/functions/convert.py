@@ -66,9 +66,9 @@ def convert_scalar(c: Column, source: A, target: A) -> Column:
 
 
 def _strict(original: Column, converted: Column, target: A) -> Column:
+    """``converted``, which is computed once; an error where only it is null."""
     message = F.concat(F.lit("not a "), F.lit(target.value), F.lit(": "), original)
-    failed = original.isNotNull() & converted.isNull()
-    return F.when(failed, F.raise_error(message)).otherwise(converted)
+    return F.coalesce(converted, F.when(original.isNotNull(), F.raise_error(message)))
 
 
 def _spelled_boolean(c: Column) -> Column:

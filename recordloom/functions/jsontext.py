@@ -7,31 +7,30 @@ from pyspark.sql import functions as F
 
 from recordloom.model import AttributeType
 
-_ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
-
-
 def canonical_json(c: Column) -> Column:
     """JSON text with sorted keys and plain numbers, so equal values are equal text."""
     return F.to_json(F.parse_json(c))
 
 
+def _without_trailing_zeros(text: Column) -> Column:
+    """Text of a number that has a decimal point, at its shortest."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
 def number_text(c: Column) -> Column:
     """A number without the zeros that a fixed scale adds."""
-    text = c.cast("decimal(38,18)").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+    return _without_trailing_zeros(c.cast("decimal(38,18)").cast("string"))
 
 
 def date_time_text(c: Column) -> Column:
     """ISO text of a date-time; a fraction only where there is one."""
-    fraction = F.rtrim(F.date_format(c, "SSSSSS"), F.lit("0"))
-    dotted = F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise("")
-    return F.concat(F.date_format(c, _ISO_SECONDS), dotted)
+    return _without_trailing_zeros(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def string_json(c: Column) -> Column:
     """A quoted and escaped JSON string."""
-    inside = F.to_json(F.array(c))
-    return F.when(c.isNotNull(), F.substr(inside, F.lit(2), F.length(inside) - 2))
+    # the only brackets outside the quotes are those of the array
+    return F.when(c.isNotNull(), F.trim(F.to_json(F.array(c)), F.lit("[]")))
 
 
 def value_json(c: Column, kind: AttributeType) -> Column:
