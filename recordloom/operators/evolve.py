@@ -214,19 +214,6 @@ def list_relations(collection: Collection, spark: SparkSession) -> DataFrame:
     return _rows(spark, rows, "record_type string, relation string, target string, is_array boolean")
 
 
-# ---- collections -----------------------------------------------------------
-
-
-def collections_of(catalog: DataFrame, workspace_id: str) -> DataFrame:
-    """Collections of a workspace, by name; ``catalog`` has ``id, workspace_id, name``."""
-    return catalog.filter(F.col("workspace_id") == workspace_id).orderBy("name", "id")
-
-
-def default_collections(catalog: DataFrame) -> DataFrame:
-    """Collections that carry their workspace's own id."""
-    return catalog.filter(F.col("id") == F.col("workspace_id"))
-
-
 def visible_types(catalog: DataFrame) -> DataFrame:
     """Rows of a ``record_type`` catalog whose names are not reserved."""
     return catalog.filter(~F.col("record_type").startswith(RESERVED_PREFIX))

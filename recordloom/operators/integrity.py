@@ -69,25 +69,35 @@ def replace_edges(current: DataFrame, touched: DataFrame, new: DataFrame) -> Dat
     return kept.unionByName(new)
 
 
-def validate_relations(table: RecordTable, targets: DataFrame) -> None:
-    """Refuse relation values that contradict the schema of an existing table.
+def relation_problems(table: RecordTable, targets: DataFrame) -> DataFrame:
+    """``(attribute, problem)`` for relation values that contradict a table's schema.
 
     ``targets`` is what ``relation_targets`` found: a row per column and target.
     """
     known = table.relations
+    attribute, one = F.col("attribute"), F.col("target")
+    plain = [n for n in table.types if n not in known]
+    contradicts = F.lit(False)
+    for name, target in known.items():
+        contradicts = contradicts | ((attribute == name) & (one != target))
     per_column = targets.groupBy("attribute").agg(
         F.count("target").alias("targets"),
-        F.count_if(F.col("target").isNull()).alias("mixed"),
+        F.count_if(one.isNull()).alias("mixed"),
         F.min("target").alias("target"),
     )
-    for row in per_column.collect():
-        column = row["attribute"]
-        if row["mixed"]:
-            raise InvalidRelation(f"{column}: all relations in an array must have one target")
-        if column in table.types and column not in known:
-            raise InvalidRelation(f"{column} exists and is no relation")
-        if row["targets"] > 1 or known.get(column, row["target"]) != row["target"]:
-            raise InvalidRelation(f"{column} can only refer to one record type")
+    problem = (
+        F.when(F.col("mixed") > 0, "holds arrays of more than one record type")
+        .when(attribute.isin(*plain), "exists and is no relation")
+        .when((F.col("targets") > 1) | contradicts, "refers to more than one record type")
+    )
+    return per_column.select("attribute", problem.alias("problem")).filter("problem is not null")
+
+
+def validate_relations(table: RecordTable, targets: DataFrame) -> None:
+    """Refuse relation values that contradict the schema of an existing table."""
+    problems = sorted(f"{r['attribute']} {r['problem']}" for r in relation_problems(table, targets).collect())
+    if problems:
+        raise InvalidRelation("; ".join(problems))
 
 
 def type_mismatches(

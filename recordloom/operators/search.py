@@ -177,13 +177,13 @@ def _skip_ranges(table, df, sort, descending, offset, enough):
     names = [key] if sort in (None, key) else [sort, key]
     flags = [descending if i == 0 else False for i in range(len(names))]
     order = sort_order(table, sort, descending)
+    rows = df.count()
+    if offset >= rows:
+        return df.filter(F.lit(False)), 0
     for _ in range(16):
         if offset <= enough:
             break
         keys = df.select(*[quoted(n).alias(f"k{i}") for i, n in enumerate(names)])
-        rows = keys.count()
-        if offset >= rows:
-            return df.filter(F.lit(False)), 0
         sampled = keys.sample(min(1.0, 2000 / rows)).limit(10_000)
         splits = sampled.toDF(*names).orderBy(*order).collect()
         step = max(1, len(splits) // 64)
@@ -197,7 +197,7 @@ def _skip_ranges(table, df, sort, descending, offset, enough):
             break
         dropped, split = max(usable, key=lambda p: p[0])
         df = df.filter(~_not_after(names, flags, split))
-        offset -= dropped
+        offset, rows = offset - dropped, rows - dropped
     return df, offset
 
 

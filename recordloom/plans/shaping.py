@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import infer
 from recordloom.model import AttributeType as A
 from recordloom.model import RecordTable, tag
+from recordloom.operators import catalog as C
 from recordloom.operators import evolve as E
 from recordloom.operators.inference import infer_schema
 from recordloom.operators.integrity import relation_pairs
@@ -193,14 +194,14 @@ def drop_type(spark, sf):
     return counts
 
 
-_CATALOG = "(SELECT md5(CAST(c_custkey AS VARCHAR)) AS id, md5(c_mktsegment) AS workspace_id, c_name AS name FROM customer)"
+_CATALOG = "(SELECT md5(CAST(c_custkey AS VARCHAR)) AS id, md5(c_mktsegment) AS workspace_id, c_name AS name, c_mktsegment AS description FROM customer)"
 
 
 def _catalog(spark, sf):
     customer = raw(spark, sf, "customer")
     return customer.select(
         F.md5(F.col("c_custkey").cast("string")).alias("id"), F.md5("c_mktsegment").alias("workspace_id"),
-        F.col("c_name").alias("name"),
+        F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"),
     )
 
 
@@ -208,20 +209,30 @@ def _catalog(spark, sf):
 def list_collections(spark, sf):
     import hashlib
 
-    return E.collections_of(_catalog(spark, sf), hashlib.md5(b"BUILDING").hexdigest())
+    return C.collections_of(_catalog(spark, sf), hashlib.md5(b"BUILDING").hexdigest())
 
 
 @query(
     "default_collections",
-    f"""SELECT id, workspace_id, name FROM (SELECT * FROM {_CATALOG} UNION ALL
-          SELECT DISTINCT md5(c_mktsegment), md5(c_mktsegment), c_mktsegment FROM customer) WHERE id = workspace_id""",
+    f"""SELECT id, workspace_id, name, description FROM (SELECT * FROM {_CATALOG} UNION ALL
+          SELECT DISTINCT md5(c_mktsegment), md5(c_mktsegment), 'default', 'default' FROM customer) WHERE id = workspace_id""",
 )
 def default_collections(spark, sf):
+    """Every workspace is given its default collection."""
     catalog = _catalog(spark, sf)
-    spaces = raw(spark, sf, "customer").select("c_mktsegment").distinct().select(
-        F.md5("c_mktsegment").alias("id"), F.md5("c_mktsegment").alias("workspace_id"), F.col("c_mktsegment").alias("name")
-    )
-    return E.default_collections(catalog.unionByName(spaces))
+    return C.default_collections(C.ensure_defaults(catalog, catalog))
+
+
+@query(
+    "find_collections",
+    f"""SELECT id, workspace_id, name, description FROM {_CATALOG} WHERE name IN (SELECT c_name FROM customer WHERE c_acctbal < 0)""",
+)
+def find_collections(spark, sf):
+    """Collections of customers in debt; asked for in a wrong workspace, others are not found."""
+    customer = raw(spark, sf, "customer")
+    workspace = F.when(F.col("c_acctbal") < 0, F.md5("c_mktsegment")).otherwise("elsewhere")
+    wanted = customer.select(workspace.alias("workspace_id"), F.md5(F.col("c_custkey").cast("string")).alias("id"))
+    return C.find_collections(_catalog(spark, sf), wanted)
 
 
 @query(
@@ -234,3 +245,28 @@ def case_sensitive_names(spark, sf):
     df = tag(table.df.select("c_custkey", F.col("c_name").alias("note"), F.col("c_mktsegment").alias("Note")), "c_custkey")
     renamed = E.rename_attribute(table.with_df(df), "Note", "Note2")
     return renamed.df
+
+
+@query(
+    "relation_validate",
+    """SELECT DISTINCT 'o_orderstatus' AS attribute, 'exists and is no relation' AS problem FROM orders
+       UNION ALL SELECT DISTINCT 'fresh', 'refers to more than one record type' FROM orders
+       UNION ALL SELECT DISTINCT 'listed', 'holds arrays of more than one record type' FROM orders
+       UNION ALL SELECT DISTINCT 'o_custkey', 'refers to more than one record type' FROM orders""",
+)
+def relation_validate(spark, sf):
+    """What is wrong with relation values that arrive for the orders."""
+    from recordloom.functions.relation import relation_uri
+    from recordloom.operators.inference import relation_targets
+    from recordloom.operators.integrity import relation_problems
+
+    orders = records(spark, sf, "orders")
+    c = F.col("o_custkey")
+    kind = F.when(F.col("o_orderstatus") == "F", "part").otherwise("supplier")
+    arriving = orders.df.select(
+        relation_uri("customer", c).alias("good"), relation_uri("part", c).alias("o_custkey"),
+        relation_uri("part", c).alias("o_orderstatus"), relation_uri(kind, c).alias("fresh"),
+        F.array(relation_uri("part", c), relation_uri("customer", c)).alias("listed"),
+    )
+    kinds = {n: A.ARRAY_OF_RELATION if n == "listed" else A.RELATION for n in arriving.columns}
+    return relation_problems(orders, relation_targets(arriving, kinds))

@@ -124,3 +124,32 @@ def test_member_page_is_ranked_once(spark, sf):
     df = registry.load()[0]["expr_eval_array"](spark, sf)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_target_is_split(spark):
+    """A customer with most of the orders: the join's big partition is split, the rows stay whole."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        orders = spark.range(0, 200_000, 1, 16).selectExpr(
+            "cast(id as string) order_id", "case when id % 3 = 0 then 'hot' else cast(id % 1000 as string) end as buyer"
+        )
+        buyers = spark.range(1000).selectExpr("cast(id as string) buyer_id").union(spark.sql("select 'hot'"))
+        c = Collection.of(
+            RecordTable("orders", tag(orders, "order_id", relations={"buyer": "buyer"}), "order_id"),
+            RecordTable("buyer", buyers, "buyer_id"),
+        )
+        reached = follow(c, "orders", ["buyer"])
+        assert len(reached.collect()) == 200_000
+        assert "skew=true" in reached._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -193,3 +193,28 @@ def test_import_rules(spark):
     assert [r["allowed"] for r in rows] == [True, True, False, False, True, True, False, False]
     assert rows[4]["private_workspace"] and rows[4]["required_groups"] == ["g1"] and not rows[0]["private_workspace"]
     assert rows[2]["problem"] == "Files may not be imported from drs URLs." and rows[6]["problem"] == "Invalid import URL."
+
+
+def test_catalog(spark):
+    from recordloom.operators import catalog as C
+
+    def rows(*values):
+        return spark.createDataFrame(list(values), "id string, workspace_id string, name string, description string")
+
+    catalog = rows(("c1", "w1", "one", "d"), ("c2", "w2", "one", "d"))
+    filled = C.ensure_defaults(catalog, spark.createDataFrame([("w1",), ("w3",), ("w3",)], "workspace_id string"))
+    assert collect(filled.select("id", "name")) == [("c1", "one"), ("c2", "one"), ("w1", "default"), ("w3", "default")]
+    assert C.ensure_defaults(filled, filled).count() == 5
+    assert C.add_collections(catalog, rows(("c3", "w1", "two", ""))).count() == 3
+    changed = C.update_collections(catalog, rows(("c1", "w1", "uno", "x")))
+    assert collect(changed) == [("c1", "w1", "uno", "x"), ("c2", "w2", "one", "d")]
+    assert collect(C.drop_collections(catalog, rows(("c1", "w1", "", "")))) == [("c2", "w2", "one", "d")]
+    assert C.find_collections(catalog, rows(("c1", "w2", "", ""))).count() == 0
+    for bad in (
+        lambda: C.add_collections(catalog, rows(("c1", "w9", "two", ""))), lambda: C.add_collections(catalog, rows(("c3", "w1", "one", ""))),
+        lambda: C.drop_collections(catalog, rows(("c1", "w2", "", ""))),
+    ):
+        with pytest.raises(Conflict):
+            bad()
+    with pytest.raises(MissingObject):
+        C.update_collections(catalog, rows(("c1", "w2", "x", "")))
