@@ -107,11 +107,14 @@ def apply_operations(
     from recordloom.constants import WRITE_BATCH_SIZE
     from recordloom.operators.evolve import create_type
     from recordloom.operators.write import apply_changes
-    from recordloom.sources.operations import attribute_names, infer_operations, typed_feed
+    from recordloom.sources.operations import infer_operations, typed_feed
 
-    names = list(attributes) if attributes is not None else attribute_names(ops)
-    names = [n for n in names if n != key]
-    inferred = {r["attribute"]: A(r["attribute_type"]) for r in infer_operations(ops, names).collect()}
+    inferred = {
+        r["attribute"]: A(r["attribute_type"])
+        for r in infer_operations(ops, attributes).collect()
+        if r["attribute"] != key
+    }
+    names = sorted(inferred)
     known = table or create_type(ops.sparkSession, name, {}, key)
     raw = typed_feed(ops, inferred)
     related = {n: k for n, k in inferred.items() if k.base is A.RELATION}

@@ -151,7 +151,7 @@ def json_ops(spark, sf):
 @query("json_ops_infer", "SELECT DISTINCT 'value' AS attribute, 'NUMBER' AS attribute_type FROM events UNION ALL SELECT DISTINCT 'props', 'JSON' FROM events")
 def json_ops_infer(spark, sf):
     ops = O.parse_operations(_operation_lines(spark, sf), "line", "event_id")
-    return O.infer_operations(ops, ["value", "props"])
+    return O.infer_operations(ops)
 
 
 @query(

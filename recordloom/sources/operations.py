@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.convert import convert
 from recordloom.functions.infer import json_type
 from recordloom.model import AttributeType as A
-from recordloom.operators.inference import infer_columns
+from recordloom.operators.inference import column_type_aggregate, infer_columns
 
 # Attributes stay variants: text and numbers remain distinguishable.
 SCHEMA = "operation string, record struct<id string, type string, attributes map<string, variant>>"
@@ -42,11 +42,21 @@ def flatten_operations(rows: DataFrame) -> DataFrame:
     )
 
 
-def infer_operations(ops: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Attribute types over the upserts: ``(attribute, attribute_type)``."""
+def infer_operations(ops: DataFrame, attributes: Sequence[str] | None = None) -> DataFrame:
+    """Attribute types over the upserts: ``(attribute, attribute_type)``.
+
+    Without ``attributes`` those that occur are found in the same pass: each value
+    is typed where it is read, and one small buffer per name and task is shuffled.
+    """
     upserts = ops.filter(F.col("operation") == "upsert")
-    kinds = {a: json_type(F.col("attributes").getItem(a)) for a in attributes}
-    return infer_columns(upserts, kinds, F.col("seq"))
+    if attributes is not None:
+        kinds = {a: json_type(F.col("attributes").getItem(a)) for a in attributes}
+        return infer_columns(upserts, kinds, F.col("seq"))
+    values = upserts.select("seq", F.explode("attributes").alias("attribute", "value"))
+    typed = values.select("seq", "attribute", json_type("value").alias("kind"))
+    return typed.groupBy("attribute").agg(
+        column_type_aggregate(F.col("kind"), F.col("seq")).alias("attribute_type")
+    )
 
 
 def attribute_names(ops: DataFrame) -> list[str]:

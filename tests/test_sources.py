@@ -94,6 +94,7 @@ def test_operations(spark, tmp_path):
     assert names == ["j", "l", "n", "s"]
     kinds = {r["attribute"]: A(r["attribute_type"]) for r in O.infer_operations(read, names).collect()}
     assert kinds == {"j": A.JSON, "l": A.ARRAY_OF_NUMBER, "n": A.NUMBER, "s": A.STRING}
+    assert {r["attribute"]: A(r["attribute_type"]) for r in O.infer_operations(read).collect()} == kinds
     feed = O.typed_feed(read, kinds).orderBy("seq").collect()
     assert [(r["operation"], r["record_id"], r["n"], r["s"], r["l"], r["j"]) for r in feed] == [
         ("upsert", "1", 1, "12", [1, Decimal("2.5")], '{"a":2,"b":1}'), ("upsert", "2", None, "2020-01-01", None, None),
