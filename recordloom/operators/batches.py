@@ -2,24 +2,44 @@
 
 A batch is a run of one operation, cut every ``WRITE_BATCH_SIZE`` rows. Batch
 numbers depend on everything that came before, which a single global window
-would compute in one task. Instead the feed is range-partitioned by sequence
-number, numbered inside each range, and shifted by the totals of the ranges
+would compute in one task. Instead the feed is cut into ranges of sequence
+numbers, numbered inside each range, and shifted by the totals of the ranges
 before it: one small row per range.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.constants import WRITE_BATCH_SIZE
-from recordloom.session import shared_dir
 
 BATCH = "sys_batch"
 
 
-def _ranges(feed: DataFrame) -> int:
-    return int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _range(feed: DataFrame, seq: str, count: int) -> Column:
+    """Number of the range a row is in: a fixed, rising function of ``seq``.
+
+    The ranges are cut at approximate quantiles, so they are of like size however
+    the numbers are spread. The cuts become literals: a task that is run again
+    puts its rows where they were.
+    """
+    shares = [i / count for i in range(1, count)]
+    cuts = sorted({int(c) for c in feed.approxQuantile(seq, shares, 1 / (8 * count))}) if shares else []
+    if not cuts:
+        return F.lit(0)
+    # two short searches instead of one long one
+    width = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+
+    def passed(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: b < F.col(seq)))
+
+    group = passed(F.lit([g[-1] for g in groups]))
+    inside = passed(F.get(F.array(*[F.lit(g) for g in groups]), group))
+    return group * width + F.greatest(inside, F.lit(0))
 
 
 def number_batches(
@@ -31,17 +51,12 @@ def number_batches(
 ) -> DataFrame:
     """``feed`` with the identity of each row's batch in ``sys_batch``.
 
-    ``seq`` must be unique. The identity is the pair (run, cut), runs being
-    counted from 0 in sequence order.
+    ``seq`` is a unique number. The identity is the pair (run, cut), runs being
+    counted from 0 in sequence order. One pass over ``seq`` alone finds the cuts of
+    the ``ranges`` (default: as many as shuffle partitions).
     """
-    shared_dir(feed.sparkSession)
-    # range bounds come from sampling, which a recomputed stage might repeat with
-    # another outcome; the checkpoint fixes them
-    ranged = (
-        feed.repartitionByRange(ranges or _ranges(feed), seq)
-        .withColumn("sys_range", F.spark_partition_id())
-        .checkpoint()
-    )
+    count = ranges or int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = feed.withColumn("sys_range", _range(feed, seq, count))
     local = Window.partitionBy("sys_range").orderBy(seq)
     changed = (F.col(operation) != F.lag(operation).over(local)).cast("long")
     rows = ranged.withColumn("sys_change", F.coalesce(changed, F.lit(0)))
