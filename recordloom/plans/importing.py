@@ -6,9 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from recordloom.constants import MANIFEST_DEFAULT_KEY
+from recordloom.constants import MANIFEST_DEFAULT_KEY, RELATION_SCHEME
 from recordloom.model import RecordTable, tag
-from recordloom.plans.inferring import tsv_cells as event_cells
 from recordloom.plans.registry import query
 from recordloom.plans.star import raw, records
 from recordloom.session import shared_dir
@@ -232,8 +231,8 @@ def import_relations(spark, sf):
 
 @query(
     "import_relation_uris",
-    """SELECT CAST(o_orderkey AS VARCHAR) o_orderkey, rel || o_custkey AS o_custkey, rel || o_custkey || ',' || rel || o_orderkey AS both
-       FROM orders, (SELECT '{}/customer/' AS rel)""".format(__import__("recordloom.constants", fromlist=["x"]).RELATION_SCHEME),
+    f"""SELECT CAST(o_orderkey AS VARCHAR) o_orderkey, rel || o_custkey AS o_custkey, rel || o_custkey || ',' || rel || o_orderkey AS both
+        FROM orders, (SELECT '{RELATION_SCHEME}/customer/' AS rel)""",
 )
 def import_relation_uris(spark, sf):
     orders = raw(spark, sf, "orders").select("o_orderkey", "o_custkey", F.array("o_custkey", "o_orderkey").alias("both"))
