@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, url_filter
+from recordloom.llm import chat, lengths, packing, simhash, url_filter
 from recordloom.llm.tables import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             "formatted_chars",
         )
     )
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of all documents with its suffix sums, one row per length."""
+    documents = table(spark, sf_dir, "documents")
+    return lengths.suffix_sums(lengths.length_histogram(lengths.token_lengths(documents)))
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 2048 ids."""
+    return packing.pack_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents by shingles of three words, and components over links of at most two bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
