@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, lengths, packing, simhash, url_filter
-from recordloom.llm.tables import table
+from recordloom.llm import chat, decontaminate, lengths, packing, pii, simhash, toxicity, url_filter
+from recordloom.llm.tables import held_out, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -160,3 +160,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents by shingles of three words, and components over links of at most two bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts of base spans, their digest, and all spans."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("~base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+        for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("~base")), 256).alias("base_sha256"),
+        pii.listed(F.col("~spans")).alias("spans"),
+    )
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document by a model that has not seen the labels of a fifth of them."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(documents, model, ["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that is near an item of the benchmark; documents without one have no row."""
+    return decontaminate.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
