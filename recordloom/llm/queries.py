@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, decontaminate, lengths, packing, pii, simhash, toxicity, url_filter
+from recordloom.llm import chat, decontaminate, language_model, lengths, packing, pii, simhash, toxicity, url_filter
 from recordloom.llm.tables import held_out, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +192,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of a document that is near an item of the benchmark; documents without one have no row."""
     return decontaminate.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_language_model")
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of nine tenths of them."""
+    return language_model.language_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
