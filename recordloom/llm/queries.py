@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, decontaminate, language_model, lengths, packing, pii, simhash, toxicity, url_filter
+from recordloom.llm import (
+    chat,
+    decontaminate,
+    language_model,
+    lengths,
+    packing,
+    pii,
+    simhash,
+    toxicity,
+    url_filter,
+    weighted_sampling,
+)
 from recordloom.llm.tables import held_out, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -166,13 +177,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: counts of base spans, their digest, and all spans."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("~base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}")
-        for i, kind in enumerate(pii.KINDS)
-    ]
+    kinds = F.transform("~base", lambda s: s["kind"])
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter(kinds, lambda k: k == kind)).cast("long")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
         F.sha2(pii.listed(F.col("~base")), 256).alias("base_sha256"),
         pii.listed(F.col("~spans")).alias("spans"),
     )
@@ -198,3 +210,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of nine tenths of them."""
     return language_model.language_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_weighted_sampling")
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return weighted_sampling.neighbour_likeness(table(spark, sf_dir, "documents"))
