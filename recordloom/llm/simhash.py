@@ -248,3 +248,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return marked.join(groups, "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# --- keeping one of each group --------------------------------------------------------------------------------------
+
+STAGE_SHINGLE = 5
+STAGE_BITS = 6
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS) -> DataFrame:
+    """One row of each group of near-duplicates of ``docs``, all columns as they are.
+
+    A group's row is that with the smallest doc_id; of rows that share it, one. A null doc_id counts as the largest.
+    Texts without words (null texts too) are one group. An empty table stays empty.
+    """
+    marked = with_fingerprint(docs, shingle, "~mark").withColumn("~row", F.monotonically_increasing_id())
+    stored = written(marked, "marked")
+    narrow = stored.select("doc_id", F.col("~mark").alias("fingerprint"), "~row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("~row").alias("row")))
+    kept = (
+        narrow.join(near_duplicate_groups(narrow, bits), "fingerprint")
+        .select("doc_id", "~row", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.hex("fingerprint"))).alias("group"))
+        .groupBy("group")
+        .agg(first.alias("first"))
+        .select(F.col("first.row").alias("~row"))
+    )
+    return stored.join(kept, "~row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

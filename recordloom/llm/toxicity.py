@@ -317,3 +317,15 @@ def with_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] | None = No
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty().alias("~text"))
     return chosen.mapInArrow(run, f"{fields}`{name}` double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, all columns as they are; null and empty texts stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = matcher(model.lexicon)
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            yield batch.filter(pa.array(model.score([features(t or "", match) for t in texts]) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
