@@ -320,12 +320,17 @@ def with_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] | None = No
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, all columns as they are; null and empty texts stay."""
+    """The rows of ``docs`` whose score is below ``threshold`` or whose text has no hit, all columns as they are.
+
+    So null and empty texts stay, whatever the share of toxic labels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = matcher(model.lexicon)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            yield batch.filter(pa.array(model.score([features(t or "", match) for t in texts]) < threshold, pa.bool_()))
+            rows = [features(t or "", match) for t in texts]
+            clean = [s < threshold or not any(r) for s, r in zip(model.score(rows), rows, strict=True)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
