@@ -75,9 +75,9 @@ class Index:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.keys * BASE) >> self.shift] = True
 
-    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every q-gram that the text shares with an item."""
-        items, diagonals = [], []
+    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in it, diagonal) of every q-gram that the text shares with an item."""
+        items, places, diagonals = [], [], []
         for start in range(0, max(0, len(points) - Q + 1), CHUNK_CHARS):
             hashed = _hashes(points[start : start + CHUNK_CHARS + Q - 1])
             at = np.flatnonzero(self.seen[(hashed * BASE) >> self.shift])
@@ -89,34 +89,50 @@ class Index:
             shift = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             row = np.repeat(self.first[key], times) + shift
             items.append(self.item[row])
+            places.append(self.place[row])
             diagonals.append(np.repeat(at + start, times) - self.place[row])
         if not items:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(items), np.concatenate(diagonals)
+            return (np.empty(0, np.int64),) * 3
+        return np.concatenate(items), np.concatenate(places), np.concatenate(diagonals)
+
+    def _equal(self, points: np.ndarray, which: int, diagonals: np.ndarray) -> tuple[int, int, int] | None:
+        """The alignment without edits, if all of an item's q-grams lie on one diagonal and so do its characters."""
+        item = self.items[which]
+        start, hits = np.unique(diagonals, return_counts=True)
+        for at in start[hits >= len(item) + 1 - Q].tolist():
+            if at >= 0 and np.array_equal(points[at : at + len(item)], item):
+                return at, at + len(item), 0
+        return None
 
     def matches(self, text: str) -> list[Match]:
         """The best match of each item in each stretch of the text that it covers, in order of item and start."""
         points = code_points(text)
         if len(points) < Q or not len(self.keys):
             return []
-        item, diagonal = self.hits(points)
+        item, place, diagonal = self.hits(points)
         if not len(item):
             return []
         # an item with too few hits anywhere can't have enough in a band
         enough = np.bincount(item, minlength=len(self.items))[item] >= self.needed[item]
-        item, diagonal = item[enough], diagonal[enough]
+        item, place, diagonal = item[enough], place[enough], diagonal[enough]
+        if not len(item):
+            return []
         width = self.budget[item] + 1
         band = np.floor_divide(diagonal, width)
         lowest = int(band.min(initial=0)) - 1
         span = int(band.max(initial=0)) - lowest + 1
         keys = item * span + band - lowest
-        keys, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
-        kept = keys[counts >= self.needed[keys // span]]
+        both = np.concatenate([keys, keys - 1])
+        found_keys, counts = np.unique(both, return_counts=True)
         found = []
-        for key in kept.tolist():
+        for key in found_keys[counts >= self.needed[found_keys // span]].tolist():
             which, number = key // span, key % span + lowest
+            mine = (keys == key) | (keys == key + 1)
+            # a q-gram that the text repeats counts once: the lemma is about places in the item
+            if len(np.unique(place[mine])) < self.needed[which]:
+                continue
             e = int(self.budget[which])
-            match = align(points, self.items[which], number * (e + 1), 2 * (e + 1), e)
+            match = self._equal(points, which, diagonal[mine]) or align(points, self.items[which], number * (e + 1), 2 * (e + 1), e)
             if match is not None:
                 found.append(Match(which, *match))
         return _best(found)
@@ -139,12 +155,15 @@ def align(text: np.ndarray, item: np.ndarray, low: int, width: int, budget: int)
     # costs and beginnings share one number, so that a minimum carries the beginning along; later beginnings are less
     base = np.int64(1 << 20)
     row = np.where(inside, base - 1 - columns, far * base)
+    slope = columns * base
+    above = np.full(size, far * base)
     for i, c in enumerate(item.tolist()):
         # staying on a diagonal takes one character of both; column j + 1 of the row above takes one of the item only
-        step = row + np.where(outside[i : i + size] == c, 0, base)
-        above = np.append(row[1:], far * base) + base
-        best = np.minimum(step, above)
-        row = np.minimum.accumulate(best - columns * base) + columns * base
+        np.add(row[1:], base, out=above[:-1])
+        best = np.minimum(row + (outside[i : i + size] != c) * base, above)
+        row = np.minimum.accumulate(best - slope) + slope
+        if i % 16 == 15 and row.min() >= (budget + 1) * base:
+            return None
     ends = columns + first + len(item)
     row = np.where(ends <= len(text), row, far * base)
     at = int((row // base).argmin())
