@@ -24,7 +24,6 @@ NAME_PATTERN = r"^[A-Za-z0-9\-_ ]*$"
 # Paging and batching limits.
 MAX_PAGE_SIZE = 1000
 DEFAULT_PAGE_SIZE = 10
-WRITE_BATCH_SIZE = 5000
 
 # Jobs.
 TERMINAL_STATUSES = ("SUCCEEDED", "ERROR", "CANCELLED")

@@ -261,7 +261,7 @@ def evaluate_members(
 
     One member more than the page is ranked to learn whether another page
     follows (``has_next``). Members none of whose lookups lead anywhere are left
-    out; a lookup over an array that leads nowhere is null.
+    out; a lookup over an array that leads nowhere is the JSON text ``null``.
     """
     members, table = member_page(
         collection, array_type, array_path, page_size + 1, offset, roots

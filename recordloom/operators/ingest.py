@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import Conflict
 from recordloom.functions.relation import relation_id
-from recordloom.model import META_TARGET, META_TYPE, RecordTable, quoted, tag, type_of
+from recordloom.model import META_TARGET, META_TYPE, RecordTable, check_name, quoted, tag, type_of
 from recordloom.model import AttributeType as A
 from recordloom.operators.evolve import evolve, widen_to
 from recordloom.operators.inference import relation_targets
@@ -61,9 +61,14 @@ def merge_records(
     name: str,
     key: str,
     records: DataFrame,
-    broadcast_rows: int = 0,
 ) -> RecordTable:
-    """The table after an upsert of typed, tagged ``records``; None makes a new one."""
+    """The table after an upsert of typed, tagged ``records``; None makes a new one.
+
+    Names of new attributes are checked, whatever the records came from.
+    """
+    for attribute in records.columns:
+        if attribute != key and (table is None or attribute not in table.df.columns):
+            check_name(attribute)
     if table is None:
         empty = RecordTable(name, records.select(quoted(key)), key)
         return RecordTable(name, stored(tag(with_relations(records, empty), key)), key)
@@ -88,7 +93,7 @@ def merge_records(
         else:
             c = widen_to(c, kind, target)
         columns.append(c.cast(target.spark_type).alias(attribute))
-    return evolved.with_df(upsert(evolved, records.select(*columns), broadcast_rows=broadcast_rows))
+    return evolved.with_df(upsert(evolved, records.select(*columns)))
 
 
 def apply_operations(
@@ -96,19 +101,22 @@ def apply_operations(
     name: str,
     ops: DataFrame,
     key: str,
-    batch_size: int | None = None,
     attributes: Sequence[str] | None = None,
 ) -> RecordTable:
     """The table after a JSON change batch, in the order of its ``seq``.
 
     The schema is evolved once, over all upserts, and the operations then applied
-    as one change feed.
+    as one change feed. An operation on a record of another type is a conflict; one
+    that names no type is taken to mean this table. ``split_by_type`` parts a batch
+    of several types.
     """
-    from recordloom.constants import WRITE_BATCH_SIZE
     from recordloom.operators.evolve import create_type
     from recordloom.operators.write import apply_changes
     from recordloom.sources.operations import infer_operations, typed_feed
 
+    strangers = ops.filter(F.col("type") != name).select("type").head(1)
+    if strangers:
+        raise Conflict(f"the batch for {name} has operations on {strangers[0]['type']!r}")
     inferred = {
         r["attribute"]: A(r["attribute_type"])
         for r in infer_operations(ops, attributes).collect()
@@ -129,7 +137,5 @@ def apply_operations(
     for n, k in related.items():
         if k is A.RELATION:
             feed = feed.withColumn(n, relation_id(quoted(n)))
-    state = apply_changes(
-        evolved, feed, names, given="given", batch_size=batch_size or WRITE_BATCH_SIZE
-    )
+    state = apply_changes(evolved, feed, names, given="given")
     return evolved.with_df(state)

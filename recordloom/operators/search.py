@@ -84,9 +84,11 @@ def term(table: RecordTable, column: str, value) -> Column:
     if kind.base is A.JSON:
         wanted = canonical_json(F.lit(_text(value)))
         return _matches(c, kind, lambda e: canonical_json(e) == wanted)
-    wanted = F.lit({A.BOOLEAN: _boolean, A.DATE: _date, A.DATE_TIME: _date_time}[kind.base](value))
     if kind.base is A.DATE_TIME:
-        wanted = wanted.cast("timestamp_ntz")
+        # as text: a Python date-time would be moved by the driver's own zone
+        wanted = F.lit(_date_time(value).isoformat(sep=" ")).cast("timestamp_ntz")
+    else:
+        wanted = F.lit({A.BOOLEAN: _boolean, A.DATE: _date}[kind.base](value))
     return F.array_contains(c, wanted) if kind.is_array else c == wanted
 
 

@@ -96,17 +96,17 @@ def member_page(
 ) -> tuple[DataFrame, RecordTable]:
     """Per array root, the page of distinct members in key order.
 
-    Rows are ``(sys_array_root, sys_root, sys_rank)``. The rank bound is pushed
-    below the shuffle, so each task sends at most a page per root however many
-    members one root has.
+    Rows are ``(sys_array_root, sys_root, sys_rank)``. Repeats of a member are
+    dropped before members are ranked, spread over all tasks, and the rank bound
+    then keeps at most a page per root.
     """
     rows, member = _follow(collection, array_type, array_path, roots)
     pairs = rows.select(
         F.col(ROOT_COLUMN).alias(ARRAY_ROOT), quoted(member.primary_key).alias("member")
-    )
-    rank = F.dense_rank().over(Window.partitionBy(ARRAY_ROOT).orderBy("member"))
+    ).distinct()
+    rank = F.row_number().over(Window.partitionBy(ARRAY_ROOT).orderBy("member"))
     ranked = pairs.withColumn("sys_rank", rank).filter(F.col("sys_rank") <= offset + page_size)
-    paged = ranked.filter(F.col("sys_rank") > offset).distinct()
+    paged = ranked.filter(F.col("sys_rank") > offset)
     return paged.withColumnRenamed("member", ROOT_COLUMN), member
 
 

@@ -7,24 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.constants import WRITE_BATCH_SIZE
 from recordloom.errors import Conflict, MissingObject
 from recordloom.model import RecordTable, quoted
-from recordloom.operators.batches import BATCH, number_batches
 from recordloom.operators.search import filter_ids
 
-# Change sets up to this many rows may be sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
-def _is_small(changes: DataFrame, limit: int) -> bool:
-    """Whether at most ``limit`` rows come; reads no further than that."""
-    return limit > 0 and changes.limit(limit + 1).count() <= limit
-
-
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
     """The last row per key by sequence number, combined map-side."""
     others = [c for c in changes.columns if c != key]
@@ -38,15 +27,11 @@ def upsert(
     table: RecordTable,
     changes: DataFrame,
     columns: Sequence[str] | None = None,
-    broadcast_rows: int = 0,
 ) -> DataFrame:
     """Insert or overwrite by key, touching only ``columns`` (default: all given).
 
     A null in a given column overwrites; columns not given keep their value, and
     are null in new records. ``changes`` holds each key once.
-
-    With ``broadcast_rows`` the change set is measured first; if it is no larger,
-    it goes to every executor and the existing records are not shuffled.
     """
     key = table.primary_key
     given = [c for c in (columns or changes.columns) if c != key]
@@ -73,18 +58,7 @@ def upsert(
         return out
 
     hit = F.col("new_key").isNotNull()
-    on = quoted(key) == F.col("new_key")
-    if not _is_small(changes, broadcast_rows):
-        return old.join(new, on, "full_outer").select(*merged(hit))
-    updated = old.join(F.broadcast(new), on, "left").select(*merged(hit))
-    known = old.select(quoted(key).alias("old_key")).join(
-        F.broadcast(new.select("new_key")), F.col("old_key") == F.col("new_key"), "left_semi"
-    )
-    # a key is found at most once, so what is known is no larger than the changes
-    fresh = new.join(F.broadcast(known), F.col("new_key") == F.col("old_key"), "left_anti")
-    nulls = [F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
-    inserted = fresh.select("*", *nulls).select(*merged(hit))
-    return updated.unionByName(inserted)
+    return old.join(new, quoted(key) == F.col("new_key"), "full_outer").select(*merged(hit))
 
 
 def insert_missing(table: RecordTable, ids: DataFrame) -> DataFrame:
@@ -186,14 +160,12 @@ def apply_changes(
     seq: str = "seq",
     operation: str = "operation",
     given: str | None = None,
-    batch_size: int = WRITE_BATCH_SIZE,
 ) -> DataFrame:
     """Apply upserts and deletes in sequence order.
 
     ``given`` names an ``array<string>`` column of the attributes each upsert
-    sets. An attribute given by *any* upsert of a batch is part of the batch, and
-    becomes null in the batch's other records. Without ``given`` every upsert
-    sets all ``columns``, and batches need not be told apart.
+    sets; its other attributes keep what they hold. Without ``given`` every upsert
+    sets all ``columns``.
 
     Per id one combinable aggregation keeps the last delete and, per column, the
     last upsert that set it, so a hot id costs one buffer per task. The result is
@@ -201,13 +173,8 @@ def apply_changes(
     """
     key = table.primary_key
     flags = {c: f"sets_{i}" for i, c in enumerate(columns)}
-    if given is None:
-        rows = feed.withColumns({f: F.lit(True) for f in flags.values()})
-    else:
-        rows = number_batches(feed, seq, operation, batch_size)
-        batch = Window.partitionBy(BATCH)
-        member = {f: F.coalesce(F.array_contains(given, c), F.lit(False)) for c, f in flags.items()}
-        rows = rows.select("*", *[F.max(m).over(batch).alias(f) for f, m in member.items()])
+    sets = {f: F.lit(True) if given is None else F.coalesce(F.array_contains(given, c), F.lit(False)) for c, f in flags.items()}
+    rows = feed.withColumns(sets)
     is_upsert = F.col(operation) == "upsert"
     is_delete = F.col(operation) == "delete"
     last = rows.groupBy(F.col(record_id).alias("new_key")).agg(
@@ -243,6 +210,13 @@ def apply_changes(
     return joined.filter(~gone).select(*out)
 
 
-def split_by_type(df: DataFrame, types: Sequence[str], column: str = "type") -> Mapping[str, DataFrame]:
-    """One plan per record type; each is a filter the scan can push down."""
+def split_by_type(
+    df: DataFrame, types: Sequence[str] | None = None, column: str = "type"
+) -> Mapping[str, DataFrame]:
+    """One plan per record type; each is a filter the scan can push down.
+
+    Without ``types`` they are those that occur; a null type is none of them.
+    """
+    if types is None:
+        types = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
     return {t: df.filter(F.col(column) == t).drop(column) for t in types}

@@ -38,35 +38,32 @@ def _ids(df, column):
 
 _UPSERT = f"""SELECT CAST(coalesce(c_custkey, user_id) AS VARCHAR) c_custkey, c_name, c_mktsegment,
     CASE WHEN user_id IS NULL THEN c_acctbal ELSE value END AS c_acctbal, event_type AS last_event
-  FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') FULL JOIN {_CHANGES} ON c_custkey = user_id"""
-
-
-def _but_building(table: RecordTable) -> RecordTable:
-    return table.with_df(table.df.filter("c_mktsegment <> 'BUILDING'"))
+  FROM customer FULL JOIN {_CHANGES} ON c_custkey = user_id"""
 
 
 @query("upsert_batch", _UPSERT)
 def upsert_batch(spark, sf):
     """Balances overwritten, a new attribute added, names kept, unknown customers inserted."""
-    return W.upsert(_but_building(_customers(spark, sf)), _latest_events(spark, sf))
+    return W.upsert(_customers(spark, sf), _latest_events(spark, sf))
 
 
 @query("upsert_broadcast", _UPSERT)
 def upsert_broadcast(spark, sf):
-    """The same, by sending the measured change set to the records."""
-    table = _but_building(_customers(spark, sf))
-    return W.upsert(table, _latest_events(spark, sf), broadcast_rows=W.BROADCAST_ROWS)
+    """The same, naming the attributes that are to be touched."""
+    return W.upsert(_customers(spark, sf), _latest_events(spark, sf), ["c_acctbal", "last_event"])
 
 
 @query(
     "insert_missing",
-    """SELECT CAST(c_custkey AS VARCHAR) c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'
-       UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), NULL FROM events
-       WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')""",
+    """SELECT CAST(c_custkey AS VARCHAR) c_custkey, c_name FROM customer
+       UNION ALL SELECT DISTINCT CAST(user_id + event_id % 2 * 1000000000 AS VARCHAR), NULL FROM events
+       WHERE user_id + event_id % 2 * 1000000000 NOT IN (SELECT c_custkey FROM customer)""",
 )
 def insert_missing(spark, sf):
-    table = _but_building(_customers(spark, sf))
-    return W.insert_missing(table, _ids(raw(spark, sf, "events"), "user_id")).select("c_custkey", "c_name")
+    """Every other event names a customer that isn't there."""
+    table = _customers(spark, sf)
+    events = raw(spark, sf, "events").select((F.col("user_id") + F.col("event_id") % 2 * 1_000_000_000).alias("user_id"))
+    return W.insert_missing(table, _ids(events, "user_id")).select("c_custkey", "c_name")
 
 
 @query(
@@ -196,7 +193,7 @@ def tables_with(tables: Collection, table: RecordTable) -> Collection:
 @query("split_by_type", "SELECT event_type AS type, count(*) AS records, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def split_by_type(spark, sf):
     events = raw(spark, sf, "events")
-    parts = W.split_by_type(events, ["click", "error", "purchase", "signup", "view"], "event_type")
+    parts = W.split_by_type(events, column="event_type")
     counted = None
     for name, rows in parts.items():
         one = rows.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("user_id").alias("users"))
@@ -235,25 +232,22 @@ def apply_changes(spark, sf):
     return W.apply_changes(_customers(spark, sf), _feed(spark, sf), ["c_acctbal", "last_event"])
 
 
-# events of one kind give one attribute; a batch is a run of upserts, cut by size
-_BATCHED = f"""
-  WITH o AS (SELECT *, CASE WHEN lag(op) OVER (ORDER BY seq) = op THEN 0 ELSE 1 END AS change FROM {_FEED}),
-  r AS (SELECT *, sum(change) OVER (ORDER BY seq) AS run FROM o),
-  b AS (SELECT *, greatest(row_number() OVER (PARTITION BY run ORDER BY seq) - 1 - CASE WHEN run > 1 THEN 1 ELSE 0 END, 0) // {{size}} AS cut FROM r),
-  g AS (SELECT *, bool_or(event_type = 'view') OVER w AS gv, bool_or(event_type = 'click') OVER w AS gc
-        FROM b WINDOW w AS (PARTITION BY run, cut)),
-  f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
-          max(seq) FILTER (op = 'upsert' AND gv) sv, max(seq) FILTER (op = 'upsert' AND gc) sc FROM g GROUP BY user_id)
+# events of one kind give one attribute, and set only that
+_GIVEN = f"""
+  WITH f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
+          max(seq) FILTER (op = 'upsert' AND event_type = 'view') sv, max(seq) FILTER (op = 'upsert' AND event_type = 'click') sc
+        FROM {_FEED} GROUP BY user_id)
   SELECT CAST(coalesce(c_custkey, f.user_id) AS VARCHAR) c_custkey, CASE WHEN d IS NULL THEN c_name END AS c_name,
-    CASE WHEN sv > coalesce(d, -1) THEN CASE WHEN ev.event_type = 'view' THEN ev.value END
-         WHEN d IS NULL THEN c_acctbal END AS c_acctbal,
-    CASE WHEN sc > coalesce(d, -1) THEN CASE WHEN ec.event_type = 'click' THEN ec.value END END AS clicked
+    CASE WHEN sv > coalesce(d, -1) THEN ev.value WHEN d IS NULL THEN c_acctbal END AS c_acctbal,
+    CASE WHEN sc > coalesce(d, -1) THEN ec.value END AS clicked
   FROM customer FULL JOIN f ON c_custkey = f.user_id
   LEFT JOIN events ev ON ev.event_id = sv LEFT JOIN events ec ON ec.event_id = sc
   WHERE d IS NULL OR u > d"""
 
 
-def _batched(spark, sf, size):
+@query("apply_changes_batched", _GIVEN)
+def apply_changes_batched(spark, sf):
+    """A feed whose upserts each name the attributes they set, however it was cut into batches."""
     e = F.col("last_event")
     feed = _feed(spark, sf).select(
         "seq", "record_id", "operation", F.when(e == "view", F.col("c_acctbal")).alias("c_acctbal"),
@@ -262,17 +256,7 @@ def _batched(spark, sf, size):
     )
     table = _customers(spark, sf)
     table = table.with_df(table.df.drop("c_mktsegment"))
-    return W.apply_changes(table, feed, ["c_acctbal", "clicked"], given="given", batch_size=size)
-
-
-@query("apply_changes_batched", _BATCHED.format(size=5000))
-def apply_changes_batched(spark, sf):
-    return _batched(spark, sf, 5000)
-
-
-@query("apply_changes_small_batches", _BATCHED.format(size=3))
-def apply_changes_small_batches(spark, sf):
-    return _batched(spark, sf, 3)
+    return W.apply_changes(table, feed, ["c_acctbal", "clicked"], given="given")
 
 
 @query(
@@ -290,13 +274,9 @@ def edges_of_touched(spark, sf):
 
 @query(
     "json_ops_apply",
-    f"""WITH o AS (SELECT *, CASE WHEN lag(op) OVER (ORDER BY seq) = op THEN 0 ELSE 1 END AS change FROM {_FEED}),
-      r AS (SELECT *, sum(change) OVER (ORDER BY seq) AS run FROM o),
-      b AS (SELECT *, greatest(row_number() OVER (PARTITION BY run ORDER BY seq) - 1 - CASE WHEN run > 1 THEN 1 ELSE 0 END, 0) // 5000 AS cut FROM r),
-      g AS (SELECT *, bool_or(event_type IN ('view', 'click')) OVER w AS gv, bool_or(event_type = 'click') OVER w AS gp
-            FROM b WINDOW w AS (PARTITION BY run, cut)),
-      f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
-              max(seq) FILTER (op = 'upsert' AND gv) sv, max(seq) FILTER (op = 'upsert' AND gp) sp FROM g GROUP BY user_id)
+    f"""WITH f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
+              max(seq) FILTER (op = 'upsert' AND event_type IN ('view', 'click')) sv,
+              max(seq) FILTER (op = 'upsert' AND event_type = 'click') sp FROM {_FEED} GROUP BY user_id)
       SELECT CAST(f.user_id AS VARCHAR) user_id,
         CASE WHEN sv > coalesce(d, -1) AND ev.event_type = 'view' THEN ev.value END AS value,
         CASE WHEN sp > coalesce(d, -1) AND ep.event_type = 'click' THEN replace(ep.props, ' ', '') END AS props
@@ -319,7 +299,7 @@ def json_ops_apply(spark, sf):
     f"""SELECT CAST(coalesce(c_custkey, user_id) AS VARCHAR) c_custkey, c_name,
           CASE WHEN user_id IS NULL THEN rtrim(rtrim(CAST(CAST(c_acctbal AS DECIMAL(38,6)) AS VARCHAR), '0'), '.')
                ELSE '~' || CAST(value AS VARCHAR) END AS c_acctbal, event_type AS last_event
-        FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') FULL JOIN {_CHANGES} ON c_custkey = user_id""",
+        FROM customer FULL JOIN {_CHANGES} ON c_custkey = user_id""",
 )
 def tsv_upload(spark, sf):
     """Two uploads of cells; the second turns a number column into text and adds one."""
@@ -327,7 +307,7 @@ def tsv_upload(spark, sf):
     from recordloom.sinks.export import tsv_cells
     from recordloom.sources.tsv import load_tsv
 
-    customers = _but_building(_customers(spark, sf))
+    customers = _customers(spark, sf)
     customers = customers.with_df(customers.df.select("c_custkey", "c_name", "c_acctbal"))
     table = merge_records(None, "customer", "c_custkey", load_tsv(tsv_cells(customers), "c_custkey"))
     text = F.concat(F.lit("~"), F.col("c_acctbal").cast("string"))

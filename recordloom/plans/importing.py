@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,12 +20,7 @@ from recordloom.sources import tsv as T
 
 def scratch(spark, name: str) -> str:
     """A fresh folder for one run, where all executors can reach it."""
-    base = shared_dir(spark)
-    if "://" in base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base.removeprefix("file:"))
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- TSV -------------------------------------------------------------------
@@ -45,7 +40,7 @@ def tsv_scan(spark, sf):
     table = table.with_df(tag(table.df.drop("c_nationkey").withColumn("c_name", name), "c_custkey"))
     path = scratch(spark, "tsv")
     write_tsv(table, path)
-    cells, _ = T.read_tsv(spark, path)
+    cells, _ = T.read_tsv(spark, path, multi_line=True)
     return cells
 
 

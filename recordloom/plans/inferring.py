@@ -36,8 +36,8 @@ def _iso(c="ts") -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def tsv_cells(df):
-    """Text cells of many types, one column per mixture."""
+def tsv_cells(df, *more):
+    """Text cells of many types, one column per mixture, and ``more`` columns beside them."""
     value = F.col("value").cast("string")
     k = F.get_json_object("props", "$.k")
     uri = relation_uri("user", F.col("user_id").cast("string"))
@@ -59,6 +59,7 @@ def tsv_cells(df):
             error=F.concat(F.lit('[1, "'), F.col("event_type"), F.lit('"]')),
         ).alias("more"),
         F.col("event_type"),
+        *more,
     )
 
 
@@ -120,7 +121,7 @@ _FOLD = """SELECT '{0}' AS attribute, CASE
                min(event_id) FILTER (k = 'DATE_TIME') s
         FROM (SELECT event_id, {1} AS k FROM events))"""
 
-_SPLIT = "(SELECT median(event_id) FROM events)"
+_SPLIT = "(SELECT (min(event_id) + max(event_id)) / 2 FROM events)"
 
 
 @query(
@@ -138,18 +139,15 @@ _SPLIT = "(SELECT median(event_id) FROM events)"
 )
 def infer_column(spark, sf):
     events = raw(spark, sf, "events")
-    half = events.agg(F.median("event_id")).scalar()
-    cells = tsv_cells(events).join(
-        events.select(
-            F.col("event_id").alias("id"),
-            F.when(F.col("event_id") <= half, _day()).otherwise(_iso()).alias("widened"),
-            F.when(F.col("event_id") <= half, _iso()).otherwise(_day()).alias("narrowed"),
-            F.when(F.col("event_type") != "error", F.col("value").cast("string")).alias("numbers"),
-            F.when(F.col("event_type") == "error", "[]").otherwise(F.concat(F.lit("["), "value", F.lit("]"))).alias("lists"),
-            F.when(F.col("event_type") == "error", F.col("value").cast("string"))
-            .otherwise(F.concat(F.lit("["), "value", F.lit("]"))).alias("both"),
-        ),
-        F.col("event_id") == F.col("id"),
+    half = sum(events.agg(F.min("event_id"), F.max("event_id")).first()) / 2
+    early, failed, listed = F.col("event_id") <= half, F.col("event_type") == "error", F.concat(F.lit("["), "value", F.lit("]"))
+    cells = tsv_cells(
+        events,
+        F.when(early, _day()).otherwise(_iso()).alias("widened"),
+        F.when(early, _iso()).otherwise(_day()).alias("narrowed"),
+        F.when(~failed, F.col("value").cast("string")).alias("numbers"),
+        F.when(failed, "[]").otherwise(listed).alias("lists"),
+        F.when(failed, F.col("value").cast("string")).otherwise(listed).alias("both"),
     )
     names = [*_TSV_TYPES, "widened", "narrowed", "numbers", "lists", "both"]
     return infer_columns(cells, {n: infer.tsv_type(n) for n in names}, F.col("event_id"))

@@ -185,7 +185,7 @@ def expr_eval(spark, sf):
 @query(
     "expr_eval_array",
     f"""SELECT CAST(m.o_custkey AS VARCHAR) sys_array_root, member AS record_id, n > 4 AS has_next,
-               '"' || o_orderstatus || '"' AS status, parts
+               '"' || o_orderstatus || '"' AS status, coalesce(parts, 'null') AS parts
         FROM {_MEMBERS} m JOIN orders o ON o.o_orderkey = m.o_orderkey
         JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) t ON t.o_custkey = m.o_custkey
         LEFT JOIN (SELECT l_orderkey, '[' || string_agg('"' || p_name || '"', ',' ORDER BY CAST(p_partkey AS VARCHAR)) || ']' AS parts

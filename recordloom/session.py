@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings that change results, not only speed.
@@ -55,22 +52,14 @@ def build_session(app: str = "recordloom", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local run) is a scratch folder made.
+    Only a local run may leave it unset; its scratch folders are then made below the warehouse.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    current = context.getCheckpointDir()
-    if configured:
-        if current is None:
-            context.setCheckpointDir(configured)
-        return configured
-    if current is None:
-        if not context.master.startswith("local"):
+    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        scratch = tempfile.mkdtemp(prefix="recordloom-")
-        context.setCheckpointDir(scratch)
-        return scratch
-    # setCheckpointDir adds a folder of its own below the one it was given
-    return os.path.dirname(current)
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordloom-scratch"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from recordloom.model import RecordTable, quoted
 from recordloom.operators.ingest import merge_records
-from recordloom.operators.write import BROADCAST_ROWS
 
 _FULL, _UPSERT, _BUCKET = "version=", "upsert=", "bucket_of_"
 _DONE = "_SUCCESS"
@@ -68,12 +67,20 @@ def bucket(key: Column, count: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
 
-def _write(df: DataFrame, folder: str, key: str, buckets: int) -> None:
+def _next(spark: SparkSession, path: str) -> int:
+    """A number above those of all versions, finished or not."""
+    names = _children(spark, path)
+    return max((int(n.removeprefix(p)) for n in names for p in (_FULL, _UPSERT) if n.startswith(p)), default=-1) + 1
+
+
+def _write(df: DataFrame, folder: str, key: str, buckets: int, replace: bool) -> None:
+    """Write a version's folder. Unless the caller named the version, to write it again after a loss, the folder must
+    not be there: that someone else has taken the number meanwhile is an error."""
     column = f"{_BUCKET}{buckets}"
     placed = df.withColumn(column, bucket(quoted(key), buckets))
     # ranges of (bucket, key) are even however many records a bucket has
     ranged = placed.repartitionByRange(column, quoted(key)).sortWithinPartitions(column, quoted(key))
-    ranged.write.mode("overwrite").partitionBy(column).parquet(folder)
+    ranged.write.mode("overwrite" if replace else "error").partitionBy(column).parquet(folder)
 
 
 def write_version(
@@ -81,11 +88,9 @@ def write_version(
 ) -> int:
     """Write ``df`` as a full version: the next one, or the one named."""
     path = path.rstrip("/")
-    if version is None:
-        found = versions(df.sparkSession, path)
-        version = found[-1] + 1 if found else 0
-    _write(df, f"{path}/{_FULL}{version}", primary_key, buckets)
-    return version
+    number = _next(df.sparkSession, path) if version is None else version
+    _write(df, f"{path}/{_FULL}{number}", primary_key, buckets, version is not None)
+    return number
 
 
 def read_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> RecordTable | None:
@@ -120,20 +125,20 @@ def upsert_table(
     keys are read and written, unless an attribute changes its type.
     """
     path = path.rstrip("/")
-    known = versions(spark, path)
-    number = version if version is not None else (known[-1] + 1 if known else 0)
+    number = _next(spark, path) if version is None else version
+    named = version is not None
     folders, count = _current(spark, path, number - 1)
     if not folders:
         merged = merge_records(None, name, key, records)
-        _write(merged.df, f"{path}/{_FULL}{number}", key, buckets)
+        _write(merged.df, f"{path}/{_FULL}{number}", key, buckets, named)
         return read_table(spark, path, name, number)
     touched = records.select(bucket(quoted(key), count).alias("b")).distinct().collect()
     only = {r["b"] for r in touched}
     part = _read(spark, folders, name, only)
-    merged = merge_records(part, name, key, records, BROADCAST_ROWS)
+    merged = merge_records(part, name, key, records)
     if all(merged.types[c] is t for c, t in part.types.items()):
-        _write(merged.df, f"{path}/{_UPSERT}{number}", key, count)
+        _write(merged.df, f"{path}/{_UPSERT}{number}", key, count, named)
     else:
-        whole = merge_records(_read(spark, folders, name), name, key, records, BROADCAST_ROWS)
-        _write(whole.df, f"{path}/{_FULL}{number}", key, count)
+        whole = merge_records(_read(spark, folders, name), name, key, records)
+        _write(whole.df, f"{path}/{_FULL}{number}", key, count, named)
     return read_table(spark, path, name, number)

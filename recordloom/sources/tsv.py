@@ -18,6 +18,7 @@ from recordloom.model import quoted, tag
 from recordloom.operators.inference import infer_schema
 
 ORDINAL = "sys_ordinal"
+ODD_ROW = "sys_odd_row"
 
 
 def check_header(columns: Sequence[str], primary_key: str | None = None) -> str:
@@ -32,13 +33,15 @@ def check_header(columns: Sequence[str], primary_key: str | None = None) -> str:
 
 
 def read_tsv(
-    spark: SparkSession, paths: str | Sequence[str], primary_key: str | None = None, multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], primary_key: str | None = None, multi_line: bool = False
 ) -> tuple[DataFrame, str]:
     """All cells as text, and the primary key column (default: the leftmost).
 
-    Cells may be quoted and hold tabs and newlines; quotes inside them are doubled
-    or escaped by a backslash. Files without newlines in cells split further with
-    ``multi_line=False``.
+    Cells may be quoted and hold tabs; quotes inside them are doubled or escaped by
+    a backslash. Newlines inside cells need ``multi_line``, with which a file can't
+    be split among tasks. All files must have the same header: Spark compares every
+    file's with the first one's. A row with more cells than the header, and text
+    that is no UTF-8 (or holds the replacement character itself), fails the read.
     """
     options = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": multi_line}
     reader = spark.read.options(**options)
@@ -49,10 +52,19 @@ def read_tsv(
     names = [c if c is not None else "" for c in first]
     key = check_header(names, primary_key)
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    cells = reader.option("enforceSchema", True).csv(paths, schema=schema, header=True)
-    if cells.isEmpty():
+    odd = {"enforceSchema": False, "columnNameOfCorruptRecord": ODD_ROW}
+    cells = reader.options(**odd).csv(paths, schema=f"{schema}, `{ODD_ROW}` string", header=True)
+    # a row is odd with fewer cells too, which then are null; only a surplus is an error
+    again = F.from_csv(quoted(ODD_ROW), ", ".join(f"c{i} string" for i in range(len(names) + 1)), options)
+    surplus = quoted(ODD_ROW).isNotNull() & again[f"c{len(names)}"].isNotNull()
+    broken = F.concat_ws("", *[quoted(n) for n in names]).contains("\ufffd")
+    where = F.input_file_name()
+    fault = F.when(surplus, F.concat(F.lit("a row has more cells than the header: "), where, F.lit(": "), quoted(ODD_ROW)))
+    fault = fault.when(broken, F.concat(F.lit("a row is not UTF-8: "), where))
+    checked = cells.filter(F.when(fault.isNull(), True).otherwise(F.raise_error(fault).cast("boolean")))
+    if checked.isEmpty():
         raise InvalidTsv("there are no rows")
-    return cells.select(*[_unescape(quoted(n)).alias(n) for n in names]), key
+    return checked.select(*[_unescape(quoted(n)).alias(n) for n in names]), key
 
 
 def _unescape(c: Column) -> Column:

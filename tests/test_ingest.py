@@ -18,7 +18,7 @@ URI = f"{RELATION_SCHEME}/test/"
 
 def _tsv(spark, tmp_path, name, text, key=None):
     (tmp_path / name).write_text(text)
-    cells, key = read_tsv(spark, str(tmp_path / name), key)
+    cells, key = read_tsv(spark, str(tmp_path / name), key, multi_line=True)
     return load_tsv(cells, key), key
 
 
@@ -62,19 +62,19 @@ def test_json_batch(spark, tmp_path):
         op("delete", "1"), op("upsert", "3", day="2020-01-01T10:00:00"), op("upsert", "1", n=10),
     ]
     (tmp_path / "ops.json").write_text(json.dumps(ops))
-    table = apply_operations(None, "t", read_operations(spark, str(tmp_path / "ops.json")), "id")
+    table = apply_operations(None, "t", read_operations(spark, str(tmp_path / "ops.json"), multi_line=True), "id")
     assert table.types == {
         "id": A.STRING, "n": A.NUMBER, "day": A.DATE_TIME, "rel": A.RELATION, "tags": A.ARRAY_OF_STRING
     }
     assert table.relations == {"rel": "test"}
     rows = {r["id"]: (r["n"], str(r["day"]), r["rel"], r["tags"]) for r in table.df.collect()}
-    # the last batch gives n and day, so record 3 has a null n and record 1 a null day
+    # an upsert sets what it names and nothing else
     assert rows == {
         "1": (Decimal(10), "None", None, None), "2": (Decimal(2), "None", None, ["a", "b"]),
         "3": (None, "2020-01-01 10:00:00", None, None),
     }
     more = [op("upsert", "2", n="many"), op("delete", "3")]
     (tmp_path / "more.json").write_text(json.dumps(more))
-    table = apply_operations(table, "t", read_operations(spark, str(tmp_path / "more.json")), "id")
+    table = apply_operations(table, "t", read_operations(spark, str(tmp_path / "more.json"), multi_line=True), "id")
     rows = {r["id"]: (r["n"], r["tags"]) for r in table.df.collect()}
     assert rows == {"1": ("10", None), "2": ("many", ["a", "b"])}

@@ -1,9 +1,13 @@
 """Every named query gives the rows of its SQL statement."""
 
+import datetime
 import glob
 import os
+from decimal import Decimal
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from recordloom.plans import registry
@@ -19,15 +23,31 @@ def db(sf):
     return connection
 
 
-def _normal(value):
-    if value is None or (isinstance(value, float) and value != value):
-        return "null"
-    return repr(value) if isinstance(value, float) else str(value)
+def _typed(value):
+    """A value with its type; null, the text ``null`` and a number's text are all different."""
+    if value is None or value is pd.NaT:
+        return ("none",)
+    if isinstance(value, bool | np.bool_):
+        return ("bool", bool(value))
+    if isinstance(value, float | np.floating):
+        # a column of whole numbers with nulls comes as floats
+        return ("none",) if value != value else ("number", repr(float(value)))
+    if isinstance(value, int | np.integer):
+        return ("number", repr(float(value)) if abs(int(value)) < 2**53 else str(value))
+    if isinstance(value, Decimal):
+        return ("number", repr(float(value)))
+    if isinstance(value, dict):
+        return ("map", tuple(sorted((k, _typed(v)) for k, v in value.items())))
+    if isinstance(value, list | tuple | np.ndarray):
+        return ("list", tuple(map(_typed, value)))
+    if isinstance(value, datetime.date | np.datetime64):
+        return ("time", str(pd.Timestamp(value)))
+    return (type(value).__name__, str(value))
 
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(map(_normal, r)) for r in frame.itertuples(index=False))
+    return sorted((tuple(map(_typed, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -1,6 +1,7 @@
 """Terms, sorting and paging on small hand-made tables."""
 
 import random
+import time
 
 import pytest
 from recordloom.constants import RELATION_SCHEME
@@ -127,3 +128,16 @@ def test_filter_reaches_the_scan(spark, sf, capsys):
     assert "TakeOrderedAndProject" in plan
     assert "EqualTo(p_retailprice,900.0)" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_retailprice:double>" in plan
+
+
+def test_date_time_terms_do_not_depend_on_the_drivers_zone(spark, monkeypatch):
+    df = spark.sql("SELECT '1' AS id, timestamp_ntz'2024-03-10 02:30:00' AS at UNION ALL SELECT '2', timestamp_ntz'2024-07-01 12:00:00'")
+    table = RecordTable("t", tag(df, "id"), "id")
+    try:
+        monkeypatch.setenv("TZ", "America/New_York")
+        time.tzset()
+        for rid, text in (("1", "2024-03-10T02:30:00"), ("2", "2024-07-01T12:00:00")):
+            assert [r["id"] for r in df.filter(S.term(table, "at", text)).collect()] == [rid]
+    finally:
+        monkeypatch.undo()
+        time.tzset()

@@ -60,6 +60,20 @@ def test_lost_version_is_not_seen(spark, tmp_path):
     assert upsert_table(spark, path, "t", "id", change, version=5).df.first()["n"] == 2
 
 
+def test_a_taken_version_is_an_error(spark, tmp_path, monkeypatch):
+    """Two writers that saw the same versions: the second one fails and changes nothing."""
+    from recordloom.sinks import table as sink
+
+    path = str(tmp_path / "t")
+    rows = lambda n: tag(spark.createDataFrame([("1", n)], "id string, n int"), "id")
+    assert write_version(rows(1), path, "id") == 0
+    monkeypatch.setattr(sink, "_next", lambda spark, path: 1)
+    write_version(rows(2), path, "id")
+    with pytest.raises(Exception, match="already exists"):
+        write_version(rows(3), path, "id")
+    assert read_table(spark, path, "t").df.first()["n"] == 2
+
+
 def _fake(spark):
     df = spark.sql("SELECT 'r1' AS id, 'hi \"x\"' AS name, 2.50D AS num, array('a', 'b') AS arr, cast(null as string) AS gone, 'p9' AS rel, array('p1') AS rels, cast(array() as array<string>) AS none, '{\"k\":[1]}' AS j")
     return RecordTable("thing", tag(df, "id", {"j": A.JSON}, {"rel": "person", "rels": "person", "none": "person"}), "id")

@@ -34,7 +34,7 @@ def _file(tmp_path, text, name="in.tsv"):
 
 
 def test_tsv_end_to_end(spark, tmp_path):
-    cells, key = T.read_tsv(spark, _file(tmp_path, SMALL))
+    cells, key = T.read_tsv(spark, _file(tmp_path, SMALL), multi_line=True)
     assert key == "sys_key"
     kinds = T.infer_tsv(cells, key)
     assert kinds == {
@@ -51,11 +51,11 @@ def test_tsv_end_to_end(spark, tmp_path):
 
 
 def test_tsv_round_trip(spark, tmp_path):
-    cells, key = T.read_tsv(spark, _file(tmp_path, SMALL))
+    cells, key = T.read_tsv(spark, _file(tmp_path, SMALL), multi_line=True)
     table = RecordTable("t", T.load_tsv(cells, key), key)
     out = str(tmp_path / "out")
     write_tsv(table, out)
-    back, back_key = T.read_tsv(spark, out)
+    back, back_key = T.read_tsv(spark, out, multi_line=True)
     assert back_key == key and back.columns == ["sys_key", *sorted(c for c in cells.columns if c != key)]
     again = RecordTable("t", T.load_tsv(back, key, T.infer_tsv(cells, key)), key)
     assert collect(tsv_cells(again)) == collect(tsv_cells(table))
@@ -89,7 +89,7 @@ def test_operations(spark, tmp_path):
         {"operation": "delete", "record": {"id": "1", "type": "t"}},
     ]
     path = _file(tmp_path, json.dumps(ops), "ops.json")
-    read = O.read_operations(spark, path)
+    read = O.read_operations(spark, path, multi_line=True)
     names = O.attribute_names(read)
     assert names == ["j", "l", "n", "s"]
     kinds = {r["attribute"]: A(r["attribute_type"]) for r in O.infer_operations(read, names).collect()}
@@ -192,3 +192,38 @@ def test_relation_uris(spark):
     df = spark.sql("SELECT 1 AS a, array(1, 2) AS b")
     got = N.relation_uris(df, {"a": "t", "b": "t"})
     assert tuple(got.first()) == (f"{RELATION_SCHEME}/t/1", [f"{RELATION_SCHEME}/t/1", f"{RELATION_SCHEME}/t/2"])
+
+
+@pytest.mark.parametrize(
+    ("second", "message"),
+    [("id\ty\tx\n2\t3\t4\n", "header"), ("id\tx\ty\n2\t3\t4\t5\n", "more cells"), (b"id\tx\ty\n2\t\xff\t4\n", "UTF-8")],
+)
+def test_tsv_faults_are_errors(spark, tmp_path, second, message):
+    """Columns in another order, a surplus cell, bytes that are no UTF-8: each in the second of two files."""
+    (tmp_path / "a.tsv").write_text("id\tx\ty\n1\t1\t2\n")
+    (tmp_path / "b.tsv").write_bytes(second if isinstance(second, bytes) else second.encode())
+    with pytest.raises(Exception, match=message):
+        T.read_tsv(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")])[0].collect()
+
+
+def test_tsv_rows_with_fewer_cells_end_in_nulls(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text('id\tx\ty\n1\t"a\tb"\n2\tc\td\n')
+    cells, _ = T.read_tsv(spark, str(tmp_path / "a.tsv"))
+    assert collect(cells) == [("1", "a\tb", None), ("2", "c", "d")]
+
+
+def test_operations_of_several_files_keep_their_order(spark, tmp_path):
+    """The later file is the larger one, which Spark reads first."""
+    def line(x):
+        return json.dumps({"operation": "upsert", "record": {"id": "1", "type": "t", "attributes": {"x": x}}}) + "\n"
+
+    (tmp_path / "part-0").write_text(line(-1))
+    (tmp_path / "part-1").write_text("".join(line(i) for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = O.read_operations(spark, str(tmp_path)).selectExpr("seq", "variant_get(attributes['x'], '$', 'int') AS x").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["x"] for r in sorted(rows, key=lambda r: r["seq"])] == list(range(-1, 3000))
+    assert len({r["seq"] for r in rows}) == 3001

@@ -14,19 +14,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from recordloom.plans import registry  # noqa: E402
 from recordloom.session import build_session  # noqa: E402
-
-
-def normal(value):
-    if isinstance(value, float):
-        return "null" if value != value else repr(value)
-    if value is None:
-        return "null"
-    return str(value)
-
-
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(normal(v) for v in r) for r in frame.astype(object).itertuples(index=False))
+from tests.test_oracles import _rows  # noqa: E402
 
 
 def main() -> int:
@@ -67,7 +55,7 @@ def main() -> int:
             print(f"COLS  {name}: {sorted(got_frame.columns)} / {sorted(want_frame.columns)}")
             bad += 1
             continue
-        got, want = rows(got_frame), rows(want_frame)
+        got, want = _rows(got_frame), _rows(want_frame)
         kinds = {
             c: (str(got_frame[c].dtype), str(want_frame[c].dtype))
             for c in got_frame.columns
