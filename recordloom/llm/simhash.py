@@ -187,20 +187,26 @@ def _gray_rank(mark: Column) -> Column:
     return mark
 
 
-def fingerprint_links(marks: DataFrame, bits: int = BITS, members: int = NODE_MEMBERS) -> DataFrame:
+def fingerprint_links(
+    marks: DataFrame, bits: int = BITS, members: int = NODE_MEMBERS, sure: int | None = None
+) -> DataFrame:
     """Links ``a``, ``b`` that connect the distinct ``fingerprint`` values of ``marks`` within ``bits``, and no others.
 
+    Nodes are made for ``sure`` bits (default: ``bits``): up to these every link counts, beyond them those whose
+    fingerprints meet in a node all the same.
+
     ``marks`` should be a stored table. Nodes of more than ``members`` fingerprints are divided, which loses no link. At
     the last level so few bits are free that a node is small.
     """
     spark: SparkSession = marks.sparkSession
-    level = {m: None for m in pair_masks(bits)}
+    sure = bits if sure is None else sure
+    level = {m: None for m in pair_masks(sure)}
     dealt = marks.select("fingerprint", F.explode(F.array(*[F.lit(_signed(m)) for m in level])).alias("mask"))
     found = None
     while True:
         node = dealt.select("fingerprint", "mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("pattern"))
         sizes = node.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
-        last = not any(pair_masks(bits, m) for m in level)
+        last = not any(pair_masks(sure, m) for m in level)
         sized = node.join(sizes, ["mask", "pattern"])
         links = (
             (sized if last else sized.where(F.col("n") <= members))
@@ -212,7 +218,7 @@ def fingerprint_links(marks: DataFrame, bits: int = BITS, members: int = NODE_ME
         found = links if found is None else found.union(links)
         if last or sizes.where(F.col("n") > members).isEmpty():
             return found
-        below = {m: pair_masks(bits, m) for m in level}
+        below = {m: pair_masks(sure, m) for m in level}
         children = spark.range(1).select(
             F.inline(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.lit(_signed(c)).alias("child")) for m, cs in below.items() for c in cs]))
         )
@@ -221,19 +227,19 @@ def fingerprint_links(marks: DataFrame, bits: int = BITS, members: int = NODE_ME
         level = {c: None for cs in below.values() for c in cs}
 
 
-def near_duplicate_groups(marked: DataFrame, bits: int = BITS) -> DataFrame:
-    """``fingerprint`` and ``component_id``, one row for each distinct fingerprint of ``marked``.
+def near_duplicate_groups(marked: DataFrame, bits: int = BITS, sure: int | None = None) -> DataFrame:
+    """``fingerprint``, ``root`` and ``component_id``, one row for each distinct fingerprint of ``marked``.
 
     ``marked`` is a stored table with doc_id and fingerprint. ``component_id`` is the smallest doc_id that can be reached
-    over links, and null only if no document of the component has an id.
+    over links, and null only if no document of the component has an id. ``root`` is the component's least fingerprint.
     """
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(fingerprint_links(distinct, bits))
+    roots = components(fingerprint_links(distinct, bits, sure=sure))
     rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        "fingerprint", "component_id"
+        "fingerprint", "root", "component_id"
     )
 
 
@@ -252,25 +258,84 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
 # --- keeping one of each group --------------------------------------------------------------------------------------
 
-STAGE_SHINGLE = 5
-STAGE_BITS = 6
+#: Near copies share four fifths of their shingles of five words. Fingerprints of shorter shingles propose them.
+STAGE_BITS = 8
+STAGE_SURE_BITS = 6
+SIMILAR_WORDS = 5
+SIMILAR = 0.8
+SKETCH = 128
+#: How far below ``SIMILAR`` an estimate from full sketches may fall: one standard deviation.
+SLACK = 0.035
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS) -> DataFrame:
-    """One row of each group of near-duplicates of ``docs``, all columns as they are.
+def sketch(text: bytes, words: int = SIMILAR_WORDS, size: int = SKETCH) -> bytes:
+    """The ``size`` least hashes of a text's distinct shingles, in order; a text with fewer words is one shingle."""
+    found = text.lower().split()
+    shingles = map(b" ".join, zip(*[found[i:] for i in range(words)], strict=False)) if len(found) >= words else [b" ".join(found)]
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+    return hashes[:size].tobytes()
 
-    A group's row is that with the smallest doc_id; of rows that share it, one. A null doc_id counts as the largest.
-    Texts without words (null texts too) are one group. An empty table stays empty.
-    """
-    marked = with_fingerprint(docs, shingle, "~mark").withColumn("~row", F.monotonically_increasing_id())
-    stored = written(marked, "marked")
-    narrow = stored.select("doc_id", F.col("~mark").alias("fingerprint"), "~row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("~row").alias("row")))
-    kept = (
-        narrow.join(near_duplicate_groups(narrow, bits), "fingerprint")
-        .select("doc_id", "~row", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.hex("fingerprint"))).alias("group"))
-        .groupBy("group")
-        .agg(first.alias("first"))
-        .select(F.col("first.row").alias("~row"))
+
+def similar(a: bytes, b: bytes, size: int = SKETCH) -> bool:
+    """Whether two sketches' texts share enough shingles: exactly if both have all of theirs, else as an estimate."""
+    left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    every = np.union1d(left, right)
+    if max(len(left), len(right)) < size:
+        return np.intersect1d(left, right).size >= SIMILAR * every.size
+    least = every[:size]
+    return np.isin(least, left).astype(int) @ np.isin(least, right).astype(int) >= (SIMILAR - SLACK) * least.size
+
+
+def _with_sketch(docs: DataFrame) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], [*batch.schema.names[:-1], "sketch"])
+
+    return docs.select("doc_id", "row", "fingerprint", text_or_empty().cast("binary").alias("octets")).mapInArrow(
+        add, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, fingerprint long, sketch binary"
     )
-    return stored.join(kept, "~row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` with ``similar``: whether ``sketch`` is like ``first_sketch``, which goes."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            first = columns.pop("first_sketch").to_pylist()
+            alike = [similar(a, b) for a, b in zip(columns["sketch"].to_pylist(), first, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(alike, pa.bool_())], [*columns, "similar"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name != "first_sketch")
+    return pairs.mapInArrow(judge, f"{fields}, similar boolean")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = STAGE_BITS) -> DataFrame:
+    """``docs`` without the near-duplicates of rows that stay, all columns as they are.
+
+    Groups are the components of fingerprints within ``bits``. In each, the row with the smallest doc_id stays (a null
+    one counts as the largest, of equal ones the first row stays) and those similar to it go: ``SIMILAR`` of their
+    shingles of ``SIMILAR_WORDS`` words are shared. What is left of the group is judged again in the same way, until
+    each row either stays or is similar to one that does. Texts without words (null texts too) are alike. An empty table
+    stays empty.
+    """
+    stored = written(with_fingerprint(docs, shingle, "~mark").withColumn("~row", F.monotonically_increasing_id()), "marked")
+    narrow = stored.select("doc_id", F.col("~mark").alias("fingerprint"), F.col("~row").alias("row"), "text")
+    marked = written(_with_sketch(narrow), "sketched")
+    groups = near_duplicate_groups(marked, bits, STAGE_SURE_BITS).withColumnRenamed("root", "group")
+    left = marked.join(groups, "fingerprint").select("group", "row", "doc_id", "sketch")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    gone = None
+    while True:
+        first = left.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+        first = first.select("group", F.col("first.row").alias("first_row"))
+        others = left.join(first, "group").where("row != first_row")
+        sketches = marked.select(F.col("row").alias("first_row"), F.col("sketch").alias("first_sketch"))
+        judged = written(_judged(others.join(sketches, "first_row").drop("first_row")), "judged")
+        part = judged.where("similar").select(F.col("row").alias("~row"))
+        gone = part if gone is None else gone.union(part)
+        left = judged.where("not similar").drop("similar")
+        if left.isEmpty():
+            return stored.join(gone, "~row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
