@@ -45,7 +45,7 @@ def convert_scalar(c: Column, source: A, target: A) -> Column:
     if source is target:
         return c
     return {
-        (A.STRING, A.NUMBER): lambda: _strict(c, c.try_cast("decimal(38,18)"), target),
+        (A.STRING, A.NUMBER): lambda: _strict(c, F.when(_is_exact(c), c.try_cast("decimal(38,18)")), target),
         (A.STRING, A.BOOLEAN): lambda: _strict(c, _spelled_boolean(c), target),
         (A.STRING, A.DATE): lambda: _strict(c, c.try_cast("date"), target),
         (A.STRING, A.DATE_TIME): lambda: _strict(c, c.try_cast("timestamp_ntz"), target),
@@ -71,6 +71,13 @@ def _strict(original: Column, converted: Column, target: A) -> Column:
     return F.coalesce(converted, F.when(original.isNotNull(), F.raise_error(message)))
 
 
+def _is_exact(c: Column) -> Column:
+    """Whether a number's text has no digits beyond the 18 places that are kept: it is refused rather than rounded."""
+    fraction = F.rtrim(F.regexp_extract(c, r"\.([0-9]*)", 1), F.lit("0"))
+    exponent = F.coalesce(F.regexp_extract(c, r"[eE]([+-]?[0-9]{1,4})", 1).try_cast("int"), F.lit(0))
+    return F.length(fraction) - exponent <= 18
+
+
 def _spelled_boolean(c: Column) -> Column:
     text = F.lower(F.trim(c))
     return F.when(text.isin(*TRUE_SPELLINGS), True).when(text.isin(*FALSE_SPELLINGS), False)

@@ -18,8 +18,10 @@ def _without_trailing_zeros(text: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A number without the zeros that a fixed scale adds."""
-    return _without_trailing_zeros(c.cast("decimal(38,18)").cast("string"))
+    """A number without the zeros that a fixed scale adds; a double too small or large for that, as Spark prints it."""
+    exact = c.try_cast("decimal(38,18)")
+    held = exact.isNotNull() & (exact.cast("double") == c.cast("double"))
+    return F.when(held, _without_trailing_zeros(exact.cast("string"))).otherwise(c.cast("string"))
 
 
 def date_time_text(c: Column) -> Column:

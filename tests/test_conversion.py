@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import UnsupportedConversion
 from recordloom.functions.convert import convert, is_supported
+from recordloom.functions.jsontext import number_text
 from recordloom.model import AttributeType as A
 
 D = Decimal
@@ -64,3 +65,19 @@ def test_supported_pairs():
             assert is_supported(s, t.array) is want and is_supported(s.array, t) is False
     with pytest.raises(UnsupportedConversion):
         convert(F.lit(1), A.BOOLEAN, A.DATE)
+
+
+@pytest.mark.parametrize("text", ["0.1234567890123456789012", "1e-20", "1e25", "12.5E-18"])
+def test_numbers_are_refused_rather_than_rounded(spark, text):
+    df = spark.createDataFrame([(text,)], "v string")
+    with pytest.raises(Exception, match="not a NUMBER"):
+        df.select(convert(F.col("v"), A.STRING, A.NUMBER)).collect()
+
+
+def test_number_text_keeps_every_digit(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1e-20D), (1e25D), (0.1D), (2.50D), (0D), (-1234567.125D) AS t(v)")
+    texts = [r[0] for r in rows.select(number_text(F.col("v"))).collect()]
+    assert [float(t) for t in texts] == [1e-20, 1e25, 0.1, 2.5, 0.0, -1234567.125]
+    assert texts[2:5] == ["0.1", "2.5", "0"]
+    exact = spark.createDataFrame([("0.000000000000000001",), ("1.25e3",), ("10.000",)], "v string")
+    assert [str(r[0].normalize()) for r in exact.select(convert(F.col("v"), A.STRING, A.NUMBER)).collect()] == ["1E-18", "1.25E+3", "1E+1"]
