@@ -99,33 +99,35 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     from pyspark.ml.feature import Bucketizer
 
-    lowest = -(1 << 63)
+    number = F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        text_or_empty().alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"),
-    ).select("doc_id", "text", "id", F.col("id").cast("double").alias("number"), F.xxhash64("text").alias("hash"))
+        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), number.alias("number")
+    ).withColumn("hash", F.xxhash64("text"))
     wanted = min(MOST_BUCKETS, rows.count() // BUCKET_ROWS + 1)
     cuts = rows.approxQuantile("number", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *sorted({c for c in cuts if math.isfinite(c)}), math.inf]
     if len(splits) > 2:
         dealt = Bucketizer(splits=splits, inputCol="number", outputCol="range").transform(rows)
-        dealt = dealt.select("doc_id", "text", "id", "hash", F.col("range").cast("int").alias("bucket"))
+        dealt = dealt.select("doc_id", "text", "hash", F.col("range").cast("int").alias("bucket"))
     else:
-        dealt = rows.select("doc_id", "text", "id", "hash", F.lit(0).alias("bucket"))
-    firsts = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("id", "hash")).alias("first")).collect())
-    spark = docs.sparkSession
-    heads = spark.range(0).select(*[F.lit(0).cast(kind).alias(c) for c, kind in (("id", "long"), ("hash", "long"), ("bucket", "int"))])
-    if firsts:
-        before = [firsts[i - 1][0] for i in range(len(firsts))]
-        heads = spark.range(1).select(
-            F.inline(
-                F.array(*[F.struct(F.lit(f["id"]).alias("id"), F.lit(f["hash"]).alias("hash"), F.lit(b).alias("bucket")) for (_, f), b in zip(firsts, before, strict=True)])
-            )
+        dealt = rows.select("doc_id", "text", "hash", F.lit(0).alias("bucket"))
+    firsts = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect())
+    # the copy of a bucket's first row goes to the bucket before it, and that of the very first to the last bucket
+    heads = [
+        F.struct(
+            F.lit(first["doc_id"]).cast("long").alias("head_id"),
+            F.lit(first["hash"]).cast("long").alias("head_hash"),
+            F.lit(firsts[i - 1][0]).alias("before"),
         )
-    copies = dealt.drop("bucket").join(F.broadcast(heads), ["id", "hash"])
-    together = dealt.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
-    order = Window.partitionBy("bucket").orderBy("copy", "id", "hash")
+        for i, (_, first) in enumerate(firsts)
+    ]
+    together = dealt.withColumn("copy", F.lit(False))
+    if heads:
+        listed = docs.sparkSession.range(1).select(F.inline(F.array(*heads)))
+        is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash"))
+        copies = dealt.drop("bucket").join(F.broadcast(listed), is_head)
+        together = together.unionByName(copies.select("doc_id", "text", "hash", F.col("before").alias("bucket"), F.lit(True).alias("copy")))
+    order = Window.partitionBy("bucket").orderBy("copy", "doc_id", "hash")
     return together.select(
         "bucket", F.row_number().over(order).alias("at"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "copy"
     )
