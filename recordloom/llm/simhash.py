@@ -216,9 +216,11 @@ def fingerprint_links(
             .mapInArrow(_node_links(bits), "a long, b long")
         )
         found = links if found is None else found.union(links)
-        if last or sizes.where(F.col("n") > members).isEmpty():
+        # only the masks of nodes that are too large go on, at most as many as this level has
+        large = [] if last else sizes.where(F.col("n") > members).select("mask").distinct().collect()
+        if not large:
             return found
-        below = {m: pair_masks(sure, m) for m in level}
+        below = {m: pair_masks(sure, m) for m in level if _signed(m) in {r["mask"] for r in large}}
         children = spark.range(1).select(
             F.inline(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.lit(_signed(c)).alias("child")) for m, cs in below.items() for c in cs]))
         )

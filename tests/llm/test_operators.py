@@ -418,7 +418,7 @@ def test_index_search_finds_all_pairs(bits):
     assert linked(zip(a.tolist(), b.tolist(), strict=True), marks.tolist()) == linked(every, marks.tolist())
 
 
-@pytest.mark.parametrize(("bits", "members"), [(2, 20_000), (2, 3), (6, 10)])
+@pytest.mark.parametrize(("bits", "members"), [(2, 20_000), (2, 40), (6, 20_000)])
 def test_divided_nodes_lose_no_link(spark, bits, members):
     marks = clustered_marks(random.Random(5), 60)
     signed = [m - (1 << 64) if m >> 63 else m for m in marks]
