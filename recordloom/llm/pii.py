@@ -44,7 +44,10 @@ HOST = re.compile(r"[A-Za-z0-9.-]++")
 NODE_DIGITS = 7
 FORM_DIGITS = 7
 
-UNLABELLED_WEIGHT = 0.1
+UNLABELLED_WEIGHT = 0.02
+#: Pairs with equal labels that skip links are taken to have had before any is counted.
+SAME_FORM = 100.0
+PENALTY = 0.003
 CERTAIN = 0.9
 ROUNDS = 10
 DAMPING = 0.5
@@ -210,7 +213,7 @@ def _regression(rows: Sequence[tuple[str, int, float]]) -> dict[str, np.ndarray]
         score = x @ w
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        velocity = 0.9 * velocity - x.T @ ((p - y) * weight[:, None]) - 1e-4 * w
+        velocity = 0.9 * velocity - x.T @ ((p - y) * weight[:, None]) - PENALTY * w
         w += velocity
     return {name: w[i] for name, i in names.items()}
 
@@ -228,8 +231,12 @@ def fit(scanned: DataFrame) -> Field:
     )
     counts = {True: np.zeros((len(LABELS),) * 2), False: np.zeros((len(LABELS),) * 2)}
     for r in links.collect():
-        counts[r["skip"]][r["a"], r["b"]] += r["times"] * UNLABELLED_WEIGHT ** ((r["a"] == NONE) + (r["b"] == NONE))
-    return Field(_regression(rows), _association(counts[False]), _association(counts[True]))
+        open_ends = (r["a"] == NONE) + (r["b"] == NONE)
+        # where one of two equal forms has a label, the other's is not known to differ
+        if not (r["skip"] and open_ends == 1):
+            counts[r["skip"]][r["a"], r["b"]] += r["times"] * UNLABELLED_WEIGHT**open_ends
+    same = np.eye(len(LABELS)) * SAME_FORM
+    return Field(_regression(rows), _association(counts[False]), _association(counts[True] + same))
 
 
 def marginals(unary: np.ndarray, a: np.ndarray, b: np.ndarray, pair: np.ndarray) -> np.ndarray:
