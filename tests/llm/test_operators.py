@@ -78,6 +78,41 @@ def test_near_duplicate_filter_keeps_one_row_of_each_group(spark, documents):
     assert simhash.without_near_duplicates(documents(ODD).limit(0)).collect() == []
 
 
+def kept_by_all_pairs(rows):
+    """The ids that stay if each text is compared with all that stay before it, by sets of five-word shingles."""
+    kept = []
+    for doc, text in sorted(rows):
+        words = text.lower().split()
+        mine = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+        if not any(5 * len(mine & other) >= 4 * len(mine | other) for _, other in kept):
+            kept.append((doc, mine))
+    return [doc for doc, _ in kept]
+
+
+def near_copies(seed, least, most):
+    """Texts and copies without the end, or with some words changed, between ``least`` and ``most`` of them the same."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: int(len(words) * rng.uniform(least, most))]))]
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 6)):
+            words[at] = f"v{rng.randrange(3000)}"
+        rows.append((1000 + i, " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [0, 20])
+def test_near_duplicate_filter_finds_every_pair(spark, documents, monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS_A_POSTING", pairs)
+    rows = near_copies(3, 0.8, 0.95)
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()) == kept_by_all_pairs(rows)
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 
