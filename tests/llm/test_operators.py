@@ -113,6 +113,11 @@ def test_near_duplicate_filter_finds_every_pair(spark, documents, monkeypatch, p
     assert sorted(r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()) == kept_by_all_pairs(rows)
 
 
+def test_near_duplicate_filter_drops_no_long_text_below_the_bound(spark, documents):
+    rows = near_copies(3, 0.74, 0.8)
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()) == kept_by_all_pairs(rows)
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 
