@@ -1,13 +1,15 @@
 """Token ids of whole texts, by the byte-level BPE of a vocabulary file.
 
-The ids are those of the vocabulary's tokenizer without special tokens. A text is cut at single spaces between other
-characters, where the vocabulary's splitting pattern always cuts, and the parts' ids are kept in a bounded cache, since
-most words come again.
+The ids are those of the vocabulary's tokenizer, which adds no special tokens but knows the vocabulary's added tokens
+where a text spells them. A text is cut at these, and then at single spaces between other characters, where the
+vocabulary's splitting pattern always cuts. The parts' ids are kept in a bounded cache, since most words come again.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from functools import lru_cache
 
@@ -25,6 +27,15 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The ids of the tokens that the vocabulary's tokenizer file adds to its ranks; none without such a file beside it."""
+    described = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as lines:
+        return {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+
+
 class _Loose(Exception):
     """A part begins or ends with white space, so cutting at each space was wrong."""
 
@@ -42,6 +53,9 @@ class Encoder(dict):
         self._encode = tiktoken.Encoding(
             "vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        self._added = {t: np.array([i], "<u4").tobytes() for t, i in added_tokens(path).items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._cuts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self._added else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
@@ -58,6 +72,13 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
+        parts = self._cuts.split(text) if self._cuts else [text]
+        if len(parts) == 1:
+            return self._plain(text)
+        # every second part is an added token
+        return b"".join([self._added[p] if i % 2 else self._plain(p) for i, p in enumerate(parts)])
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
             if first and first[-1].isspace():

@@ -159,6 +159,16 @@ def test_pieces_decode_to_the_texts(spark, documents):
         assert ids[-1] == 1 and tokenizer.decode(ids[:-1]) == text
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  <|endoftext|>z", "<|endoftext| > a", " <|endoftext|>  b c"])
+def test_added_tokens_in_texts_have_their_own_id(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encoder(tokens.vocabulary_path()).encode(text), "<u4").tolist() == want
+
+
 def test_places_are_whole_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
     rng = random.Random(1)
