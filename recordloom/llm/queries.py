@@ -14,6 +14,7 @@ from recordloom.llm import (
     lengths,
     packing,
     pii,
+    repair,
     simhash,
     toxicity,
     url_filter,
@@ -216,3 +217,33 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return weighted_sampling.neighbour_likeness(table(spark, sf_dir, "documents"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` with a fault in every fourth row or so, by the crc32 of its ids; nulls are one space."""
+    space = F.lit(" ")
+
+    def known(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), space)
+
+    fault = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn")).cast("binary")) % F.lit(20)
+    return turns.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), fault.alias("~fault")).select(
+        "conv_id",
+        "turn",
+        F.when(F.col("~fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("~fault") == 1, "").when(F.col("~fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("~fault") == 0, F.array().cast("array<int>")).when(F.col("~fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("~copy"),
+    ).drop("~copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest edits that repair it."""
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.digests(repair.repair(damaged_turns(turns))).withColumnRenamed("conv_id", "~conv_id")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("~conv_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
