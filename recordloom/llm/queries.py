@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import (
+    alignment,
     chat,
     decontaminate,
     language_model,
@@ -247,3 +248,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("~conv_id")), "left").select(
         "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
     )
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with counts of links over all documents."""
+    return alignment.link_counts(table(spark, sf_dir, "documents"))

@@ -78,6 +78,10 @@ class Encoder(dict):
         # every second part is an added token
         return b"".join([self._added[p] if i % 2 else self._plain(p) for i, p in enumerate(parts)])
 
+    def encode_as_text(self, text: str) -> bytes:
+        """The ids of a whole text in which the strings of added tokens are text like any other."""
+        return self._plain(text)
+
     def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
