@@ -15,6 +15,7 @@ from recordloom.llm import (
     lengths,
     packing,
     pii,
+    quality,
     repair,
     simhash,
     toxicity,
@@ -250,6 +251,16 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by its nearest labelled documents, a third of which take no part."""
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    return quality.with_quality(documents, model, ["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens in every document, with counts of links over all documents."""

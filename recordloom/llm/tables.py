@@ -23,9 +23,9 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def held_out(doc_id: Column, parts: int) -> Column:
-    """True where the crc32 of the id as text falls in the first of ``parts`` folds; a null id counts as empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts) == 0
+def held_out(doc_id: Column, parts: int, part: int = 0) -> Column:
+    """True where the crc32 of the id as text falls in one of ``parts`` folds; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts) == part
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
