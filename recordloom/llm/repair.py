@@ -187,6 +187,7 @@ def _chunks(marked: DataFrame) -> DataFrame:
     """One row for each chunk: conv_id, ~chunk, its rows' ``initials`` and ``faults``, and its ``costs``.
 
     A chunk is the part of a conversation in one run of ``1 << CHUNK_BITS`` places, so a conversation has a row at least.
+    A chunk with other conversations on both sides is whole and is only entered at the start: its costs are null.
     """
     kind = marked.schema["conv_id"].dataType.simpleString()
 
@@ -203,7 +204,8 @@ def _chunks(marked: DataFrame) -> DataFrame:
             out["~chunk"].append(here[0] >> CHUNK_BITS)
             out["initials"].append([p[0] for p in part])
             out["faults"].append([p[1] for p in part])
-            out["costs"].append(costs(part))
+            whole = 0 < start and i < len(rows) and rows[start - 1][1] != here[1] != rows[i][1]
+            out["costs"].append(None if whole else costs(part))
             start = i
         return pa.Table.from_pydict(out, schema=pa.schema([
             ("conv_id", group.schema.field("conv_id").type), ("~chunk", pa.int64()), ("initials", pa.list_(pa.string())),
@@ -267,7 +269,8 @@ def _left_to_pay(chunks: DataFrame) -> DataFrame:
                 if row[0] != conversation:
                     conversation, left = row[0], [c for c, _ in END]
                 yield [*row, left]
-                cost = row[at]
+                if (cost := row[at]) is None:
+                    continue
                 left = [min(cost[a * STATES + b] + left[b] for b in range(STATES) if cost[a * STATES + b] is not None) for a in range(STATES)]
                 # only differences decide, and low costs make short auctions
                 left = [c - min(left) for c in left]
@@ -281,21 +284,22 @@ def _left_to_pay(chunks: DataFrame) -> DataFrame:
 
 
 def _plans(chunks: DataFrame) -> DataFrame:
-    """Adds, for each state a chunk can be entered in, the ``letters`` of its edits and the state ``after`` them."""
+    """Adds, for each state a chunk can be entered in (a whole conversation: only the start), the ``letters`` of its edits and the state ``after`` them."""
     kind = chunks.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters, after = [], []
-            for initials, found, left in zip(*[batch.column(c).to_pylist() for c in ("initials", "faults", "left")], strict=True):
-                plans = [edits(list(zip(initials, found, strict=True)), state, left) for state in range(STATES)]
+            for initials, found, left, cost in zip(*[batch.column(c).to_pylist() for c in ("initials", "faults", "left", "costs")], strict=True):
+                entered = [START] if cost is None else range(STATES)
+                plans = [edits(list(zip(initials, found, strict=True)), state, left) for state in entered]
                 letters.append([p[0] for p in plans])
                 after.append([p[1] for p in plans])
             columns = [pa.array(letters, pa.list_(pa.string())), pa.array(after, pa.list_(pa.int32()))]
             known = [batch.column(c) for c in ("conv_id", "~chunk", "faults")]
             yield pa.RecordBatch.from_arrays([*known, *columns], ["conv_id", "~chunk", "faults", "letters", "after"])
 
-    dealt = chunks.select("conv_id", "~chunk", "initials", "faults", "left").repartition("conv_id", "~chunk")
+    dealt = chunks.repartition("conv_id", "~chunk")
     return dealt.mapInArrow(run, f"conv_id {kind}, `~chunk` long, faults array<int>, letters array<string>, after array<int>")
 
 
