@@ -17,7 +17,6 @@ import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import tokens
 from recordloom.llm.tables import text_or_empty, written
+from recordloom.llm.worker import held
 
 #: Distinct links of a block's documents, added up, from which on a new block is begun.
 BLOCK_LINKS = 1 << 21
@@ -78,7 +78,7 @@ class Aligner:
     def __init__(self, ranks: str, pieces: str):
         import sentencepiece
 
-        self._encoder = tokens.encoder(ranks)
+        self._encoder = tokens.Encoder(ranks)
         with open(ranks, "rb") as lines:
             self.a_bytes = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, lines)}
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -123,10 +123,9 @@ class Aligner:
         return a[ends[:, 0]] * self.b_size + b[ends[:, 1]]
 
 
-@lru_cache(maxsize=1)
 def aligner(ranks: str, pieces: str) -> Aligner:
-    """One per Python worker and pair of files."""
-    return Aligner(ranks, pieces)
+    """The aligner that this Python worker holds, of these files."""
+    return held((Aligner, ranks, pieces), lambda: Aligner(ranks, pieces))
 
 
 def align(docs: DataFrame, ranks: str | None = None, pieces: str | None = None) -> DataFrame:

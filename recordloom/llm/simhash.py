@@ -187,26 +187,20 @@ def _gray_rank(mark: Column) -> Column:
     return mark
 
 
-def fingerprint_links(
-    marks: DataFrame, bits: int = BITS, members: int = NODE_MEMBERS, sure: int | None = None
-) -> DataFrame:
+def fingerprint_links(marks: DataFrame, bits: int = BITS, members: int = NODE_MEMBERS) -> DataFrame:
     """Links ``a``, ``b`` that connect the distinct ``fingerprint`` values of ``marks`` within ``bits``, and no others.
 
-    Nodes are made for ``sure`` bits (default: ``bits``): up to these every link counts, beyond them those whose
-    fingerprints meet in a node all the same.
-
     ``marks`` should be a stored table. Nodes of more than ``members`` fingerprints are divided, which loses no link. At
     the last level so few bits are free that a node is small.
     """
     spark: SparkSession = marks.sparkSession
-    sure = bits if sure is None else sure
-    level = {m: None for m in pair_masks(sure)}
+    level = {m: None for m in pair_masks(bits)}
     dealt = marks.select("fingerprint", F.explode(F.array(*[F.lit(_signed(m)) for m in level])).alias("mask"))
     found = None
     while True:
         node = dealt.select("fingerprint", "mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("pattern"))
         sizes = node.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
-        last = not any(pair_masks(sure, m) for m in level)
+        last = not any(pair_masks(bits, m) for m in level)
         sized = node.join(sizes, ["mask", "pattern"])
         links = (
             (sized if last else sized.where(F.col("n") <= members))
@@ -220,7 +214,7 @@ def fingerprint_links(
         large = [] if last else sizes.where(F.col("n") > members).select("mask").distinct().collect()
         if not large:
             return found
-        below = {m: pair_masks(sure, m) for m in level if _signed(m) in {r["mask"] for r in large}}
+        below = {m: pair_masks(bits, m) for m in level if _signed(m) in {r["mask"] for r in large}}
         children = spark.range(1).select(
             F.inline(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.lit(_signed(c)).alias("child")) for m, cs in below.items() for c in cs]))
         )
@@ -229,14 +223,14 @@ def fingerprint_links(
         level = {c: None for cs in below.values() for c in cs}
 
 
-def near_duplicate_groups(marked: DataFrame, bits: int = BITS, sure: int | None = None) -> DataFrame:
+def near_duplicate_groups(marked: DataFrame, bits: int = BITS) -> DataFrame:
     """``fingerprint``, ``root`` and ``component_id``, one row for each distinct fingerprint of ``marked``.
 
     ``marked`` is a stored table with doc_id and fingerprint. ``component_id`` is the smallest doc_id that can be reached
     over links, and null only if no document of the component has an id. ``root`` is the component's least fingerprint.
     """
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(fingerprint_links(distinct, bits, sure=sure))
+    roots = components(fingerprint_links(distinct, bits))
     rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -258,203 +252,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     )
 
 
-# --- keeping one of each group --------------------------------------------------------------------------------------
-
-#: Near copies share four fifths of the distinct shingles of five words that either of them has.
-SIMILAR_WORDS = 5
-SIMILAR_PARTS, SIMILAR_OF = 4, 5
-#: A text of fewer shingles is only like texts with the same ones.
-LEAST_SHINGLES = SIMILAR_PARTS
-#: Shingles that come again among so many are counted, and so many of the commonest are told from the others. Both only
-#: say in which order shingles are looked at, so they change how much is compared, not what is found.
-COUNTED_AT_ONCE = 1 << 22
-COMMON_SHINGLES = 500_000
-#: Pairs a posting up to which all of them are compared at once.
-PAIRS_A_POSTING = 20
-CACHED_WORDS = 500_000
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(29)
-
-
-class _Words(dict):
-    """The XXH64 values of words, kept in bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = xxhash.xxh64_intdigest(word, SEED)
-        if len(word) <= 40:
-            self[word] = found
-        return found
-
-
-_WORDS = _Words()
-
-
-def shingles(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """The hashes of a text's distinct shingles, in order; a text with fewer words is one shingle."""
-    found = text.lower().split()
-    if len(found) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
-    each = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    size = len(each) - words + 1
-    out = each[:size] * _MIX
-    for k in range(1, words):
-        out = ((out ^ (out >> _SHIFT)) + each[k : k + size]) * _MIX
-    return np.unique(out ^ (out >> _SHIFT))
-
-
-def similar(left: np.ndarray, right: np.ndarray) -> bool:
-    """Whether two texts, given as all their shingles, share enough of them."""
-    both = np.intersect1d(left, right, assume_unique=True).size
-    return SIMILAR_OF * both >= SIMILAR_PARTS * (len(left) + len(right) - both)
-
-
-def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """So many of a text's shingles, the rarest first, that texts similar to it have one of them in theirs."""
-    at = np.searchsorted(common, found)
-    at[at == len(common)] = 0
-    rank = np.where(common[at] == found, often[at], 0) if len(common) else np.zeros(len(found), np.int8)
-    shared = -(-SIMILAR_PARTS * len(found) // SIMILAR_OF)
-    return found[np.lexsort((found, rank))][: len(found) - shared + 1]
-
-
-def _common_shingles(stored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles in order, and the logarithms of how often they were met in places where they come again."""
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates, all columns as they are.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            held.clear()
-            again = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(n[again])], ["token", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text))
-                size += len(held[-1])
-                if size > COUNTED_AT_ONCE:
-                    yield flush()
-                    size = 0
-        yield flush()
-
-    counted = stored.select(text_or_empty().cast("binary")).mapInArrow(count, "token long, n long")
-    most = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_SHINGLES)
-    rows = most.toArrow()
-    token, n = rows["token"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
-
-
-def _with_prefix(stored: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``row``, doc_id, the number of shingles ``n``, a ``key`` of all of them, and the ``prefix``."""
-    sent = stored.sparkSession.sparkContext.broadcast(common)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, tokens = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = shingles(text)
-                keys.append(xxhash.xxh3_128_digest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                tokens.append(prefix(found, *sent.value).view(np.int64) if len(found) >= LEAST_SHINGLES else np.empty(0, np.int64))
-            columns = [pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "n", "key", "prefix"])
-
-    kind = stored.schema["doc_id"].dataType.simpleString()
-    narrow = stored.select(F.col("~row").alias("row"), "doc_id", text_or_empty().cast("binary").alias("octets"))
-    return narrow.mapInArrow(add, f"row long, doc_id {kind}, n int, key binary, prefix array<long>")
-
-
-def _similar_pairs(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (rows ``a`` and ``b``) whose texts are similar by all their shingles."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "shingles"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3)]
-            alike = pa.array([similar(a, b) for a, b in zip(*sides, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(alike)
-
-    rows = pairs.select(F.col("a").alias("~row")).union(pairs.select(F.col("b").alias("~row"))).distinct()
-    texts = stored.select("~row", text_or_empty().cast("binary").alias("octets")).join(rows, "~row", "left_semi")
-    sets = written(texts.mapInArrow(add, "row long, shingles binary"), "shingles")
-    left, right = (sets.toDF(side, f"{side}_shingles") for side in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_shingles", "b_shingles")
-    return written(joined.mapInArrow(judge, "a long, b long"), "similar")
-
-
-def _near_enough(a: str, b: str) -> Column:
-    """Whether texts whose first common shingle has these places can share enough: it and all that follow are common."""
-    left, right = (F.col(f"{x}.n") - F.col(f"{x}.place") for x in (a, b))
-    both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    return F.least(left, right) * (SIMILAR_PARTS + SIMILAR_OF) >= both * SIMILAR_PARTS
-
-
-def _similar_to_kept(first: DataFrame, stored: DataFrame) -> DataFrame:
-    """``row`` of those of ``first`` that go; no two of its rows have the same shingles."""
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n", "place").alias("at")
-    every = first.select("row", "doc_id", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = every.groupBy("token").agg(F.count("*").alias("d")).where("d > 1").select("token")
-    left = written(every.join(shared, "token").select("token", at), "postings")
-    gone = first.select("row").where(F.lit(False))
-    # while there are large groups: rows that come first wherever they are decide on all that are similar to them
-    before = None
-    while True:
-        per_token = left.groupBy("token").agg(F.count("*").cast("double").alias("d"))
-        size = per_token.agg(F.sum("d").alias("n"), F.sum(F.col("d") * F.col("d")).alias("pairs")).first()
-        if not size["n"] or size["pairs"] <= PAIRS_A_POSTING * size["n"] or (before and size["n"] > 0.9 * before):
-            break
-        before = size["n"]
-        led = left.join(left.groupBy("token").agg(F.min("at").alias("lead")), "token")
-        leads = led.groupBy(F.col("at.row").alias("row")).agg(F.min(F.col("at.row") == F.col("lead.row")).alias("first")).where("first")
-        leads = written(leads.select("row"), "leads")
-        follow = led.join(leads.withColumnRenamed("row", "lead_row"), F.col("lead.row") == F.col("lead_row")).where("at.row != lead.row")
-        pairs = follow.where(_near_enough("lead", "at")).select(F.col("lead.row").alias("a"), F.col("at.row").alias("b")).distinct()
-        part = _similar_pairs(written(pairs, "pairs"), stored).select(F.col("b").alias("row")).distinct()
-        gone = gone.union(part)
-        decided = leads.union(part).withColumnRenamed("row", "decided")
-        left = written(left.join(decided, F.col("at.row") == F.col("decided"), "left_anti"), "postings")
-    # then all pairs of the rest, each from the row that comes first to the other
-    one, other = left.withColumnRenamed("at", "x"), left.withColumnRenamed("at", "y")
-    pairs = one.join(other, "token").where((F.col("x") < F.col("y")) & _near_enough("x", "y"))
-    pairs = written(pairs.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "pairs")
-    links = _similar_pairs(pairs, stored)
-    while not links.isEmpty():
-        blocked = links.select(F.col("b").alias("a")).distinct()
-        part = written(links.join(blocked, "a", "left_anti").select(F.col("b").alias("row")).distinct(), "gone")
-        gone = gone.union(part)
-        # links of rows that go say nothing more
-        for side in "ab":
-            links = links.join(part.withColumnRenamed("row", side), side, "left_anti")
-        links = written(links.select("a", "b"), "links")
-    return gone
-
-
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near-duplicates of rows that stay, all columns as they are.
-
-    In the order of doc_id (a null one counts as the largest, equal ones in the order of rows) a row goes if it is
-    similar to one that stays: if of the distinct shingles of ``SIMILAR_WORDS`` words that either has, both have four
-    fifths. So no two similar rows stay, and no row goes without one. Texts without words (null texts too) are alike. An
-    empty table stays empty.
-
-    Of rows with the same shingles the first one speaks for all. Similar texts have a shingle in common among the fifth
-    that is rarest of each, which proposes pairs; all shingles of both decide.
+    It is the row with the smallest doc_id; a null one counts as the largest, of equal ones the first row stays. A null
+    or empty text has fingerprint zero, linked like any other. An empty table stays empty.
     """
     stored = written(docs.withColumn("~row", F.monotonically_increasing_id()), "stored")
-    marked = written(_with_prefix(stored, _common_shingles(stored)), "prefixes")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    one = written(marked.groupBy("key").agg(F.min(order).alias("first")).select("first.row"), "first")
-    copies = marked.select("row").join(one, "row", "left_anti")
-    first = marked.where(F.col("n") >= LEAST_SHINGLES).join(one, "row", "left_semi")
-    gone = copies.union(_similar_to_kept(first, stored)).withColumnRenamed("row", "~row")
-    return stored.join(gone, "~row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = with_fingerprint(stored.select("~row", "doc_id", "text"), shingle).select("~row", "doc_id", "fingerprint")
+    marked = written(marked, "marked")
+    # copies are narrowed down to their first row before components are
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "~row")
+    first = marked.groupBy("fingerprint").agg(F.min(order).alias("first"))
+    roots = near_duplicate_groups(marked, bits).select("fingerprint", "root")
+    stay = first.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.~row")
+    return stored.join(stay, "~row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

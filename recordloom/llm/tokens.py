@@ -11,10 +11,11 @@ import base64
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from recordloom.llm.worker import held
+
 CACHED_PARTS = 400_000
 CACHED_LENGTH = 48
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -93,7 +94,6 @@ class Encoder(dict):
             return b"".join([self._ids(first), *[self._ids(" " + p) if p[-1].isspace() else self[p] for p in rest]])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    return Encoder(path)
+    """The encoder that this Python worker holds, of the file at ``path``."""
+    return held((Encoder, path), lambda: Encoder(path))

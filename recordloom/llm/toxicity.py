@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.tables import held_out, text_or_empty, written
+from recordloom.llm.worker import held
 
 #: The expected number of labelled documents that the lexicon and the regression are fitted on, drawn by a hash of the id.
 LABELLED = 20_000
@@ -132,9 +132,9 @@ class Matcher(dict):
         return found
 
 
-@lru_cache(maxsize=2)
 def matcher(lexicon: Lexicon) -> Matcher:
-    return Matcher(lexicon)
+    """The matcher that this Python worker holds."""
+    return held((Matcher, lexicon), lambda: Matcher(lexicon))
 
 
 # --- features -------------------------------------------------------------------------------------------------------
@@ -302,8 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, expected: int = LA
 def with_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] | None = None, name: str = "score") -> DataFrame:
     """``docs`` (or its columns ``keep``) with the score of the whole ``text`` between 0 and 1.
 
-    A null or empty text has no hits. Equal texts have equal scores; rows, their order and other columns are not changed.
-    An empty table stays empty.
+    A null or empty text has no hits. Equal texts have equal scores; rows, their order and other columns are not changed,
+    but a column called ``name`` is replaced. An empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +313,7 @@ def with_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] | None = No
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(rows))], [*batch.schema.names[:-1], name])
 
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty().alias("~text"))
     return chosen.mapInArrow(run, f"{fields}`{name}` double")

@@ -49,7 +49,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return dict(zip(texts, (e.ids for e in tokenizer.encode_batch(list(texts.values()), add_special_tokens=False)), strict=True))
 
 
@@ -182,6 +181,19 @@ def test_personal_data_matches_the_plain_patterns(spark, sf, texts):
         assert set(filter(None, listed.split(","))) <= set(filter(None, r.spans.split(",")))
 
 
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, sf, documents, tmp_path):
+    from tests.llm.test_operators import ODD
+
+    for name, rows in (("odd", ODD), ("none", [])):
+        folder = tmp_path / name
+        documents(rows).write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{other}.parquet").limit(1000 if rows else 0).write.parquet(f"{folder}/{other}.parquet")
+        kept = {r.doc_id for r in corpus_pipeline.run(spark, str(folder)).select("doc_id").distinct().collect()}
+        # copies and texts without words are one document each
+        assert kept == ({1, 3, 6, 7, None} if rows else set())
+
+
 def test_pipeline_stages_act_on_what_is_kept(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [docs.count()]
