@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates by SimHash, the one with the smallest doc_id."""
     return simhash.without_near_duplicates(docs)
 
 
@@ -42,7 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
+    ("simhash", drop_near_duplicates),
     ("decontamination", drop_leaks),
     ("personal_data", redact_personal_data),
     ("packing", pack_sequences),
