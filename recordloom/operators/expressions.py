@@ -25,7 +25,7 @@ from recordloom.functions.relation import relation_uri
 from recordloom.model import AttributeType as A
 from recordloom.model import Collection, RecordTable, quoted
 from recordloom.operators.search import filter_ids
-from recordloom.operators.traverse import ARRAY_ROOT, _bare, _follow, member_page
+from recordloom.operators.traverse import ARRAY_ROOT, bare_id, _follow, member_page
 
 RECORD_ID = "record_id"
 
@@ -78,7 +78,7 @@ def _attribute_json(table: RecordTable, attribute: str) -> Column:
         return F.lit(None).cast("string")
     kind, c = table.type(attribute), quoted(attribute)
     if kind is A.RELATION:
-        c = F.when(c.isNotNull(), relation_uri(table.relations[attribute], _bare(c)))
+        c = F.when(c.isNotNull(), relation_uri(table.relations[attribute], bare_id(c)))
     return value_json(c, kind)
 
 
@@ -113,7 +113,7 @@ def _scalar_rows(collection, table, roots, wanted: Mapping[tuple, list[Lookup]])
             out.append(_attribute_json(at, lookup.attribute).alias(names[lookup]))
         for child in nodes:
             if len(child) == len(node) + 1 and child[: len(node)] == node:
-                out.append(_bare(quoted(child[-1])).alias(f"r{number[child]}"))
+                out.append(bare_id(quoted(child[-1])).alias(f"r{number[child]}"))
         return out
 
     tables = {(): table}

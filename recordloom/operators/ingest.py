@@ -11,11 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.errors import Conflict
+from recordloom.errors import Conflict, InvalidRelation
 from recordloom.functions.relation import relation_id
-from recordloom.model import META_TARGET, META_TYPE, RecordTable, check_name, quoted, tag, type_of
+from recordloom.model import META_TARGET, META_TYPE, Collection, RecordTable, check_name, quoted, tag, type_of
 from recordloom.model import AttributeType as A
+from recordloom.operators.edges import upserted_edges, with_deltas
 from recordloom.operators.evolve import evolve, widen_to
+from recordloom.operators.guards import check_guard, guarded_records
 from recordloom.operators.inference import relation_targets
 from recordloom.operators.integrity import validate_relations
 from recordloom.operators.write import upsert
@@ -61,17 +63,32 @@ def merge_records(
     name: str,
     key: str,
     records: DataFrame,
-) -> RecordTable:
+    guard: str | None = None,
+    collection: Collection | None = None,
+    unique: bool = False,
+) -> RecordTable | tuple[RecordTable, DataFrame]:
     """The table after an upsert of typed, tagged ``records``; None makes a new one.
 
-    Names of new attributes are checked, whatever the records came from.
+    Names of new attributes are checked, whatever the records came from. A key that
+    is given twice fails the plan, unless ``unique`` says that none is. Array relations
+    that the table holds as edges change there, by what the records give.
+
+    With a ``guard``, relations of the records must name records of ``collection``:
+    ``"refuse"`` fails otherwise, ``"report"`` writes the other records and returns
+    the problems as well (see ``recordloom.operators.guards``).
     """
+    check_guard(guard, collection)
     for attribute in records.columns:
-        if attribute != key and (table is None or attribute not in table.df.columns):
+        if attribute != key and (table is None or attribute not in table.types):
             check_name(attribute)
     if table is None:
         empty = RecordTable(name, records.select(quoted(key)), key)
-        return RecordTable(name, stored(tag(with_relations(records, empty), key)), key)
+        new = RecordTable(name, stored(tag(with_relations(records, empty), key)), key)
+        if guard is None:
+            return new
+        nothing = new.with_df(new.df.limit(0))
+        kept, problems = guarded_records(guard, collection, nothing, new.df)
+        return new if problems is None else (new.with_df(kept), problems)
     if table.primary_key != key:
         raise Conflict(f"the primary key of {name} is {table.primary_key!r}, not {key!r}")
     records = with_relations(records, table)
@@ -81,19 +98,31 @@ def merge_records(
         for f in records.schema.fields
         if f.metadata and META_TARGET in f.metadata
     }
-    evolved = evolve(table, incoming, targets)
+    held = [a for a in incoming if a in table.edge_tables]
+    for attribute in held:
+        if targets.get(attribute, table.relations[attribute]) != table.relations[attribute]:
+            raise InvalidRelation(f"{attribute} refers to {table.relations[attribute]}")
+    evolved = evolve(table, {a: k for a, k in incoming.items() if a not in held}, targets)
     final = evolved.types
     columns: list = [quoted(key)]
     for attribute, kind in incoming.items():
         c, target = quoted(attribute), final[attribute]
-        if kind is A.NULL:
+        if attribute in held:
+            c, target = c.cast("array<string>"), A.ARRAY_OF_RELATION
+        elif kind is A.NULL:
             c = F.lit(None)
         elif kind is A.EMPTY_ARRAY:
             c = F.when(c.isNotNull(), F.array() if target.is_array else F.lit("[]"))
         else:
             c = widen_to(c, kind, target)
         columns.append(c.cast(target.spark_type).alias(attribute))
-    return evolved.with_df(upsert(evolved, records.select(*columns)))
+    rows, problems = records.select(*columns), None
+    if guard is not None:
+        rows, problems = guarded_records(guard, collection, evolved, rows)
+    deltas = upserted_edges(evolved, rows)
+    after = evolved.with_df(upsert(evolved, rows.drop(*held), unique=unique))
+    after = with_deltas(after, deltas) if deltas else after
+    return after if problems is None else (after, problems)
 
 
 def apply_operations(

@@ -12,7 +12,7 @@ from recordloom.errors import InvalidRelation
 from recordloom.functions.relation import relation_id
 from recordloom.model import AttributeType as A
 from recordloom.model import Collection, RecordTable, quoted
-from recordloom.operators.traverse import _bare, edges
+from recordloom.operators.traverse import bare_id, edges
 
 
 def relation_pairs(table: RecordTable, relation: str) -> DataFrame:
@@ -21,7 +21,7 @@ def relation_pairs(table: RecordTable, relation: str) -> DataFrame:
         return edges(table, relation)
     c = quoted(relation)
     return table.df.filter(c.isNotNull()).select(
-        quoted(table.primary_key).alias("from_id"), _bare(c).alias("to_id")
+        quoted(table.primary_key).alias("from_id"), bare_id(c).alias("to_id")
     )
 
 
@@ -44,22 +44,28 @@ def referrers(collection: Collection, name: str) -> list[tuple[str, str]]:
     ]
 
 
-def blocked_deletes(collection: Collection, name: str, ids: DataFrame) -> DataFrame:
+def blocked_deletes(
+    collection: Collection, name: str, ids: DataFrame, leaving: DataFrame | None = None
+) -> DataFrame:
     """Requested ids that other records still refer to, with the number of references.
 
-    Edges *from* a deleted record go with it; those to it block the delete.
+    Edges *from* a deleted record go with it; those to it block the delete. References of
+    records in ``leaving.record_id``, which are of the same type and go as well, don't count.
+
+    References are cut down to the requested ids before they are counted, and counted
+    where they are before they are shuffled, so a hot target is one row per task.
     """
-    asked = ids.select(F.col("record_id")).distinct()
-    counts = None
+    asked = ids.select(F.col("record_id").alias("to_id"))
+    found = None
     for source, relation in referrers(collection, name):
-        pairs = relation_pairs(collection[source], relation).select("to_id")
-        # counted before the join, so a hot target reaches it as one row
-        found = pairs.groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
-        counts = found if counts is None else counts.unionByName(found)
-    if counts is None:
-        return asked.select("record_id", F.lit(0).cast("long").alias("references")).limit(0)
-    hits = counts.join(asked, F.col("to_id") == F.col("record_id"), "inner")
-    return hits.groupBy("record_id").agg(F.sum("n").alias("references"))
+        pairs = relation_pairs(collection[source], relation).join(asked, "to_id", "left_semi")
+        if leaving is not None and source == name:
+            gone = leaving.select(F.col("record_id").alias("from_id"))
+            pairs = pairs.join(gone, "from_id", "left_anti")
+        found = pairs.select("to_id") if found is None else found.union(pairs.select("to_id"))
+    if found is None:
+        return asked.select(F.col("to_id").alias("record_id"), F.lit(0).cast("long").alias("references")).limit(0)
+    return found.groupBy(F.col("to_id").alias("record_id")).agg(F.count(F.lit(1)).alias("references"))
 
 
 def replace_edges(current: DataFrame, touched: DataFrame, new: DataFrame) -> DataFrame:

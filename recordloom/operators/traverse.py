@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.constants import RELATION_SCHEME, ROOT_COLUMN
@@ -28,10 +28,11 @@ def edges(table: RecordTable, relation: str) -> DataFrame:
         return table.edge_tables[relation][1]
     ids = F.explode(quoted(relation))
     pairs = table.df.select(quoted(table.primary_key).alias("from_id"), ids.alias("uri"))
-    return pairs.select("from_id", _bare(F.col("uri")).alias("to_id"))
+    return pairs.select("from_id", bare_id(F.col("uri")).alias("to_id"))
 
 
-def _bare(c):
+def bare_id(c: Column) -> Column:
+    """The id of a relation, which may be given as its URI."""
     return F.when(c.startswith(RELATION_SCHEME), relation_id(c)).otherwise(c)
 
 
@@ -54,9 +55,9 @@ def hop(collection: Collection, rows: DataFrame, table: RecordTable, relation: s
         steps = sources.join(edge, F.col("sys_key") == F.col("sys_from")).select(*kept, _NEXT)
     elif table.type(relation) is A.ARRAY_OF_RELATION:
         exploded = rows.select(*kept, F.explode(quoted(relation)).alias("uri"))
-        steps = exploded.select(*kept, _bare(F.col("uri")).alias(_NEXT))
+        steps = exploded.select(*kept, bare_id(F.col("uri")).alias(_NEXT))
     else:
-        steps = rows.select(*kept, _bare(quoted(relation)).alias(_NEXT))
+        steps = rows.select(*kept, bare_id(quoted(relation)).alias(_NEXT))
     joined = steps.join(target.df, F.col(_NEXT) == quoted(target.primary_key), "inner")
     return joined.drop(_NEXT), target
 

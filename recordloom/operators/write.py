@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.errors import Conflict, MissingObject
-from recordloom.model import RecordTable, quoted
+from recordloom.model import Collection, RecordTable, quoted
+from recordloom.operators.guards import check_guard, guarded_ids
 from recordloom.operators.search import filter_ids
 
+
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
     """The last row per key by sequence number, combined map-side."""
     others = [c for c in changes.columns if c != key]
@@ -23,22 +25,31 @@ def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
     return newest.select(key, "row.*")
 
 
+def once(key: Column) -> Column:
+    """``key``, or an error where a row with the same key came before."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    twice = F.raise_error(F.concat(F.lit("a key is given more than once: "), key.cast("string")))
+    return F.when(place == 1, key).otherwise(twice)
+
+
 def upsert(
     table: RecordTable,
     changes: DataFrame,
     columns: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Insert or overwrite by key, touching only ``columns`` (default: all given).
 
     A null in a given column overwrites; columns not given keep their value, and
-    are null in new records. ``changes`` holds each key once.
+    are null in new records. A key that ``changes`` gives twice fails the plan where
+    its rows meet for the join; ``unique`` says that none is, and saves the check.
     """
     key = table.primary_key
     given = [c for c in (columns or changes.columns) if c != key]
     old = table.df
     names = [*old.columns, *[c for c in given if c not in old.columns]]
     new = changes.select(
-        quoted(key).alias("new_key"),
+        (quoted(key) if unique else once(quoted(key))).alias("new_key"),
         *[quoted(c).alias(f"new_{i}") for i, c in enumerate(given)],
     )
 
@@ -129,14 +140,31 @@ def delete_request(
     ids: DataFrame | None = None,
     delete_all: bool = False,
     excluded: DataFrame | None = None,
-) -> DataFrame:
-    """A delete with the argument rules of the service: ids, or all but some."""
+    guard: str | None = None,
+    collection: Collection | None = None,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """A delete with the argument rules of the service: ids, or all but some.
+
+    With a ``guard``, ids must exist and no record that stays may refer to them:
+    ``"refuse"`` fails otherwise, ``"report"`` deletes the others and returns the
+    problems as well (see ``recordloom.operators.guards``).
+    """
+    check_guard(guard, collection)
     if delete_all and ids is not None:
         raise Conflict("ids to delete and delete_all exclude each other")
     if excluded is not None and not delete_all:
         raise Conflict("excluded ids need delete_all")
     if ids is None and not delete_all:
         raise Conflict("name the ids to delete, or delete_all")
+    if guard is not None:
+        if ids is None:
+            # all ids but the excluded ones, which the guard then judges like any others
+            ids = table.df.select(quoted(table.primary_key).alias("record_id"))
+            if excluded is not None:
+                ids = ids.join(excluded.select("record_id"), "record_id", "left_anti")
+        ids, problems = guarded_ids(guard, collection, table, ids)
+        left = delete_ids(table, ids)
+        return left if problems is None else (left, problems)
     if ids is not None:
         return delete_ids(table, ids)
     return delete_all_except(table, excluded if excluded is not None else ())

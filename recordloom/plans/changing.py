@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.model import Collection, RecordTable, tag
+from recordloom.functions.relation import relation_uri
+from recordloom.model import AttributeType, Collection, RecordTable, tag
 from recordloom.operators import integrity as I
 from recordloom.operators import write as W
+from recordloom.operators.edges import upserted_edges
+from recordloom.operators.ingest import merge_records
+from recordloom.operators.traverse import follow
+from recordloom.plans.importing import scratch
 from recordloom.plans.registry import query
 from recordloom.plans.star import order_lines, raw, records, star
+from recordloom.sinks.edges import apply_stored_delta, inbound, read_edges, write_edges
 
 # customers, and changes to them: one row per user with events
 _CHANGES = """(SELECT user_id, max_by(value, event_id) AS value, max_by(event_type, event_id) AS event_type,
@@ -49,8 +55,8 @@ def upsert_batch(spark, sf):
 
 @query("upsert_broadcast", _UPSERT)
 def upsert_broadcast(spark, sf):
-    """The same, naming the attributes that are to be touched."""
-    return W.upsert(_customers(spark, sf), _latest_events(spark, sf), ["c_acctbal", "last_event"])
+    """The same, naming the attributes that are to be touched, of changes whose keys are known to differ."""
+    return W.upsert(_customers(spark, sf), _latest_events(spark, sf), ["c_acctbal", "last_event"], unique=True)
 
 
 @query(
@@ -186,6 +192,145 @@ def dangling_edges(spark, sf):
     return I.dangling_relations(tables_with(tables, small), "orders", "parts")
 
 
+# ---- guarded writes --------------------------------------------------------
+
+
+def _orders_from_events(spark, sf):
+    """Events as orders of the customer with the user's number, whether there is one or not."""
+    events = raw(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("o_orderkey"), F.col("value").alias("o_totalprice"),
+        relation_uri("customer", F.col("user_id").cast("string")).alias("o_custkey"),
+    )
+    return tag(events, "o_orderkey", {"o_custkey": AttributeType.RELATION})
+
+
+def _guarded_upsert(spark, sf):
+    tables = star(spark, sf)
+    orders = tables["orders"]
+    plain = RecordTable("orders", orders.df.select("o_orderkey", "o_custkey", "o_totalprice"), orders.primary_key)
+    return merge_records(plain, "orders", "o_orderkey", _orders_from_events(spark, sf), guard="report", collection=tables)
+
+
+@query(
+    "upsert_guarded",
+    """SELECT CAST(coalesce(event_id, o_orderkey) AS VARCHAR) o_orderkey, CAST(coalesce(user_id, o_custkey) AS VARCHAR) o_custkey,
+              coalesce(value, o_totalprice) AS o_totalprice
+       FROM orders FULL JOIN (SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) ON event_id = o_orderkey""",
+)
+def upsert_guarded(spark, sf):
+    """Orders after an upsert that leaves out those of customers who don't exist."""
+    return _guarded_upsert(spark, sf)[0].df.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
+@query(
+    "upsert_guarded_problems",
+    """SELECT CAST(event_id AS VARCHAR) record_id, 'o_custkey' AS attribute, CAST(user_id AS VARCHAR) AS target,
+              'names no record' AS problem, CAST(NULL AS BIGINT) AS "references"
+       FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""",
+)
+def upsert_guarded_problems(spark, sf):
+    """What was left out, and why."""
+    return _guarded_upsert(spark, sf)[1]
+
+
+_FAILED = "(SELECT DISTINCT user_id FROM events WHERE event_type = 'error')"
+
+
+def _guarded_delete(spark, sf):
+    tables = star(spark, sf)
+    failed = _ids(raw(spark, sf, "events").filter("event_type = 'error'"), "user_id")
+    return W.delete_request(tables["customer"], ids=failed, guard="report", collection=tables)
+
+
+@query(
+    "delete_guarded",
+    f"""SELECT CAST(c_custkey AS VARCHAR) c_custkey, c_name FROM customer
+        WHERE c_custkey NOT IN (SELECT user_id FROM {_FAILED}) OR c_custkey IN (SELECT o_custkey FROM orders)""",
+)
+def delete_guarded(spark, sf):
+    """Customers without those asked for, but for the ones that orders refer to."""
+    return _guarded_delete(spark, sf)[0].select("c_custkey", "c_name")
+
+
+@query(
+    "delete_guarded_problems",
+    f"""SELECT CAST(user_id AS VARCHAR) record_id, CAST(NULL AS VARCHAR) AS attribute, CAST(NULL AS VARCHAR) AS target,
+              CASE WHEN n IS NULL THEN 'does not exist' ELSE 'is referred to' END AS problem, n AS "references"
+        FROM {_FAILED} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = user_id
+        WHERE n IS NOT NULL OR user_id NOT IN (SELECT c_custkey FROM customer)""",
+)
+def delete_guarded_problems(spark, sf):
+    """Why the others could not go."""
+    return _guarded_delete(spark, sf)[1]
+
+
+# ---- edges -----------------------------------------------------------------
+
+_PARTS = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"
+_NEW_PARTS = """(SELECT DISTINCT l_orderkey, l_suppkey AS l_partkey FROM lineitem
+    WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))"""
+_AFTER = f"""(SELECT * FROM {_PARTS} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+    UNION ALL SELECT * FROM {_NEW_PARTS})"""
+
+
+def _given_parts(spark, sf, orders):
+    """Some orders, each with an array of parts that is to replace the ones it has."""
+    some = orders.df.filter("o_orderstatus = 'P'").select("o_orderkey")
+    lines = order_lines(spark, sf, "l_suppkey").select("from_id", relation_uri("part", F.col("to_id")).alias("uri"))
+    parts = lines.groupBy("from_id").agg(F.collect_list("uri").alias("parts"))
+    given = some.join(parts, F.col("o_orderkey") == F.col("from_id"), "left").select("o_orderkey", "parts")
+    return tag(given, "o_orderkey", {"parts": AttributeType.ARRAY_OF_RELATION})
+
+
+@query(
+    "edges_after_upsert",
+    f"""SELECT CAST(l_orderkey AS VARCHAR) sys_root, CAST(p_partkey AS VARCHAR) p_partkey, p_name
+        FROM {_AFTER} JOIN part ON p_partkey = l_partkey""",
+)
+def edges_after_upsert(spark, sf):
+    """Parts reached from every order once an upsert has given some of them other parts."""
+    tables = star(spark, sf)
+    after = merge_records(tables["orders"], "orders", "o_orderkey", _given_parts(spark, sf, tables["orders"]))
+    related = Collection.of(after, tables["part"])
+    return follow(related, "orders", ["parts"]).select("sys_root", "p_partkey", "p_name")
+
+
+@query(
+    "edges_stored_inbound",
+    f"""SELECT CAST(p_partkey AS VARCHAR) to_id, count(*) AS "references"
+        FROM {_AFTER} JOIN part ON p_partkey = l_partkey WHERE p_size > 25 GROUP BY 1""",
+)
+def edges_stored_inbound(spark, sf):
+    """References to some parts, from stored edges that an upsert's delta has changed, read by part alone."""
+    orders = star(spark, sf)["orders"]
+    path = scratch(spark, "edges")
+    stored = orders.edge_tables["parts"][1]
+    write_edges(stored, path)
+    delta = upserted_edges(RecordTable("orders", orders.df, "o_orderkey", {"parts": ("part", read_edges(spark, path))}), _given_parts(spark, sf, orders))
+    where = f"{path}/delta"
+    delta["parts"].write.parquet(where)
+    apply_stored_delta(spark, path, spark.read.parquet(where))
+    asked = _ids(raw(spark, sf, "part").filter("p_size > 25"), "p_partkey")
+    return inbound(spark, path, asked).groupBy("to_id").agg(F.count(F.lit(1)).alias("references"))
+
+
+@query(
+    "upsert_repeated_keys",
+    f"""SELECT CAST(o_custkey AS VARCHAR) o_custkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1""",
+)
+def upsert_repeated_keys(spark, sf):
+    """Changes that give keys many times are refused by an upsert, and taken once they are narrowed down."""
+    orders = raw(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("o_custkey"), "o_totalprice")
+    empty = RecordTable("spender", tag(orders.limit(0), "o_custkey"), "o_custkey")
+    try:
+        W.upsert(empty, orders).write.format("noop").mode("overwrite").save()
+    except Exception as error:
+        if "more than once" not in str(error):
+            raise
+        return W.upsert(empty, W.latest(orders, "o_custkey", "o_totalprice"), unique=True)
+    return empty.df
+
+
 def tables_with(tables: Collection, table: RecordTable) -> Collection:
     return Collection({n: (table if n == table.name else tables[n]) for n in ("customer", "orders", "part")})
 
@@ -303,7 +448,6 @@ def json_ops_apply(spark, sf):
 )
 def tsv_upload(spark, sf):
     """Two uploads of cells; the second turns a number column into text and adds one."""
-    from recordloom.operators.ingest import merge_records
     from recordloom.sinks.export import tsv_cells
     from recordloom.sources.tsv import load_tsv
 

@@ -12,7 +12,7 @@ from recordloom.functions.jsontext import date_time_text, number_text, string_js
 from recordloom.functions.relation import relation_uri
 from recordloom.model import AttributeType as A
 from recordloom.model import RecordTable, quoted
-from recordloom.operators.traverse import _bare
+from recordloom.operators.traverse import bare_id
 
 # ---- TSV -------------------------------------------------------------------
 
@@ -23,7 +23,7 @@ def tsv_cells(table: RecordTable) -> DataFrame:
     for name in [n for n in table.attributes if n in table.df.columns]:
         kind, c = table.type(name), quoted(name)
         if kind is A.RELATION:
-            c = F.when(c.isNotNull(), relation_uri(table.relations[name], _bare(c)))
+            c = F.when(c.isNotNull(), relation_uri(table.relations[name], bare_id(c)))
         if kind.is_array or kind is A.JSON:
             c = value_json(c, kind)
         elif kind is A.NUMBER:
@@ -78,7 +78,7 @@ def _operation(op: str, name_field: str, name: str, value_field=None, value: Col
 def _reference(target: str, c: Column) -> Column:
     kind = string_json(F.lit(target))
     return F.concat(
-        F.lit('{"entityType":'), kind, F.lit(',"entityName":'), string_json(_bare(c)), F.lit("}")
+        F.lit('{"entityType":'), kind, F.lit(',"entityName":'), string_json(bare_id(c)), F.lit("}")
     )
 
 

@@ -46,7 +46,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return [v for v, _ in _history(spark, path.rstrip("/"))]
 
 
-def _current(spark: SparkSession, path: str, version: int | None) -> tuple[dict[int, str], int]:
+def bucket_folders(spark: SparkSession, path: str, version: int | None) -> tuple[dict[int, str], int]:
     """Folder of each bucket as of a version, and the number of buckets."""
     folders: dict[int, str] = {}
     count = 0
@@ -67,13 +67,13 @@ def bucket(key: Column, count: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
 
-def _next(spark: SparkSession, path: str) -> int:
+def next_version(spark: SparkSession, path: str) -> int:
     """A number above those of all versions, finished or not."""
     names = _children(spark, path)
     return max((int(n.removeprefix(p)) for n in names for p in (_FULL, _UPSERT) if n.startswith(p)), default=-1) + 1
 
 
-def _write(df: DataFrame, folder: str, key: str, buckets: int, replace: bool) -> None:
+def write_folder(df: DataFrame, folder: str, key: str, buckets: int, replace: bool) -> None:
     """Write a version's folder. Unless the caller named the version, to write it again after a loss, the folder must
     not be there: that someone else has taken the number meanwhile is an error."""
     column = f"{_BUCKET}{buckets}"
@@ -88,14 +88,14 @@ def write_version(
 ) -> int:
     """Write ``df`` as a full version: the next one, or the one named."""
     path = path.rstrip("/")
-    number = _next(df.sparkSession, path) if version is None else version
-    _write(df, f"{path}/{_FULL}{number}", primary_key, buckets, version is not None)
+    number = next_version(df.sparkSession, path) if version is None else version
+    write_folder(df, f"{path}/{_FULL}{number}", primary_key, buckets, version is not None)
     return number
 
 
 def read_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> RecordTable | None:
     """The newest version (or the named one); None where there is none yet."""
-    folders, _ = _current(spark, path.rstrip("/"), version)
+    folders, _ = bucket_folders(spark, path.rstrip("/"), version)
     return _read(spark, folders, name) if folders else None
 
 
@@ -125,20 +125,20 @@ def upsert_table(
     keys are read and written, unless an attribute changes its type.
     """
     path = path.rstrip("/")
-    number = _next(spark, path) if version is None else version
+    number = next_version(spark, path) if version is None else version
     named = version is not None
-    folders, count = _current(spark, path, number - 1)
+    folders, count = bucket_folders(spark, path, number - 1)
     if not folders:
         merged = merge_records(None, name, key, records)
-        _write(merged.df, f"{path}/{_FULL}{number}", key, buckets, named)
+        write_folder(merged.df, f"{path}/{_FULL}{number}", key, buckets, named)
         return read_table(spark, path, name, number)
     touched = records.select(bucket(quoted(key), count).alias("b")).distinct().collect()
     only = {r["b"] for r in touched}
     part = _read(spark, folders, name, only)
     merged = merge_records(part, name, key, records)
     if all(merged.types[c] is t for c, t in part.types.items()):
-        _write(merged.df, f"{path}/{_UPSERT}{number}", key, count, named)
+        write_folder(merged.df, f"{path}/{_UPSERT}{number}", key, count, named)
     else:
         whole = merge_records(_read(spark, folders, name), name, key, records)
-        _write(whole.df, f"{path}/{_FULL}{number}", key, count, named)
+        write_folder(whole.df, f"{path}/{_FULL}{number}", key, count, named)
     return read_table(spark, path, name, number)
