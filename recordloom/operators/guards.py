@@ -140,3 +140,26 @@ def guarded_ids(guard: str, collection: Collection, table: RecordTable, ids: Dat
         return ids, None
     to_itself = any(source == table.name for source, _ in referrers(collection.replace(table), table.name))
     return set_aside(ids.select("record_id").distinct(), "record_id", check, to_itself)
+
+
+def guarded_feed(
+    guard: str, collection: Collection, before: RecordTable, feed: DataFrame, applied: Callable[[DataFrame], RecordTable]
+) -> tuple[DataFrame, DataFrame | None]:
+    """The operations on ``before`` (record_id and others) that may be ``applied``, and the problems of others.
+
+    What counts is the state after all operations: a record that is deleted and comes back has not gone.
+    """
+    key = before.primary_key
+
+    def check(rows: DataFrame) -> DataFrame:
+        after = applied(rows)
+        ids = rows.select(F.col("record_id").alias("to_id"))
+        changed = after.df.join(ids, quoted(key) == F.col("to_id"), "left_semi")
+        dangling = dangling_changes(collection, after, changed)
+        gone = _keys(before, ids).join(_keys(after, ids), "to_id", "left_anti").select(F.col("to_id").alias("record_id"))
+        return dangling.unionByName(delete_problems(collection, after, gone, missing=False))
+
+    if guard == REFUSE:
+        refuse(check(feed), f"operations on {before.name} leave relations that dangle", InvalidRelation)
+        return feed, None
+    return set_aside(feed, "record_id", check, again=True)

@@ -17,7 +17,7 @@ from recordloom.model import META_TARGET, META_TYPE, Collection, RecordTable, ch
 from recordloom.model import AttributeType as A
 from recordloom.operators.edges import upserted_edges, with_deltas
 from recordloom.operators.evolve import evolve, widen_to
-from recordloom.operators.guards import check_guard, guarded_records
+from recordloom.operators.guards import check_guard, guarded_feed, guarded_records
 from recordloom.operators.inference import relation_targets
 from recordloom.operators.integrity import validate_relations
 from recordloom.operators.write import upsert
@@ -131,14 +131,22 @@ def apply_operations(
     ops: DataFrame,
     key: str,
     attributes: Sequence[str] | None = None,
-) -> RecordTable:
+    guard: str | None = None,
+    collection: Collection | None = None,
+) -> RecordTable | tuple[RecordTable, DataFrame]:
     """The table after a JSON change batch, in the order of its ``seq``.
 
     The schema is evolved once, over all upserts, and the operations then applied
     as one change feed. An operation on a record of another type is a conflict; one
     that names no type is taken to mean this table. ``split_by_type`` parts a batch
     of several types.
+
+    With a ``guard``, relations that the batch leaves behind must name records, and
+    records that it deletes must not be referred to: ``"refuse"`` fails otherwise,
+    ``"report"`` leaves out all operations on the records with problems and returns
+    the problems as well (see ``recordloom.operators.guards``).
     """
+    check_guard(guard, collection)
     from recordloom.operators.evolve import create_type
     from recordloom.operators.write import apply_changes
     from recordloom.sources.operations import infer_operations, typed_feed
@@ -152,6 +160,8 @@ def apply_operations(
         if r["attribute"] != key
     }
     names = sorted(inferred)
+    if table is not None and (held := [n for n in names if n in table.edge_tables]):
+        raise Conflict(f"{', '.join(held)} of {name} are held as edges, which records are merged into, not operations")
     known = table or create_type(ops.sparkSession, name, {}, key)
     raw = typed_feed(ops, inferred)
     related = {n: k for n, k in inferred.items() if k.base is A.RELATION}
@@ -166,5 +176,10 @@ def apply_operations(
     for n, k in related.items():
         if k is A.RELATION:
             feed = feed.withColumn(n, relation_id(quoted(n)))
-    state = apply_changes(evolved, feed, names, given="given")
-    return evolved.with_df(state)
+    if guard is None:
+        return evolved.with_df(apply_changes(evolved, feed, names, given="given"))
+    kept, problems = guarded_feed(
+        guard, collection, evolved, feed, lambda rows: evolved.with_df(apply_changes(evolved, rows, names, given="given"))
+    )
+    after = evolved.with_df(apply_changes(evolved, kept, names, given="given"))
+    return after if problems is None else (after, problems)

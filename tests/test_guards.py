@@ -169,3 +169,31 @@ def test_deltas_equal_a_rebuild(spark, tmp_path_factory, seed):
         assert collect(read_edges(spark, path, side).select("from_id", "to_id")) == want
     asked = spark.createDataFrame([("3",), ("4",)], "record_id string")
     assert collect(inbound(spark, path, asked).select("from_id", "to_id")) == [p for p in want if p[1] in "34"]
+
+
+def test_change_batches_are_guarded(spark, tables, tmp_path):
+    import json
+
+    from recordloom.operators.ingest import apply_operations
+    from recordloom.sources.operations import read_operations
+
+    def batch(name, *ops):
+        rows = [{"operation": kind, "record": {"id": rid, "type": "person", "attributes": given}} for kind, rid, given in ops]
+        (tmp_path / name).write_text(json.dumps(rows))
+        return read_operations(spark, str(tmp_path / name), multi_line=True)
+
+    plain = RecordTable("person", tables["person"].df, "id")
+    related = tables.replace(plain)
+    fine = batch("fine.json", ("delete", "p3", {}), ("upsert", "p4", {"nation": URI % ("nation", "n3")}), ("delete", "p2", {}))
+    got = apply_operations(plain, "person", fine, "id", guard="refuse", collection=related)
+    assert collect(got.df.select("id", "nation")) == [("p1", "n1"), ("p4", "n3")]
+    # p1 is still the boss of p2, q2 names q1, whose nation does not exist; p3 goes and comes back
+    bad = batch(
+        "bad.json", ("delete", "p1", {}), ("upsert", "q1", {"nation": URI % ("nation", "no")}),
+        ("upsert", "q2", {"boss": URI % ("person", "q1")}), ("delete", "p3", {}), ("upsert", "p3", {"nation": URI % ("nation", "n3")}),
+    )
+    with pytest.raises(InvalidRelation):
+        apply_operations(plain, "person", bad, "id", guard="refuse", collection=related)
+    got, problems = apply_operations(plain, "person", bad, "id", guard="report", collection=related)
+    assert collect(got.df.select("id", "nation", "boss")) == [("p1", "n1", None), ("p2", "n1", "p1"), ("p3", "n3", None), ("p4", None, None)]
+    assert sorted(r["record_id"] for r in problems.collect()) == ["p1", "q1", "q2"]
