@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +11,9 @@ from recordloom.functions.convert import convert
 from recordloom.functions.infer import json_type
 from recordloom.model import AttributeType as A
 from recordloom.operators.inference import column_type_aggregate, infer_columns
+from recordloom.sources.places import with_place
 
 # Attributes stay variants: text and numbers remain distinguishable.
-FILE_BITS = 42
-LOCAL = "^file:/+"
 SCHEMA = "operation string, record struct<id string, type string, attributes map<string, variant>>"
 
 
@@ -24,21 +22,10 @@ def read_operations(spark: SparkSession, paths: str | Sequence[str], multi_line:
 
     Files have one operation per line; one array per file needs ``multi_line``, with
     which a file can't be split among tasks. ``seq`` orders files by name and rows by
-    their place: a row's number within its task is less than the bytes before it, so
-    that number added to where its part of the file begins rises along the file, in
-    whatever order parts are dealt to tasks.
+    their place in them.
     """
     rows = spark.read.schema(SCHEMA).json(paths, multiLine=multi_line)
-    # of local files, listings and rows write the same address with other slashes
-    files = sorted(re.sub(LOCAL, "file:/", f) for f in rows.inputFiles())
-    ranks = spark.createDataFrame(list(enumerate(files)), "file_rank long, file string")
-    # the lower bits count the rows of a task
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = rows.select(
-        "*", F.regexp_replace("_metadata.file_path", LOCAL, "file:/").alias("file"), (F.col("_metadata.file_block_start") + within).alias("place")
-    )
-    seq = F.shiftleft("file_rank", FILE_BITS) + F.col("place")
-    return flatten_operations(placed.join(ranks, "file").withColumn("seq", seq))
+    return flatten_operations(with_place(rows, "seq"))
 
 
 def parse_operations(df: DataFrame, text: str, seq: str) -> DataFrame:

@@ -16,6 +16,7 @@ from recordloom.functions.jsontext import canonical_json
 from recordloom.model import AttributeType as A
 from recordloom.model import quoted, tag
 from recordloom.operators.inference import infer_schema
+from recordloom.sources.places import in_place
 
 ORDINAL = "sys_ordinal"
 ODD_ROW = "sys_odd_row"
@@ -86,10 +87,11 @@ def bad_keys(cells: DataFrame, key: str) -> DataFrame:
 
 
 def infer_tsv(cells: DataFrame, key: str, ordinal: Column | None = None) -> dict[str, A]:
-    """Attribute types of the columns; the ordinal defaults to file position."""
-    order = F.monotonically_increasing_id() if ordinal is None else ordinal
+    """Attribute types of the columns; rows are in the order of ``ordinal``, or else of their files and place in them."""
+    if ordinal is None:
+        cells, ordinal = in_place(cells, ORDINAL), quoted(ORDINAL)
     kinds = {c: tsv_type(c) for c in cells.columns if c != key and c != ORDINAL}
-    return infer_schema(cells, kinds, order)
+    return infer_schema(cells, kinds, ordinal)
 
 
 def typed_cell(c: Column, target: A) -> Column:

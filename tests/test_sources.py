@@ -227,3 +227,15 @@ def test_operations_of_several_files_keep_their_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r["x"] for r in sorted(rows, key=lambda r: r["seq"])] == list(range(-1, 3000))
     assert len({r["seq"] for r in rows}) == 3001
+
+
+def test_types_follow_files_by_name_not_by_size(spark, tmp_path):
+    days = "".join(f"{i}\t2020-01-{i:02}\t2020-01-{i:02}T01:02:03\n" for i in range(1, 3))
+    times = "".join(f"{i}\t2020-01-02T01:02:03\t2020-01-02\n" for i in range(10, 3000))
+    (tmp_path / "a.tsv").write_text("id\tday\tat\n" + days)
+    (tmp_path / "b.tsv").write_text("id\tday\tat\n" + times)
+    cells, key = T.read_tsv(spark, [str(tmp_path / "b.tsv"), str(tmp_path / "a.tsv")])
+    assert T.infer_tsv(cells, key) == {"day": A.DATE_TIME, "at": A.STRING}
+    assert dict(T.load_tsv(cells.filter("id != '1'"), key).dtypes)["day"] == "timestamp_ntz"
+    # of cells that were shuffled the order of arrival is all there is
+    assert set(T.infer_tsv(cells.repartition(3), key)) == {"day", "at"}
