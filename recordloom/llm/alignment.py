@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,10 @@ from recordloom.llm.tables import text_or_empty, written
 from recordloom.llm.worker import held
 
 #: Distinct links of a block's documents, added up, from which on a new block is begun.
-BLOCK_LINKS = 1 << 21
+BLOCK_LINKS = 1 << 19
+#: Characters of texts that are aligned at once (a longer text is taken alone), and ends that a stretch looks up one by one.
+CHARS_AT_ONCE = 200_000
+PROBES = 12
 
 
 def pieces_path() -> str:
@@ -40,36 +43,66 @@ def pieces_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def shared_cuts(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """For each group, in order, how many of the tokens ``a`` and ``b`` (their ends, both rising to the same) end by it."""
-    if not a:
-        return []
-    cuts = []
-    stretches = [(0, len(a), 0, len(b))]
-    while stretches:
-        a_low, a_high, b_low, b_high = stretches.pop()
-        if a_high - a_low > 1 < b_high - b_low:
-            middle = (a_low + a_high) // 2 - 1
-            # away from the middle, both ways; the last end is that of the stretch itself
-            up, down, last = middle, middle - 1, a_high - 1
-            while up < last or down >= a_low:
-                if up < last:
-                    at = bisect_left(b, a[up], b_low, b_high - 1)
-                    if b[at] == a[up] and at < b_high - 1:
-                        stretches += [(up + 1, a_high, at + 1, b_high), (a_low, up + 1, b_low, at + 1)]
-                        break
-                    up += 1
-                if down >= a_low:
-                    at = bisect_left(b, a[down], b_low, b_high - 1)
-                    if b[at] == a[down] and at < b_high - 1:
-                        stretches += [(down + 1, a_high, at + 1, b_high), (a_low, down + 1, b_low, at + 1)]
-                        break
-                    down -= 1
-            else:
-                cuts.append((a_high, b_high))
-        else:
-            cuts.append((a_high, b_high))
-    return cuts
+def _divided(a: np.ndarray, b: np.ndarray, low: int, high: int) -> int:
+    """Which of the ends ``a[low:high - 1]`` that ``b`` has, too, is the nearest to the middle, or -1 if there is none."""
+    ends = a[low : high - 1]
+    common = np.flatnonzero(b[np.searchsorted(b, ends)] == ends) + low
+    return int(common[np.argmin(np.abs(common - (low + high) // 2))]) if len(common) else -1
+
+
+def shared_cuts(a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group, in order, how many of the tokens ``a`` and ``b`` (given by their rising ends) end by it.
+
+    ``a_bounds`` and ``b_bounds`` say between which tokens the texts lie that are aligned at once; both sides of a text end
+    together. All stretches of one depth are divided in one step: each looks up one end by bisection, first the one in
+    its middle, then those beside it, farther and farther. After ``PROBES`` of them it looks all of its ends up.
+    """
+    cut_at = np.zeros(len(a), np.int64)
+    low, high, b_low, b_high = a_bounds[:-1], a_bounds[1:], b_bounds[:-1], b_bounds[1:]
+    tried = np.zeros(len(low), np.int64)
+    while len(low):
+        # a stretch with one token on a side is a group; so is one that has been looked through, marked below
+        leaf = (high - low <= 1) | (b_high - b_low <= 1) | (tried < 0)
+        cut_at[high[leaf & (high > low)] - 1] = b_high[leaf & (high > low)]
+        low, high, b_low, b_high, tried = (x[~leaf] for x in (low, high, b_low, b_high, tried))
+        aside = (tried + 1) // 2
+        at = (low + high) // 2 - 1 + np.where(tried % 2, aside, -aside)
+        inside = (at >= low) & (at < high - 1)
+        at = np.where(inside, at, low)
+        place = np.searchsorted(b, a[at])
+        hit = inside & (b[place] == a[at])
+        # with as many to both sides as half its tokens, all its ends have been looked up
+        tried = np.where(~hit & (tried // 2 >= (high - low + 1) // 2), -1, tried + 1)
+        for i in np.flatnonzero(~hit & (tried >= PROBES)):
+            at[i] = _divided(a, b, low[i], high[i])
+            hit[i] = at[i] >= 0
+            place[i] = np.searchsorted(b, a[at[i]]) if hit[i] else 0
+            tried[i] = -1
+        new = np.zeros(int(hit.sum()), np.int64)
+        left, right = at[hit] + 1, place[hit] + 1
+        low, high, b_low, b_high, tried = (
+            np.concatenate(x)
+            for x in (
+                (low[~hit], low[hit], left), (high[~hit], left, high[hit]), (b_low[~hit], b_low[hit], right),
+                (b_high[~hit], right, b_high[hit]), (tried[~hit], new, new),
+            )
+        )
+    cuts = np.flatnonzero(cut_at)
+    return cuts + 1, cut_at[cuts]
+
+
+class Aligned(NamedTuple):
+    """A text's ids by both tokenizers, and how many of them end by each of its groups."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_cuts: np.ndarray
+    b_cuts: np.ndarray
+
+    def groups(self) -> Iterator[tuple[list[int], list[int]]]:
+        a, b = self.a.tolist(), self.b.tolist()
+        for (i, j), (k, m) in pairwise([(0, 0), *zip(self.a_cuts.tolist(), self.b_cuts.tolist(), strict=True)]):
+            yield a[i:k], b[j:m]
 
 
 class Aligner:
@@ -80,47 +113,68 @@ class Aligner:
 
         self._encoder = tokens.Encoder(ranks)
         with open(ranks, "rb") as lines:
-            self.a_bytes = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, lines)}
+            a_bytes = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, lines)}
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.b_bytes = [self._piece_bytes(i) for i in range(len(self._pieces))]
-        self.a_size, self.b_size = max(self.a_bytes) + 1, len(self.b_bytes)
-        self.a_lengths = np.array([len(self.a_bytes.get(i, b"")) for i in range(self.a_size)])
-        self.b_lengths = np.array([len(b) for b in self.b_bytes])
-        self._a_text, self._b_text = (list(map(str, range(n))) for n in (self.a_size, self.b_size))
+        self._b_bytes = [self._piece_bytes(i) for i in range(len(self._pieces))]
+        self.a_size, self.b_size = max(a_bytes) + 1, len(self._b_bytes)
+        self._a_lengths = np.array([len(a_bytes.get(i, b"")) for i in range(self.a_size)])
+        self._b_lengths = np.array([len(b) for b in self._b_bytes])
+        # ids as text with what comes behind them: of A a comma or a bar, of B a comma or a semicolon
+        self._texts = np.array([f"{i}{c}".encode() for n, ends in ((self.a_size, ",|"), (self.b_size, ",;")) for c in ends for i in range(n)])
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self._pieces.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self._pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Both tokenizers' ids of a space and the text; none if one of them does not spell these bytes."""
         none = np.empty(0, np.int64)
         if not text:
             return none, none
         whole = (" " + text).encode()
         a = np.frombuffer(self._encoder.encode_as_text(" " + text), "<u4").astype(np.int64)
-        b = np.array(self._pieces.encode(text), np.int64)
-        spelt_a = b"".join(map(self.a_bytes.__getitem__, a.tolist()))
-        spelt_b = b"".join(map(self.b_bytes.__getitem__, b.tolist()))
-        return (a, b) if spelt_a == whole == spelt_b else (none, none)
-
-    def groups(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        return shared_cuts(np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist())
-
-    def listed(self, a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> str:
+        ids = self._pieces.encode(text)
+        # ranks spell any bytes, so their length tells
+        same = self._a_lengths[a].sum() == len(whole) and b"".join(map(self._b_bytes.__getitem__, ids)) == whole
+        return (a, np.array(ids, np.int64)) if same else (none, none)
+
+    def align(self, texts: Sequence[str]) -> Iterator[Aligned]:
+        """Each text aligned; some are taken at once."""
+        start = 0
+        while start < len(texts):
+            stop, chars = start, 0
+            while stop < len(texts) and chars < CHARS_AT_ONCE:
+                chars += len(texts[stop])
+                stop += 1
+            ids = [self._encode(t) for t in texts[start:stop]]
+            a, b = (np.concatenate([pair[side] for pair in ids]) for side in (0, 1))
+            a_bounds, b_bounds = (np.cumsum([0, *[len(pair[side]) for pair in ids]]) for side in (0, 1))
+            a_cuts, b_cuts = shared_cuts(np.cumsum(self._a_lengths[a]), np.cumsum(self._b_lengths[b]), a_bounds, b_bounds)
+            within = np.searchsorted(a_cuts, a_bounds, side="right")
+            for i, (own_a, own_b) in enumerate(ids):
+                part = slice(within[i], within[i + 1])
+                yield Aligned(own_a, own_b, a_cuts[part] - a_bounds[i], b_cuts[part] - b_bounds[i])
+            start = stop
+
+    def listed(self, text: Aligned) -> bytes:
         """The groups as text: ids of either side joined by commas, sides by a bar, groups by semicolons."""
-        left, right = (list(map(t.__getitem__, i.tolist())) for t, i in ((self._a_text, a), (self._b_text, b)))
-        return ";".join(
-            [
-                f"{left[i]}|{right[j]}" if (k, m) == (i + 1, j + 1) else f"{','.join(left[i:k])}|{','.join(right[j:m])}"
-                for (i, j), (k, m) in pairwise([(0, 0), *cuts])
-            ]
-        )
-
-    def links(self, a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+        a, b, a_cuts, b_cuts = text
+        if not len(a):
+            return b""
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        a_last[a_cuts - 1] = b_last[b_cuts - 1] = True
+        # a token comes behind those of its side, and those of the other side's groups before its own or, of B, up to it
+        group = np.cumsum(a_last) - a_last
+        place = np.arange(len(a)) + np.append(0, b_cuts)[group]
+        order = np.empty(len(a) + len(b), np.int64)
+        order[place] = a + self.a_size * a_last
+        beside = a_cuts[np.cumsum(b_last) - b_last]
+        order[np.arange(len(b)) + beside] = 2 * self.a_size + b + self.b_size * b_last
+        return self._texts[order].tobytes().replace(b"\0", b"")[:-1]
+
+    def links(self, text: Aligned) -> np.ndarray:
         """A number for the pair of ids of each link."""
-        ends = np.array(cuts, np.int64).reshape(-1, 2) - 1
-        return a[ends[:, 0]] * self.b_size + b[ends[:, 1]]
+        return text.a[text.a_cuts - 1] * self.b_size + text.b[text.b_cuts - 1]
 
 
 def aligner(ranks: str, pieces: str) -> Aligner:
@@ -141,12 +195,8 @@ def align(docs: DataFrame, ranks: str | None = None, pieces: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(ranks, pieces)
         for batch in batches:
-            out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                a, b = both.encode(text)
-                cuts = both.groups(a, b)
-                a, b = a.tolist(), b.tolist()
-                out.append([{"a": a[i:k], "b": b[j:m]} for (i, j), (k, m) in pairwise([(0, 0), *cuts])])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            out = [[{"a": a, "b": b} for a, b in text.groups()] for text in both.align(texts)]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, kind)], [*batch.schema.names[:-1], "groups"])
 
@@ -169,15 +219,14 @@ def _blocks(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
         block, full = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                a, b = both.encode(text)
-                cuts = both.groups(a, b)
-                links, has = np.unique(both.links(a, b, cuts), return_counts=True)
+            for text in both.align(batch.column(1).to_pylist()):
+                links, has = np.unique(both.links(text), return_counts=True)
                 if full > BLOCK_LINKS:
                     block, full = block + 1, 0
                 full += len(links)
-                digest = hashlib.sha256(both.listed(a, b, cuts).encode()).hexdigest() if len(cuts) else ""
-                rows.append((block, len(a), len(b), len(cuts), int(has.sum()), digest, links.astype("<i8").tobytes(), has.astype("<i4").tobytes()))
+                digest = hashlib.sha256(both.listed(text)).hexdigest() if len(text.a) else ""
+                counts = (len(text.a), len(text.b), len(text.a_cuts), int(has.sum()))
+                rows.append((block, *counts, digest, links.astype("<i8").tobytes(), has.astype("<i4").tobytes()))
             kinds = [*[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "block", *_COUNTS, "groups_sha256", "links", "has"])

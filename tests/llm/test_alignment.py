@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from recordloom.llm import alignment, queries
+from recordloom.llm import alignment, queries, tokens
 from tests.llm.test_operators import ODD
 
 
@@ -55,9 +56,12 @@ class Plain:
         return [list(g) for g in zip(*sides, strict=True)]
 
 
+PLAIN = Plain()
+
+
 @pytest.fixture(scope="module")
 def plain():
-    return Plain()
+    return PLAIN
 
 
 def expected(plain, rows):
@@ -106,14 +110,35 @@ def test_groups_are_given_back(spark, documents, plain):
     assert alignment.align(documents(ODD).limit(0)).collect() == []
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.integers(0, 10**9), st.integers(1, 200))
-def test_shared_cuts_are_the_common_ends(seed, size):
-    rng = random.Random(seed)
-    a, b = (sorted({size, *rng.sample(range(1, size + 1), rng.randint(0, size))}) for _ in range(2))
-    got = alignment.shared_cuts(a, b)
-    assert [a[i - 1] for i, _ in got] == [b[j - 1] for _, j in got] == sorted(set(a) & set(b))
+@pytest.mark.parametrize("probes", [1, 3, 12])
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 200), st.integers(1, 5))
+def test_shared_cuts_are_the_common_ends(probes, seed, size, texts):
+    rng, known = random.Random(seed), alignment.PROBES
+    sides, bounds, want = ([], []), ([0], [0]), []
+    for i in range(texts):
+        own = [sorted({size, *rng.sample(range(1, size + 1), rng.randint(0, size))}) for _ in range(2)]
+        if rng.random() < 0.2:
+            own = [[], []]
+        want += sorted({i * size + x for x in own[0]} & {i * size + x for x in own[1]})
+        for side, bound, ends in zip(sides, bounds, own, strict=True):
+            side += [i * size + x for x in ends]
+            bound.append(len(side))
+    a, b = (np.array(x, np.int64) for x in sides)
+    alignment.PROBES = probes
+    try:
+        a_cuts, b_cuts = alignment.shared_cuts(a, b, *map(np.array, bounds))
+    finally:
+        alignment.PROBES = known
+    assert a[a_cuts - 1].tolist() == b[b_cuts - 1].tolist() == want
 
 
-def test_no_tokens_have_no_groups():
-    assert alignment.shared_cuts([], []) == []
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab é漢🙂\u0301\u00a0\u2581\u3000\x1c\x85\n\t  .'s9<|>"), max_size=30) | st.text(max_size=20))
+def test_any_text_has_the_groups_of_plain_sets(text):
+    if any("\ud800" <= c <= "\udfff" for c in text):
+        return
+    aligner = alignment.aligner(tokens.vocabulary_path(), alignment.pieces_path())
+    before, got, after = aligner.align(["one two", text, "three"])
+    assert list(map(list, got.groups())) == PLAIN.groups(text)
+    assert list(map(list, after.groups())) == PLAIN.groups("three")
