@@ -5,7 +5,8 @@ lookups inside. ``evaluate`` answers many expressions for many records in one
 plan, and follows each distinct path once, whatever number of expressions use it.
 
 A path of scalar relations reaches at most one record, so its values are added
-to the root rows by left joins and need no grouping. A path with an array
+to the root rows by left joins and need no grouping; where records share a key, and
+such a path would reach more than one, the plan fails. A path with an array
 relation reaches many; their values are grouped per root into a JSON array.
 """
 
@@ -25,7 +26,8 @@ from recordloom.functions.relation import relation_uri
 from recordloom.model import AttributeType as A
 from recordloom.model import Collection, RecordTable, quoted
 from recordloom.operators.search import filter_ids
-from recordloom.operators.traverse import ARRAY_ROOT, bare_id, _follow, member_page
+from recordloom.operators.traverse import ARRAY_ROOT, _follow, bare_id, member_page
+from recordloom.operators.write import once
 
 RECORD_ID = "record_id"
 
@@ -122,7 +124,8 @@ def _scalar_rows(collection, table, roots, wanted: Mapping[tuple, list[Lookup]])
         parent = tables[node[:-1]]
         target = tables[node] = collection[parent.relations[node[-1]]]
         key = f"k{number[node]}"
-        right = target.df.select(quoted(target.primary_key).alias(key), *columns(node, target))
+        # a second record with a key would be a second value, which a scalar path can't have
+        right = target.df.select(once(quoted(target.primary_key)).alias(key), *columns(node, target))
         rows = rows.join(right, F.col(f"r{number[node]}") == F.col(key), "left")
     present = {n: F.col(f"k{number[n]}").isNotNull() if n else F.lit(True) for n in nodes}
     return rows, {lk: F.col(n) for lk, n in names.items()}, present

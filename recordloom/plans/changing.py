@@ -21,7 +21,7 @@ _CHANGES = """(SELECT user_id, max_by(value, event_id) AS value, max_by(event_ty
                  count(*) AS n FROM events GROUP BY user_id)"""
 
 
-def _customers(spark, sf) -> RecordTable:
+def customers(spark, sf) -> RecordTable:
     table = records(spark, sf, "customer")
     return table.with_df(tag(table.df.drop("c_nationkey"), "c_custkey"))
 
@@ -50,13 +50,13 @@ _UPSERT = f"""SELECT CAST(coalesce(c_custkey, user_id) AS VARCHAR) c_custkey, c_
 @query("upsert_batch", _UPSERT)
 def upsert_batch(spark, sf):
     """Balances overwritten, a new attribute added, names kept, unknown customers inserted."""
-    return W.upsert(_customers(spark, sf), _latest_events(spark, sf))
+    return W.upsert(customers(spark, sf), _latest_events(spark, sf))
 
 
 @query("upsert_broadcast", _UPSERT)
 def upsert_broadcast(spark, sf):
     """The same, naming the attributes that are to be touched, of changes whose keys are known to differ."""
-    return W.upsert(_customers(spark, sf), _latest_events(spark, sf), ["c_acctbal", "last_event"], unique=True)
+    return W.upsert(customers(spark, sf), _latest_events(spark, sf), ["c_acctbal", "last_event"], unique=True)
 
 
 @query(
@@ -67,7 +67,7 @@ def upsert_broadcast(spark, sf):
 )
 def insert_missing(spark, sf):
     """Every other event names a customer that isn't there."""
-    table = _customers(spark, sf)
+    table = customers(spark, sf)
     events = raw(spark, sf, "events").select((F.col("user_id") + F.col("event_id") % 2 * 1_000_000_000).alias("user_id"))
     return W.insert_missing(table, _ids(events, "user_id")).select("c_custkey", "c_name")
 
@@ -80,7 +80,7 @@ def insert_missing(spark, sf):
         FROM customer FULL JOIN {_CHANGES} ON c_custkey = user_id""",
 )
 def replace_record(spark, sf):
-    return W.replace_records(_customers(spark, sf), _latest_events(spark, sf).drop("last_event"))
+    return W.replace_records(customers(spark, sf), _latest_events(spark, sf).drop("last_event"))
 
 
 @query(
@@ -92,7 +92,7 @@ def replace_record(spark, sf):
 )
 def patch_record(spark, sf):
     """Existing customers patched: views set both attributes, others one or none."""
-    table = _customers(spark, sf)
+    table = customers(spark, sf)
     last = _latest_events(spark, sf).withColumnRenamed("last_event", "c_mktsegment")
     e = F.col("c_mktsegment")
     given = F.array_compact(F.array(
@@ -124,13 +124,13 @@ def delete_ids(spark, sf):
 )
 def delete_except(spark, sf):
     keep = _ids(raw(spark, sf, "events").filter("event_type = 'purchase'"), "user_id")
-    kept = W.delete_request(_customers(spark, sf), delete_all=True, excluded=keep)
+    kept = W.delete_request(customers(spark, sf), delete_all=True, excluded=keep)
     return kept.select("c_custkey", "c_name")
 
 
 @query("delete_all", "SELECT CAST(c_custkey AS VARCHAR) c_custkey FROM customer WHERE false")
 def delete_all(spark, sf):
-    return W.delete_request(_customers(spark, sf), delete_all=True).select("c_custkey")
+    return W.delete_request(customers(spark, sf), delete_all=True).select("c_custkey")
 
 
 @query(
@@ -353,7 +353,7 @@ _FEED = """(SELECT event_id AS seq, user_id, value, event_type,
     CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events)"""
 
 
-def _feed(spark, sf):
+def event_feed(spark, sf):
     """Events as a change feed on customers: an error deletes, anything else upserts."""
     e = F.col("event_type")
     return raw(spark, sf, "events").select(
@@ -363,18 +363,18 @@ def _feed(spark, sf):
     )
 
 
-@query(
-    "apply_changes",
-    f"""WITH f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
+APPLIED = f"""WITH f AS (SELECT user_id, max(seq) FILTER (op = 'delete') d, max(seq) FILTER (op = 'upsert') u,
                      max_by(value, seq) FILTER (op = 'upsert') v, max_by(event_type, seq) FILTER (op = 'upsert') e
                    FROM {_FEED} GROUP BY user_id)
         SELECT CAST(coalesce(c_custkey, user_id) AS VARCHAR) c_custkey,
                CASE WHEN d IS NULL THEN c_name END AS c_name, CASE WHEN d IS NULL THEN c_mktsegment END AS c_mktsegment,
                CASE WHEN u IS NULL THEN c_acctbal ELSE v END AS c_acctbal, e AS last_event
-        FROM customer FULL JOIN f ON c_custkey = user_id WHERE d IS NULL OR u > d""",
-)
+        FROM customer FULL JOIN f ON c_custkey = user_id WHERE d IS NULL OR u > d"""
+
+
+@query("apply_changes", APPLIED)
 def apply_changes(spark, sf):
-    return W.apply_changes(_customers(spark, sf), _feed(spark, sf), ["c_acctbal", "last_event"])
+    return W.apply_changes(customers(spark, sf), event_feed(spark, sf), ["c_acctbal", "last_event"])
 
 
 # events of one kind give one attribute, and set only that
@@ -394,12 +394,12 @@ _GIVEN = f"""
 def apply_changes_batched(spark, sf):
     """A feed whose upserts each name the attributes they set, however it was cut into batches."""
     e = F.col("last_event")
-    feed = _feed(spark, sf).select(
+    feed = event_feed(spark, sf).select(
         "seq", "record_id", "operation", F.when(e == "view", F.col("c_acctbal")).alias("c_acctbal"),
         F.when(e == "click", F.col("c_acctbal")).alias("clicked"),
         F.array_compact(F.array(F.when(e == "view", "c_acctbal"), F.when(e == "click", "clicked"))).alias("given"),
     )
-    table = _customers(spark, sf)
+    table = customers(spark, sf)
     table = table.with_df(table.df.drop("c_mktsegment"))
     return W.apply_changes(table, feed, ["c_acctbal", "clicked"], given="given")
 
@@ -451,9 +451,9 @@ def tsv_upload(spark, sf):
     from recordloom.sinks.export import tsv_cells
     from recordloom.sources.tsv import load_tsv
 
-    customers = _customers(spark, sf)
-    customers = customers.with_df(customers.df.select("c_custkey", "c_name", "c_acctbal"))
-    table = merge_records(None, "customer", "c_custkey", load_tsv(tsv_cells(customers), "c_custkey"))
+    first = customers(spark, sf)
+    first = first.with_df(first.df.select("c_custkey", "c_name", "c_acctbal"))
+    table = merge_records(None, "customer", "c_custkey", load_tsv(tsv_cells(first), "c_custkey"))
     text = F.concat(F.lit("~"), F.col("c_acctbal").cast("string"))
     changes = load_tsv(_latest_events(spark, sf).withColumn("c_acctbal", text), "c_custkey")
     return merge_records(table, "customer", "c_custkey", changes).df

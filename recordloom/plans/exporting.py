@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.constants import RELATION_SCHEME
 from recordloom.model import RecordTable, tag
-from recordloom.plans.changing import _UPSERT, _customers, _latest_events
+from recordloom.plans.changing import _UPSERT, customers, _latest_events
 from recordloom.plans.importing import scratch
 from recordloom.plans.registry import query
 from recordloom.plans.star import records
@@ -42,7 +42,7 @@ def tsv_export(spark, sf):
 def tsv_export_file(spark, sf):
     """The files as written: the key leads, every row comes back."""
     path = scratch(spark, "export")
-    X.write_tsv(_customers(spark, sf), path)
+    X.write_tsv(customers(spark, sf), path)
     back = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"')
     first = back.columns[0]
     return back.agg(
@@ -101,7 +101,7 @@ def prefix_rename_manifest(spark, sf):
 def sink_upsert(spark, sf):
     """A first version written, changes upserted into a second, the newest read back."""
     path = scratch(spark, "table")
-    table = _customers(spark, sf)
+    table = customers(spark, sf)
     write_version(table.df, path, table.primary_key)
     upsert_table(spark, path, "customer", table.primary_key, _latest_events(spark, sf))
     return read_table(spark, path, "customer").df

@@ -11,6 +11,8 @@ from recordloom.plans.registry import query
 from recordloom.plans.star import raw
 from recordloom.sinks.table import read_table
 from recordloom.sources.tsv import typed_cell
+from recordloom.plans.changing import APPLIED, customers, event_feed
+from recordloom.streaming.changes import read_records, start_changes, start_table
 from recordloom.streaming.ingest import start_upserts
 from recordloom.streaming.status import start_status_fold
 
@@ -219,3 +221,15 @@ def stream_status(spark, sf):
         F.max_by("status", "batch").alias("status"), F.max_by("finished_at", "batch").alias("finished_at")
     )
     return newest.withColumn("finished_at", F.coalesce("finished_at", F.lit(-1)))
+
+
+@query("stream_changes", APPLIED)
+def stream_changes(spark, sf):
+    """Upserts and deletes of customers from a stream whose files have the operations in no order."""
+    source, path = scratch(spark, "feed"), scratch(spark, "changed")
+    feed = event_feed(spark, sf)
+    feed.repartition(4, F.xxhash64("seq")).write.parquet(source)
+    start_table(customers(spark, sf), path)
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_changes(stream, path, "customer", "c_custkey", ["c_acctbal", "last_event"], scratch(spark, "changes-state")).awaitTermination()
+    return read_records(spark, path, "customer").df

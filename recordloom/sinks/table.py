@@ -96,10 +96,10 @@ def write_version(
 def read_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> RecordTable | None:
     """The newest version (or the named one); None where there is none yet."""
     folders, _ = bucket_folders(spark, path.rstrip("/"), version)
-    return _read(spark, folders, name) if folders else None
+    return read_buckets(spark, folders, name) if folders else None
 
 
-def _read(spark: SparkSession, folders: dict[int, str], name: str, only=None) -> RecordTable:
+def read_buckets(spark: SparkSession, folders: dict[int, str], name: str, only=None) -> RecordTable:
     # attributes are only ever added between full versions, so the newest folder
     # has the schema of all
     newest = max(folders.values(), key=lambda f: int(f.rsplit("/", 2)[1].split("=")[1]))
@@ -110,6 +110,17 @@ def _read(spark: SparkSession, folders: dict[int, str], name: str, only=None) ->
     return RecordTable.of(name, spark.read.schema(schema).parquet(*wanted))
 
 
+def touched_buckets(keys: DataFrame, key: str, count: int) -> set[int]:
+    """The buckets that the keys fall into; one number per bucket reaches the driver."""
+    return {r["b"] for r in keys.select(bucket(quoted(key), count).alias("b")).distinct().collect()}
+
+
+def read_touched(spark: SparkSession, path: str, name: str, keys: DataFrame, key: str, version: int | None = None) -> RecordTable | None:
+    """The buckets of a stored table that the keys fall into; None where there is no table yet."""
+    folders, count = bucket_folders(spark, path.rstrip("/"), version)
+    return read_buckets(spark, folders, name, touched_buckets(keys, key, count)) if folders else None
+
+
 def upsert_table(
     spark: SparkSession,
     path: str,
@@ -132,13 +143,12 @@ def upsert_table(
         merged = merge_records(None, name, key, records)
         write_folder(merged.df, f"{path}/{_FULL}{number}", key, buckets, named)
         return read_table(spark, path, name, number)
-    touched = records.select(bucket(quoted(key), count).alias("b")).distinct().collect()
-    only = {r["b"] for r in touched}
-    part = _read(spark, folders, name, only)
+    only = touched_buckets(records, key, count)
+    part = read_buckets(spark, folders, name, only)
     merged = merge_records(part, name, key, records)
     if all(merged.types[c] is t for c, t in part.types.items()):
         write_folder(merged.df, f"{path}/{_UPSERT}{number}", key, count, named)
     else:
-        whole = merge_records(_read(spark, folders, name), name, key, records)
+        whole = merge_records(read_buckets(spark, folders, name), name, key, records)
         write_folder(whole.df, f"{path}/{_FULL}{number}", key, count, named)
     return read_table(spark, path, name, number)

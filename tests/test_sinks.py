@@ -67,7 +67,7 @@ def test_a_taken_version_is_an_error(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     rows = lambda n: tag(spark.createDataFrame([("1", n)], "id string, n int"), "id")
     assert write_version(rows(1), path, "id") == 0
-    monkeypatch.setattr(sink, "_next", lambda spark, path: 1)
+    monkeypatch.setattr(sink, "next_version", lambda spark, path: 1)
     write_version(rows(2), path, "id")
     with pytest.raises(Exception, match="already exists"):
         write_version(rows(3), path, "id")
