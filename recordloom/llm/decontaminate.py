@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.tables import text_or_empty
+from recordloom.llm.worker import let_go
 
 Q = 8
 EDIT_SHARE = 0.1
@@ -205,6 +206,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tupl
 
 def _matched(docs: DataFrame, keep: Sequence[str], block: list[tuple[object, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index = Index([text for _, text in block])
         number = pa.array(range(len(block)), pa.int32())
         for batch in batches:
@@ -258,6 +260,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts = [text for _, text in block]
 
         def clean(batches: Iterator[pa.RecordBatch], texts: list[str] = texts) -> Iterator[pa.RecordBatch]:
+            let_go()
             index = Index(texts)
             for batch in batches:
                 at = batch.schema.names.index("text")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.tables import text_or_empty, written
+from recordloom.llm.worker import let_go
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "none")
@@ -150,6 +151,7 @@ def scan(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The columns ``keep`` with ``~base``, ``~nodes`` and ``~links`` of ``text``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             base, nodes, links = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
@@ -286,6 +288,7 @@ def label(scanned: DataFrame, field: Field) -> DataFrame:
     """Adds ``~spans``, base and added ones by kind, then start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out = []
@@ -330,6 +333,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts = columns["text"].to_pylist()

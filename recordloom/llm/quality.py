@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.tables import held_out, text_or_empty, written
+from recordloom.llm.worker import let_go
 
 #: The expected number of labelled documents that the axes are fitted on and that vote, drawn by a hash of the id.
 LABELLED = 20_000
@@ -108,6 +109,7 @@ def rarities(docs: DataFrame) -> np.ndarray:
     """The logarithm of all documents by those that have a hashed term, counted over all of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen, every = np.zeros(HASHED, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -187,6 +189,7 @@ def _product(sample: DataFrame, rarity: np.ndarray, axes: np.ndarray) -> np.ndar
     sent = _sent(sample, (rarity, axes))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros((TERMS, axes_shape))
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -222,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, exp
     placing = _sent(sample, Model(rarity, axes, np.empty((0, axes.shape[1]), np.float32), np.empty(0)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             rows = [v.tobytes() for at in range(0, len(texts), BLOCK) for v in placing.value.place(texts[at : at + BLOCK])]
@@ -242,6 +246,7 @@ def with_quality(docs: DataFrame, model: Model, keep: Sequence[str] | None = Non
     sent = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             scores = sent.value.votes(batch.column(batch.num_columns - 1).to_pylist())

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.components import components
 from recordloom.llm.tables import text_or_empty, written
+from recordloom.llm.worker import let_go
 
 SEED = 42
 SHINGLE = 3
@@ -57,6 +58,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "finge
     """Adds the fingerprint of ``text`` (null: empty) as a signed long. ``docs`` may have any other columns."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             marks = [fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -147,6 +149,7 @@ def _node_links(bits: int):
                     yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held = np.empty((3, 0), np.int64)
         for batch in batches:
             if batch.num_rows:

@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows and bytes of a batch that goes to a Python worker: documents are long, and a batch is in memory several times.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand rows to Python workers in small batches; it changes memory, not results."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     The folder has to be set, except on a local master, where the session's warehouse is as good.
     """
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):

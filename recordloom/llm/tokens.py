@@ -16,7 +16,7 @@ import numpy as np
 
 from recordloom.llm.worker import held
 
-CACHED_PARTS = 400_000
+CACHED_PARTS = 200_000
 CACHED_LENGTH = 48
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 

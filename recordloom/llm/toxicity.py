@@ -32,7 +32,7 @@ FUZZY_LENGTH = 5
 FUZZY_SHARE = 0.7
 WINDOW = 12
 QUOTE_REACH = 6
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 EDGES = " \t\n\r\v\f.,;:!?()[]{}<>|/\\\"'`“”„«»‘’…*#$%&+=~^_-"
 QUOTES = tuple("\"“”„«»")
