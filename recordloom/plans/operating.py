@@ -13,6 +13,7 @@ from recordloom.sinks.table import read_table
 from recordloom.sources.tsv import typed_cell
 from recordloom.plans.changing import APPLIED, customers, event_feed
 from recordloom.streaming.changes import read_records, start_changes, start_table
+from recordloom.streaming.decisions import start_decisions
 from recordloom.streaming.ingest import start_upserts
 from recordloom.streaming.status import start_status_fold
 
@@ -69,7 +70,8 @@ def _updates(events):
     external = F.create_map(*[F.lit(x) for p in _EXTERNAL.items() for x in p])
     status = J.job_status(F.try_element_at(external, F.col("event_type")))
     return events.select(
-        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status")
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"),
+        F.col("ts").cast("timestamp").alias("updated"),
     )
 
 
@@ -88,14 +90,14 @@ def status_fold(spark, sf):
     return folded.withColumn("finished_at", F.coalesce("finished_at", F.lit(-1)))
 
 
-@query(
-    "status_classify",
-    f"""SELECT u.job_id, count(*) FILTER (seq = t) AS accepted,
+_CLASSIFIED = f"""SELECT u.job_id, count(*) FILTER (seq = t) AS accepted,
           count(*) FILTER (seq <> t AND u.status = CASE WHEN seq < t THEN 'RUNNING' ELSE f.status END) AS ignored,
           count(*) FILTER (seq <> t AND u.status <> CASE WHEN seq < t THEN 'RUNNING' ELSE f.status END) AS rejected
         FROM {_UPDATES} u JOIN (SELECT job_id, status, CASE finished_at WHEN -1 THEN 9223372036854775807 ELSE finished_at END AS t FROM {_FOLDED}) f
-          ON f.job_id = u.job_id GROUP BY 1""",
-)
+          ON f.job_id = u.job_id GROUP BY 1"""
+
+
+@query("status_classify", _CLASSIFIED)
 def status_classify(spark, sf):
     return J.classify_updates(_updates(raw(spark, sf, "events")))
 
@@ -233,3 +235,24 @@ def stream_changes(spark, sf):
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
     start_changes(stream, path, "customer", "c_custkey", ["c_acctbal", "last_event"], scratch(spark, "changes-state")).awaitTermination()
     return read_records(spark, path, "customer").df
+
+
+@query("stream_classify", _CLASSIFIED)
+def stream_classify(spark, sf):
+    """A decision for each status update as it arrives, counted per job."""
+    path = scratch(spark, "decisions")
+    start_decisions(_updates(_event_stream(spark, sf)), path, scratch(spark, "decisions-state"), None).awaitTermination()
+    made = spark.read.parquet(path)
+    return made.groupBy("job_id").agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("accepted", "ignored", "rejected")])
+
+
+@query(
+    "stream_stalled",
+    """SELECT CAST(user_id AS VARCHAR) job_id, 'ERROR' AS status FROM events GROUP BY user_id
+       HAVING count(*) FILTER (event_type IN ('purchase', 'error')) = 0 AND max(ts) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events)""",
+)
+def stream_stalled(spark, sf):
+    """Jobs without an end that had no update for six hours when the stream's time had moved on."""
+    path = scratch(spark, "stalled")
+    start_decisions(_updates(_event_stream(spark, sf)), path, scratch(spark, "stalled-state")).awaitTermination()
+    return spark.read.parquet(path).where("decision = 'stalled'").select("job_id", "status")
