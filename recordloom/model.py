@@ -9,7 +9,7 @@ survives projections and is stored in Parquet footers.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -143,15 +143,49 @@ def check_name(name: str) -> str:
     return name
 
 
+@dataclass(frozen=True)
+class NativeKey:
+    """The rows of a table before their whole-number key became text, and what made records of them.
+
+    An id that is the usual text of a whole number selects here, by the number: such a filter reaches the files, which
+    know their least and greatest keys. Any other id is no record's.
+    """
+
+    rows: DataFrame
+    column: str
+    project: Callable[[DataFrame], DataFrame]
+
+    @property
+    def _range(self) -> range:
+        bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(self.rows.schema[self.column].dataType.simpleString(), 63)
+        return range(-(1 << bits), 1 << bits)
+
+    def among(self, ids: Sequence[str]) -> DataFrame:
+        """The records with one of the ids."""
+        found = {int(i) for i in ids if re.fullmatch("0|-?[1-9][0-9]{0,18}", i, re.ASCII)}
+        numbers = sorted(n for n in found if n in self._range)
+        return self.project(self.rows.where(quoted(self.column).isin(*numbers) if numbers else F.lit(False)))
+
+    def joined(self, ids: DataFrame) -> DataFrame:
+        """The records with an id in ``ids.record_id``."""
+        number = F.col("record_id").try_cast("bigint")
+        asked = ids.where(number.cast("string") == F.col("record_id")).select(number.alias("sys_asked"))
+        return self.project(self.rows.join(asked, quoted(self.column) == F.col("sys_asked"), "left_semi"))
+
+
 @dataclass(frozen=True)
 class RecordTable:
-    """One record type: its rows, and edge rows for relations not held in a column."""
+    """One record type: its rows, and edge rows for relations not held in a column.
+
+    ``native`` is the key as it is stored, if that is not text; a table with other rows (``with_df``) has none.
+    """
 
     name: str
     df: DataFrame
     primary_key: str = DEFAULT_PRIMARY_KEY
     # relation attribute -> (target type, DataFrame(from_id, to_id))
     edge_tables: Mapping[str, tuple[str, DataFrame]] = field(default_factory=dict)
+    native: NativeKey | None = None
 
     @classmethod
     def of(cls, name: str, df: DataFrame, **kw) -> RecordTable:

@@ -26,7 +26,7 @@ DEEP_OFFSET = 100_000
 
 
 def get_record(table: RecordTable, record_id: str) -> DataFrame:
-    return table.df.filter(quoted(table.primary_key) == record_id)
+    return filter_ids(table, [record_id])
 
 
 def records_exist(table: RecordTable, ids: DataFrame) -> DataFrame:
@@ -39,17 +39,17 @@ def records_exist(table: RecordTable, ids: DataFrame) -> DataFrame:
 
 def filter_ids(table: RecordTable, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Records with one of the ids; no ids, no records."""
-    key = quoted(table.primary_key)
+    key, native = quoted(table.primary_key), table.native
     if isinstance(ids, DataFrame):
+        if native:
+            return native.joined(ids)
         wanted = ids.select(F.col("record_id").alias("__id"))
         return table.df.join(wanted, key == F.col("__id"), "left_semi")
     if not ids:
         return table.df.filter(F.lit(False))
     if len(ids) <= INLINE_IDS:
-        return table.df.filter(key.isin(*ids))
-    spark = table.df.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in set(ids)], "__id string")
-    return table.df.join(wanted, key == F.col("__id"), "left_semi")
+        return native.among(ids) if native else table.df.filter(key.isin(*ids))
+    return filter_ids(table, table.df.sparkSession.createDataFrame([(i,) for i in set(ids)], "record_id string"))
 
 
 # ---- terms -----------------------------------------------------------------

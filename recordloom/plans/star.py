@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.model import AttributeType, Collection, RecordTable, tag
+from recordloom.model import AttributeType, Collection, NativeKey, RecordTable, tag
 from recordloom.session import prepare
 
 # table -> (primary key, {relation column: target})
@@ -33,11 +33,14 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str, name: str) -> RecordTable:
     """A table with text keys, tagged with its relations."""
     key, relations = RECORD_TABLES[name]
-    df = raw(spark, sf_dir, name)
+    rows = raw(spark, sf_dir, name)
     as_text = {key, *relations}
-    df = df.select(*[F.col(c).cast("string").alias(c) if c in as_text else F.col(c) for c in df.columns])
     json_types = {c: AttributeType.JSON for c in JSON_COLUMNS.get(name, ())}
-    return RecordTable(name, tag(df, key, json_types, relations), key)
+
+    def project(df: DataFrame) -> DataFrame:
+        return tag(df.select(*[F.col(c).cast("string").alias(c) if c in as_text else F.col(c) for c in df.columns]), key, json_types, relations)
+
+    return RecordTable(name, project(rows), key, native=NativeKey(rows, key, project))
 
 
 def order_lines(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
@@ -84,7 +87,7 @@ class _Tables(Mapping):
             edges = {"orders": ("orders", placed)}
         else:
             return table
-        return RecordTable(name, table.df, table.primary_key, edges)
+        return RecordTable(name, table.df, table.primary_key, edges, table.native)
 
 
 def star(spark: SparkSession, sf_dir: str) -> Collection:

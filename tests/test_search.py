@@ -141,3 +141,24 @@ def test_date_time_terms_do_not_depend_on_the_drivers_zone(spark, monkeypatch):
     finally:
         monkeypatch.undo()
         time.tzset()
+
+
+def test_ids_select_by_the_stored_key(spark, sf):
+    from recordloom.plans.star import records
+    from recordloom.operators.search import filter_ids, get_record
+
+    plan = lambda df: df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    customers = records(spark, sf, "customer")
+    assert "PushedFilters: [In(c_custkey, [37,42])]" in plan(filter_ids(customers, ["42", "37"]))
+    assert "EqualTo(c_custkey,42)" in plan(get_record(customers, "42"))
+    every = {r["c_custkey"] for r in customers.df.collect()}
+    # texts that are no key's own text, and numbers that no key can be
+    odd = ["042", "+42", " 42", "4.2e1", "42", "-0", "", "x", "\u0664", "9" * 19, "9" * 30, "7"]
+    assert {r["c_custkey"] for r in filter_ids(customers, odd).collect()} == {"42", "7"} & every
+    frame = spark.createDataFrame([(i,) for i in [*odd, None]], "record_id string")
+    assert {r["c_custkey"] for r in filter_ids(customers, frame).collect()} == {"42", "7"} & every
+    many = [str(i) for i in range(0, 1000)]
+    assert {r["c_custkey"] for r in filter_ids(customers, many).collect()} == set(many) & every
+    assert filter_ids(customers, ["x"]).collect() == [] and get_record(customers, "nothing").collect() == []
+    nation = records(spark, sf, "nation")
+    assert [r["n_nationkey"] for r in filter_ids(nation, ["3", str(1 << 33)]).collect()] == ["3"]
