@@ -271,6 +271,39 @@ def import_two_pass(spark, sf):
     return joined.select("id", "label", "customer", F.col("known").isNotNull().alias("resolves"))
 
 
+@query(
+    "nested_import",
+    """SELECT 'orders' AS record_type, CAST(o_orderkey AS VARCHAR) id, o_orderstatus AS label, c_name AS reached, n_name AS "further",
+              'amount,consent,customer,extra,label,tags' AS attributes, (SELECT count(*) FROM orders) AS written
+       FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+       UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, n_name, NULL,
+              'amount,consent,extra,label,nation,snapshot,tags', (SELECT count(*) FROM customer)
+       FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+       UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name, NULL, NULL, 'amount,extra,label,tags', (SELECT count(*) FROM nation) FROM nation""",
+)
+def nested_import(spark, sf):
+    """A nested file of three types, loaded as one collection; its records, what they lead to, and their types' attributes."""
+    from recordloom.operators.expressions import evaluate, this
+
+    path = scratch(spark, "nested-file")
+    nested_rows(spark, sf).write.parquet(path)
+    tables, written = N.load_nested(N.read_nested(spark, path, "parquet"))
+    paths = {
+        "orders": (this("customer", "label"), this("customer", "nation", "label")), "customer": (this("nation", "label"), None), "nation": (None, None),
+    }
+    out = None
+    for name, (reached, further) in paths.items():
+        rows = evaluate(tables, name, {"label": this("label"), "reached": reached, "further": further})
+        # text as JSON: the names have no quotes in them
+        plain = [F.nullif(F.translate(c, '"', ""), F.lit("null")).alias(c) for c in ("label", "reached", "further")]
+        one = rows.select(
+            F.lit(name).alias("record_type"), F.col("record_id").alias("id"), *plain,
+            F.lit(",".join(c for c in tables[name].attributes if c != "id")).alias("attributes"), F.lit(written[name]).cast("long").alias("written"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "list_unwrap",
     """SELECT CAST(o_orderkey AS VARCHAR) id, o_orderstatus || ',' || o_orderpriority AS tags FROM orders

@@ -6,6 +6,7 @@ of the same shape; what happens to them is the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.constants import IMPORT_METADATA_PREFIX, LIST_WRAPPER_NAMES, OPEN_CONSENT
+from recordloom.errors import InvalidName
 from recordloom.functions.jsontext import number_text
 from recordloom.functions.recognise import is_uuid
 from recordloom.functions.relation import relation_uri
 from recordloom.model import AttributeType as A
-from recordloom.model import quoted, tag
+from recordloom.model import Collection, RecordTable, check_name, quoted, tag
+from recordloom.session import shared_dir
 
 ID, TYPE, OBJECT, RELATIONS = "id", "name", "object", "relations"
 
@@ -73,6 +76,54 @@ def _uris(c: Column, target: str, is_array: bool) -> Column:
     return F.transform(c, uri) if is_array else uri(c)
 
 
+# ---- whole files -----------------------------------------------------------
+
+
+def nested_summary(rows: DataFrame) -> DataFrame:
+    """One row per record type: ``record_type``, ``records``, the ``targets`` of its relations and the fields ``given``.
+
+    Types are counted and fields looked at where the rows are; a relation's target is one row per task.
+    """
+    fields = rows.schema[OBJECT].dataType.names
+    given = F.array_compact(F.array(*[F.when(F.max(F.col(OBJECT).getField(f).isNotNull()), f) for f in fields]))
+    counted = rows.groupBy(quoted(TYPE).alias("record_type")).agg(F.count(F.lit(1)).alias("records"), given.alias("given"))
+    links = rows.select(quoted(TYPE).alias("linked"), F.explode(F.transform(RELATIONS, lambda r: r["dst_name"])).alias("target"))
+    targets = links.where("target is not null").distinct().groupBy("linked").agg(F.array_sort(F.collect_list("target")).alias("targets"))
+    none = F.array().cast("array<string>")
+    return counted.join(targets, F.col("record_type").eqNullSafe(F.col("linked")), "left").select(
+        "record_type", "records", F.coalesce("targets", none).alias("targets"), "given"
+    )
+
+
+def load_nested(rows: DataFrame) -> tuple[Collection, dict[str, int]]:
+    """All record types of nested rows as related record tables, and how many records each has.
+
+    The rows are read once and dealt out by type to the shared folder; each table reads its own part. Its columns are the
+    fields that any of its records gives, and a relation for each type that its records name; where that is the name of a
+    field as well, the relation comes in its place. Base attributes and relations are those of ``base_records`` and
+    ``relation_records``, in one projection. Rows without a type are an error.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/nested-{uuid.uuid4().hex}"
+    rows.withColumn("sys_type", quoted(TYPE)).write.partitionBy("sys_type").parquet(path)
+    # types are text, whatever their folders are called
+    stored = spark.read.schema(rows.schema.add("sys_type", "string")).parquet(path)
+    tables, counts = [], {}
+    for r in nested_summary(stored).collect():
+        name = r["record_type"]
+        if name is None:
+            raise InvalidName("some rows name no record type")
+        check_name(name)
+        part = stored.where(F.col("sys_type") == name)
+        fields = [f for f in r["given"] if f not in r["targets"] and f != ID]
+        links = [_last_of(t).alias(check_name(t)) for t in r["targets"]]
+        picked = part.select(ID, *[F.col(OBJECT).getField(f).alias(f) for f in fields], *links)
+        typed = convert_columns(picked, ids=[ID, *r["targets"]])
+        tables.append(RecordTable(name, tag(typed, ID, relations={t: t for t in r["targets"]}), ID))
+        counts[name] = r["records"]
+    return Collection.of(*tables), counts
+
+
 # ---- values ----------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.constants import MANIFEST_DEFAULT_KEY, RELATION_SCHEME
-from recordloom.errors import InvalidTsv, MissingObject
+from recordloom.errors import InvalidName, InvalidTsv, MissingObject
 from recordloom.model import AttributeType as A
 from recordloom.sinks.export import tsv_cells, write_tsv
 from recordloom.model import RecordTable
@@ -239,3 +239,25 @@ def test_types_follow_files_by_name_not_by_size(spark, tmp_path):
     assert dict(T.load_tsv(cells.filter("id != '1'"), key).dtypes)["day"] == "timestamp_ntz"
     # of cells that were shuffled the order of arrival is all there is
     assert set(T.infer_tsv(cells.repartition(3), key)) == {"day", "at"}
+
+
+def test_a_nested_file_becomes_related_tables(spark, tmp_path):
+    from recordloom.operators.traverse import follow
+
+    rows = [
+        {"id": "1", "name": "sample", "object": {"n": 1.5, "who": "x"}, "relations": [{"dst_id": "a", "dst_name": "donor"}, {"dst_id": "b", "dst_name": "donor"}]},
+        {"id": "a", "name": "donor", "object": {"who": "ann", "donor": "self"}, "relations": []},
+        {"id": "2", "name": "sample", "object": {"n": None}, "relations": None},
+        {"id": "b", "name": "donor", "object": {"who": "bob"}, "relations": [{"dst_id": "a", "dst_name": "donor"}]},
+        {"id": "9", "name": "007", "object": {}, "relations": []},
+    ]
+    (tmp_path / "rows.json").write_text("\n".join(json.dumps(r) for r in rows))
+    tables, counts = N.load_nested(N.read_nested(spark, str(tmp_path), "json"))
+    assert counts == {"sample": 2, "donor": 2, "007": 1}
+    assert tables["sample"].attributes == ["id", "donor", "n", "who"] and tables["007"].attributes == ["id"]
+    assert tables["donor"].relations == {"donor": "donor"}
+    assert collect(tables["sample"].df.select("id", "n", "donor")) == [("1", 1.5, "b"), ("2", None, None)]
+    assert collect(follow(tables, "sample", ["donor", "donor"]).select("sys_root", "who")) == [("1", "ann")]
+    (tmp_path / "odd.json").write_text('{"id": "3", "object": {"n": 2}}')
+    with pytest.raises(InvalidName):
+        N.load_nested(N.read_nested(spark, str(tmp_path), "json"))
