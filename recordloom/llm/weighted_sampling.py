@@ -127,6 +127,8 @@ def in_order(docs: DataFrame) -> DataFrame:
         is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash"))
         copies = dealt.drop("bucket").join(F.broadcast(listed), is_head)
         together = together.unionByName(copies.select("doc_id", "text", "hash", F.col("before").alias("bucket"), F.lit(True).alias("copy")))
+    # known not to be null, a bucket needs no filter, and all that is made of the rows shares one exchange of the texts
+    together = together.withColumn("bucket", F.coalesce("bucket", F.lit(0)))
     order = Window.partitionBy("bucket").orderBy("copy", "doc_id", "hash")
     return together.select(
         "bucket", F.row_number().over(order).alias("at"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "copy"
