@@ -22,7 +22,7 @@ from recordloom.llm import (
     url_filter,
     weighted_sampling,
 )
-from recordloom.llm.tables import held_out, table
+from recordloom.llm.tables import held_out, table, written
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -161,7 +161,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents with its suffix sums, one row per length."""
     documents = table(spark, sf_dir, "documents")
-    return lengths.suffix_sums(lengths.length_histogram(lengths.token_lengths(documents)))
+    # sums read the histogram twice, which is small once it is there
+    return lengths.suffix_sums(written(lengths.length_histogram(lengths.token_lengths(documents)), "lengths"))
 
 
 @query("op1_packing")
