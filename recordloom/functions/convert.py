@@ -72,10 +72,14 @@ def _strict(original: Column, converted: Column, target: A) -> Column:
 
 
 def _is_exact(c: Column) -> Column:
-    """Whether a number's text has no digits beyond the 18 places that are kept: it is refused rather than rounded."""
+    """Whether a number's text has no digits beyond the 18 places that are kept: it is refused rather than rounded.
+
+    A short text without an exponent can't have more, which is told without a regular expression.
+    """
+    short = (F.length(c) <= 19) & ~c.contains("e") & ~c.contains("E")
     fraction = F.rtrim(F.regexp_extract(c, r"\.([0-9]*)", 1), F.lit("0"))
     exponent = F.coalesce(F.regexp_extract(c, r"[eE]([+-]?[0-9]{1,4})", 1).try_cast("int"), F.lit(0))
-    return F.length(fraction) - exponent <= 18
+    return short | (F.length(fraction) - exponent <= 18)
 
 
 def _spelled_boolean(c: Column) -> Column:

@@ -81,3 +81,14 @@ def test_number_text_keeps_every_digit(spark):
     assert texts[2:5] == ["0.1", "2.5", "0"]
     exact = spark.createDataFrame([("0.000000000000000001",), ("1.25e3",), ("10.000",)], "v string")
     assert [str(r[0].normalize()) for r in exact.select(convert(F.col("v"), A.STRING, A.NUMBER)).collect()] == ["1E-18", "1.25E+3", "1E+1"]
+
+
+def test_numbers_are_exact_to_18_places(spark):
+    from recordloom.functions.convert import _is_exact
+
+    exact = {
+        "0.123456789012345678": True, "0.1234567890123456789": False, "0.1234567890123456780": True, "1e-18": True, "1E-19": False,
+        ".123456789012345678": True, "12345678901234567890": True, "1.5e3": True, "1.23456789012345678901e2": True, "-0.5": True,
+    }
+    rows = spark.createDataFrame([(t,) for t in exact], "t string")
+    assert {r["t"]: r["x"] for r in rows.withColumn("x", _is_exact(rows["t"])).collect()} == exact

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from recordloom.operators.jobs import classify_updates
+from recordloom.operators.jobs import classify_updates, fold_statuses
 from recordloom.streaming.decisions import start_decisions
 from tests.conftest import collect
 
@@ -51,3 +51,10 @@ def test_counts_are_those_of_the_whole(spark, tmp_path):
     start_decisions(spark.readStream.schema(SCHEMA).parquet(source), path, str(tmp_path / "state"), None).awaitTermination()
     got = spark.read.parquet(path).groupBy("job_id").pivot("decision", ["accepted", "ignored", "rejected"]).count().fillna(0)
     assert collect(got) == collect(classify_updates(updates).select("job_id", "accepted", "ignored", "rejected"))
+
+
+def test_jobs_are_folded_by_hash(spark):
+    rows = [("a", 3, "ERROR"), ("a", 2, "SUCCEEDED"), ("b", 1, "RUNNING"), ("c", 5, "SUCCEEDED"), ("c", 4, "ERROR"), ("d", 1, "ERROR")]
+    folded = fold_statuses(spark.createDataFrame(rows, "job_id string, seq long, status string"))
+    assert collect(folded) == [("a", "SUCCEEDED", 2), ("b", "RUNNING", None), ("c", "ERROR", 4), ("d", "ERROR", 1)]
+    assert "SortAggregate" not in folded._sc._jvm.PythonSQLUtils.explainString(folded._jdf.queryExecution(), "formatted")
