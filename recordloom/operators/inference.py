@@ -36,17 +36,27 @@ def select_best_type(existing: A, new: A) -> A:
     return A.DATE_TIME if (existing, new) == (A.DATE, A.DATE_TIME) else A.STRING
 
 
-def column_type_aggregate(cell_type: Column, ordinal: Column) -> Column:
-    """Aggregate: the column type name for cell type names met in ``ordinal`` order."""
+#: The kinds whose order among each other counts, with what is kept of it: the last date and the first date-time.
+_ORDERED = ((A.DATE, A.DATE_TIME, "last_date", "first_date_time"), (A.ARRAY_OF_DATE, A.ARRAY_OF_DATE_TIME, "last_dates", "first_date_times"))
+PLACES = [n for _, _, last, first in _ORDERED for n in (last, first)]
+#: What a column's cells come down to: which types occur, as bits, and places in the order of arrival.
+BUFFERS = ["mask", *PLACES]
+
+
+def _buffers(cell_type: Column, ordinal: Column) -> dict[str, Column]:
+    """Aggregates over the cells of a column, by the names in ``BUFFERS``."""
     mask_of = F.create_map(*[F.lit(x) for pair in _BIT.items() for x in pair])
     mask = F.coalesce(F.bit_or(F.element_at(mask_of, F.nullif(cell_type, F.lit("NULL")))), F.lit(0))
+    found = {"mask": mask}
+    for date, stamp, last, first in _ORDERED:
+        found[last] = F.max(F.when(cell_type == date.value, ordinal))
+        found[first] = F.min(F.when(cell_type == stamp.value, ordinal))
+    return found
 
-    def last(kind: A) -> Column:
-        return F.max(F.when(cell_type == kind.value, ordinal))
-
-    def first(kind: A) -> Column:
-        return F.min(F.when(cell_type == kind.value, ordinal))
 
+def _decided(of: Mapping[str, Column]) -> Column:
+    """The column type name that the buffers of a column come down to."""
+    mask = of["mask"]
     only_arrays = mask.bitwiseAND(F.lit(~_ARRAYS)) == 0
     filled = mask.bitwiseAND(F.lit(~_BIT["EMPTY_ARRAY"]))
     result = F.when(mask == 0, "NULL")
@@ -56,15 +66,18 @@ def column_type_aggregate(cell_type: Column, ordinal: Column) -> Column:
     for kind in A:
         if kind.is_array and kind is not A.EMPTY_ARRAY:
             result = result.when(only_arrays & (filled == _BIT[kind.value]), kind.value)
-    for date, stamp, where in (
-        (A.DATE, A.DATE_TIME, mask),
-        (A.ARRAY_OF_DATE, A.ARRAY_OF_DATE_TIME, filled),
-    ):
+    for date, stamp, last, first in _ORDERED:
+        where = filled if date.is_array else mask
         both = where == _BIT[date.value] + _BIT[stamp.value]
-        result = result.when(both & (last(date) < first(stamp)), stamp.value)
+        result = result.when(both & (of[last] < of[first]), stamp.value)
     return result.when(only_arrays, "ARRAY_OF_STRING").otherwise("STRING")
 
 
+def column_type_aggregate(cell_type: Column, ordinal: Column) -> Column:
+    """Aggregate: the column type name for cell type names met in ``ordinal`` order."""
+    return _decided(_buffers(cell_type, ordinal))
+
+
 def infer_columns(df: DataFrame, cell_types: Mapping[str, Column], ordinal: Column) -> DataFrame:
     """One row ``(attribute, attribute_type)`` per column.
 
@@ -85,6 +98,41 @@ def infer_columns(df: DataFrame, cell_types: Mapping[str, Column], ordinal: Colu
     return wide.select(F.inline(F.array(*pairs)))
 
 
+def summarise_columns(df: DataFrame, cell_types: Mapping[str, Column], ordinal: Column, upload: int = 0) -> DataFrame:
+    """What inference needs of a piece of a table, to be kept: one row ``(attribute, *BUFFERS)`` per column.
+
+    Places have the number of the ``upload`` before the ordinal within it, so pieces of several uploads are in order too.
+    """
+    tmp = {name: f"t{i}" for i, name in enumerate(cell_types)}
+    cells = df.select(ordinal.cast("long").alias("ordinal"), *[c.alias(tmp[name]) for name, c in cell_types.items()])
+    aggregates = [a.alias(f"{t}_{n}") for t in tmp.values() for n, a in _buffers(F.col(t), F.col("ordinal")).items()]
+    wide = cells.agg(*aggregates)
+
+    def place(column: str) -> Column:
+        both = F.struct(F.lit(upload).cast("int").alias("upload"), F.col(column).alias("ordinal"))
+        return F.when(F.col(column).isNotNull(), both)
+
+    rows = [
+        F.struct(F.lit(name).alias("attribute"), F.col(f"{t}_mask").cast("long").alias("mask"), *[place(f"{t}_{n}").alias(n) for n in PLACES])
+        for name, t in tmp.items()
+    ]
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def merge_summaries(*summaries: DataFrame) -> DataFrame:
+    """The summary of all pieces together, whatever order they are merged in. A piece merged twice counts once."""
+    every = summaries[0]
+    for one in summaries[1:]:
+        every = every.unionByName(one)
+    ends = [(F.max if n.startswith("last") else F.min)(n).alias(n) for n in PLACES]
+    return every.groupBy("attribute").agg(F.bit_or("mask").alias("mask"), *ends)
+
+
+def column_types(summary: DataFrame) -> DataFrame:
+    """``(attribute, attribute_type)`` of the columns that a summary describes."""
+    return summary.select("attribute", _decided({n: F.col(n) for n in BUFFERS}).alias("attribute_type"))
+
+
 def infer_schema(df: DataFrame, cell_types: Mapping[str, Column], ordinal: Column) -> dict[str, A]:
     """``infer_columns`` as a dictionary; one row per attribute reaches the driver."""
     rows = infer_columns(df, cell_types, ordinal).collect()

@@ -14,10 +14,12 @@ from recordloom.functions import infer
 from recordloom.functions import recognise as R
 from recordloom.functions.relation import relation_id, relation_type, relation_uri
 from recordloom.model import AttributeType as A
-from recordloom.operators.inference import infer_columns, relation_targets
+from recordloom.operators.inference import infer_columns, relation_targets, summarise_columns
 from recordloom.operators.integrity import type_mismatches
+from recordloom.plans.importing import scratch
 from recordloom.plans.registry import query
 from recordloom.plans.star import raw, records
+from recordloom.sinks.summary import keep_summary
 
 
 def by_event(**cells: Column) -> Column:
@@ -124,24 +126,24 @@ _FOLD = """SELECT '{0}' AS attribute, CASE
 _SPLIT = "(SELECT (min(event_id) + max(event_id)) / 2 FROM events)"
 
 
-@query(
-    "infer_column",
-    " UNION ALL ".join(
-        [_FOLD.format(n, _case(m)) for n, m in _TSV_TYPES.items()]
-        + [
-            _FOLD.format("widened", f"CASE WHEN event_id <= {_SPLIT} THEN 'DATE' ELSE 'DATE_TIME' END"),
-            _FOLD.format("narrowed", f"CASE WHEN event_id <= {_SPLIT} THEN 'DATE_TIME' ELSE 'DATE' END"),
-            _FOLD.format("numbers", "CASE event_type WHEN 'error' THEN 'NULL' ELSE 'NUMBER' END"),
-            _FOLD.format("lists", "CASE event_type WHEN 'error' THEN 'EMPTY_ARRAY' ELSE 'ARRAY_OF_NUMBER' END"),
-            _FOLD.format("both", "CASE event_type WHEN 'error' THEN 'NUMBER' ELSE 'ARRAY_OF_NUMBER' END"),
-        ]
-    ),
+_COLUMNS_SQL = " UNION ALL ".join(
+    [_FOLD.format(n, _case(m)) for n, m in _TSV_TYPES.items()]
+    + [
+        _FOLD.format("widened", f"CASE WHEN event_id <= {_SPLIT} THEN 'DATE' ELSE 'DATE_TIME' END"),
+        _FOLD.format("narrowed", f"CASE WHEN event_id <= {_SPLIT} THEN 'DATE_TIME' ELSE 'DATE' END"),
+        _FOLD.format("numbers", "CASE event_type WHEN 'error' THEN 'NULL' ELSE 'NUMBER' END"),
+        _FOLD.format("lists", "CASE event_type WHEN 'error' THEN 'EMPTY_ARRAY' ELSE 'ARRAY_OF_NUMBER' END"),
+        _FOLD.format("both", "CASE event_type WHEN 'error' THEN 'NUMBER' ELSE 'ARRAY_OF_NUMBER' END"),
+    ]
 )
-def infer_column(spark, sf):
+_MIXED = [*_TSV_TYPES, "widened", "narrowed", "numbers", "lists", "both"]
+
+
+def _mixed_cells(spark, sf):
     events = raw(spark, sf, "events")
     half = sum(events.agg(F.min("event_id"), F.max("event_id")).first()) / 2
     early, failed, listed = F.col("event_id") <= half, F.col("event_type") == "error", F.concat(F.lit("["), "value", F.lit("]"))
-    cells = tsv_cells(
+    return tsv_cells(
         events,
         F.when(early, _day()).otherwise(_iso()).alias("widened"),
         F.when(early, _iso()).otherwise(_day()).alias("narrowed"),
@@ -149,8 +151,25 @@ def infer_column(spark, sf):
         F.when(failed, "[]").otherwise(listed).alias("lists"),
         F.when(failed, F.col("value").cast("string")).otherwise(listed).alias("both"),
     )
-    names = [*_TSV_TYPES, "widened", "narrowed", "numbers", "lists", "both"]
-    return infer_columns(cells, {n: infer.tsv_type(n) for n in names}, F.col("event_id"))
+
+
+@query("infer_column", _COLUMNS_SQL)
+def infer_column(spark, sf):
+    return infer_columns(_mixed_cells(spark, sf), {n: infer.tsv_type(n) for n in _MIXED}, F.col("event_id"))
+
+
+@query("infer_pieces", _COLUMNS_SQL)
+def infer_pieces(spark, sf):
+    """The same from three uploads, of which only summaries are kept and merged, the last one first."""
+    cells, path = _mixed_cells(spark, sf), scratch(spark, "uploads")
+    low, high = raw(spark, sf, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [low, low + (high - low) // 3, low + (high - low) * 2 // 3, high + 1]
+    types = {}
+    for version, upload in enumerate((2, 0, 1)):
+        piece = cells.where((F.col("event_id") >= cuts[upload]) & (F.col("event_id") < cuts[upload + 1]))
+        summary = summarise_columns(piece, {n: infer.tsv_type(n) for n in _MIXED}, F.col("event_id") - cuts[upload], upload)
+        types = keep_summary(summary, path, version)
+    return spark.createDataFrame([(n, k.value) for n, k in types.items()], "attribute string, attribute_type string")
 
 
 @query(

@@ -31,14 +31,15 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
 
+def finished(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``<prefix><number>`` below ``path`` that are whole."""
+    names = [n for n in _children(spark, path) if n.startswith(prefix)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if _DONE in _children(spark, f"{path}/{n}"))
+
+
 def _history(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     """Finished versions, oldest first, with their folders."""
-    found = []
-    for name in _children(spark, path):
-        for prefix in (_FULL, _UPSERT):
-            if name.startswith(prefix) and _DONE in _children(spark, f"{path}/{name}"):
-                found.append((int(name.removeprefix(prefix)), name))
-    return sorted(found)
+    return sorted((n, f"{prefix}{n}") for prefix in (_FULL, _UPSERT) for n in finished(spark, path, prefix))
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:

@@ -9,7 +9,7 @@ from recordloom.constants import RELATION_SCHEME
 from recordloom.functions import infer
 from recordloom.functions import recognise as R
 from recordloom.model import AttributeType as A
-from recordloom.operators.inference import column_type_aggregate, infer_columns, select_best_type
+from recordloom.operators.inference import column_type_aggregate, infer_columns, infer_schema, select_best_type
 from tests.conftest import collect
 
 TSV_CELLS = [
@@ -98,3 +98,32 @@ def test_infer_columns_of_no_rows(spark):
 def test_uuid_and_curly_quotes(spark):
     df = spark.createDataFrame([("123e4567-e89b-12d3-a456-426614174000", True), ("1-2-3-4-5", True), ("123", False)], "c string, w boolean")
     assert df.filter(R.is_uuid(F.col("c")) != F.col("w")).count() == 0
+
+
+def test_pieces_merge_in_any_order(spark, tmp_path):
+    """Cells cut into uploads, whose summaries are merged in every order, have the types of all cells at once."""
+    import itertools
+    import random
+
+    from recordloom.operators.inference import column_types, merge_summaries, summarise_columns
+    from recordloom.sinks.summary import keep_summary, kept_summary
+
+    rng = random.Random(4)
+    kinds = ["NULL", "DATE", "DATE_TIME", "ARRAY_OF_DATE", "ARRAY_OF_DATE_TIME", "EMPTY_ARRAY", "NUMBER"]
+    names = [f"c{i}" for i in range(12)]
+    # few kinds per column, so that most columns are not just text
+    pools = [rng.sample(kinds[:3] if i % 2 else kinds[3:6], rng.randint(1, 3)) for i in range(12)]
+    rows = [(n, *[sorted(pool, key=lambda k: (n < 15) == (k.endswith("TIME")))[0] if i < 6 else rng.choice(pool) for i, pool in enumerate(pools)]) for n in range(30)]
+    df = spark.createDataFrame(rows, "n long, " + ", ".join(f"{c} string" for c in names))
+    cells = {c: F.col(c) for c in names}
+    want = infer_schema(df, cells, F.col("n"))
+    assert len(set(want.values())) > 3
+    parts = [summarise_columns(df.where(f"n >= {a} and n < {a + 10}"), cells, F.col("n") % 10, a // 10) for a in (0, 10, 20)]
+    for order in itertools.permutations(parts):
+        assert {r["attribute"]: r["attribute_type"] for r in column_types(merge_summaries(merge_summaries(*order[:2]), order[2], order[0])).collect()} == {k: v.value for k, v in want.items()}
+    path = str(tmp_path / "t")
+    assert kept_summary(spark, path) is None
+    for version, part in enumerate(parts):
+        got = keep_summary(part, path, version)
+    assert got == want and keep_summary(parts[2], path, 2) == want
+    assert kept_summary(spark, path, 0).count() == 12
