@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ BLOCK_CHARS = 1_000_000
 #: Characters of a document that are hashed at once.
 CHUNK_CHARS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 class Match(NamedTuple):
@@ -57,9 +59,18 @@ def edit_budget(length: int) -> int:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, and the items that are shorter than one, which are looked for as they are."""
 
     def __init__(self, texts: Sequence[str]):
+        short: dict[str, list[int]] = {}
+        for which, text in enumerate(texts):
+            if 0 < len(text) < Q:
+                short.setdefault(text.translate(LOWER), []).append(which)
+        self.short = ahocorasick.Automaton() if short else None
+        for text, found in short.items():
+            self.short.add_word(text, (len(text), found))
+        if short:
+            self.short.make_automaton()
         self.items = [code_points(t) for t in texts]
         length = np.array([len(p) for p in self.items], np.int64)
         self.budget = np.array([edit_budget(n) for n in length.tolist()], np.int64)
@@ -107,6 +118,13 @@ class Index:
 
     def matches(self, text: str) -> list[Match]:
         """The best match of each item in each stretch of the text that it covers, in order of item and start."""
+        found = []
+        for end, (length, short) in self.short.iter(text.translate(LOWER)) if self.short else ():
+            found += [Match(which, end + 1 - length, end + 1, 0) for which in short]
+        return _best(found + self._long_matches(text))
+
+    def _long_matches(self, text: str) -> list[Match]:
+        """Matches of items of a q-gram or more; they may overlap."""
         points = code_points(text)
         if len(points) < Q or not len(self.keys):
             return []
@@ -136,7 +154,7 @@ class Index:
             match = self._equal(points, which, diagonal[mine]) or align(points, self.items[which], number * (e + 1), 2 * (e + 1), e)
             if match is not None:
                 found.append(Match(which, *match))
-        return _best(found)
+        return found
 
 
 def align(text: np.ndarray, item: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
@@ -190,10 +208,10 @@ def _best(found: list[Match]) -> list[Match]:
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of at most ``limit`` characters, or of one longer item; shorter ones than a q-gram are left out."""
+    """The items in blocks of at most ``limit`` characters, or of one longer item; empty ones are left out."""
     block: list[tuple[object, str]] = []
     chars = 0
-    rows = benchmark.where(F.length("text") >= Q).select("item_id", "text").orderBy("item_id", "text")
+    rows = benchmark.where(F.length("text") > 0).select("item_id", "text").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         if block and chars + len(row["text"]) > limit:
             yield block
@@ -237,7 +255,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, keep: Sequence[
 
     Near means within ``edit_budget`` edits, A-Z in lower case; offsets are code points of the whole text, the end
     exclusive. Rows of ``docs`` are judged one by one, so repeated rows give repeated rows; null and empty texts have no
-    passages, neither have items that are null or shorter than a q-gram. Repeated items are all reported. An empty table
+    passages, neither have items that are null or empty. Items shorter than a q-gram are found as they are. Repeated items are all reported. An empty table
     of either kind gives no rows.
 
     The benchmark is a list of questions to look for, read in blocks of bounded size; each block is a pass of its own.

@@ -70,6 +70,17 @@ def test_no_passages_in_odd_rows_or_without_items(spark, documents):
     assert decontaminate.without_contamination(documents(ODD), items_for(spark).limit(0)).count() == len(ODD)
 
 
+def test_short_items_are_found_as_they_are(spark, documents):
+    items = spark.createDataFrame([(1, "Same"), (2, "E T"), (3, ""), (4, None), (5, "é漢🙂"), (6, "aa"), (7, "SAME"), (8, "here at least nine")], "item_id long, text string")
+    rows = [*ODD, (20, "Aaaa, and aa"), (21, "HERE AT LEAST NINE")]
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.contaminated_passages(documents(rows), items).collect()}
+    want = {(d, i, 0, 4, 0) for d in (3, 4) for i in (1, 7)} | {(3, 2, 3, 6, 0), (4, 2, 3, 6, 0), (None, 2, 3, 6, 0), (7, 5, 0, 3, 0)}
+    # of places that overlap the first counts
+    assert got == want | {(20, 6, 0, 2, 0), (20, 6, 10, 12, 0), (21, 8, 0, 18, 0)}
+    kept = decontaminate.without_contamination(documents(rows), items).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "5", "6", "None"]
+
+
 def test_near_duplicate_filter_keeps_one_row_of_each_component(spark, documents):
     rows = [*ODD, *[(100 + i, " ".join(f"w{j}" for j in range(400)) + f" {i % 7}") for i in range(40)]]
     found = {}
