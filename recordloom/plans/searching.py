@@ -8,9 +8,10 @@ from recordloom.constants import RELATION_SCHEME
 from recordloom.functions.relation import relation_uri
 from recordloom.model import AttributeType as A
 from recordloom.model import RecordTable, tag
+from recordloom.operators import requests as Q
 from recordloom.operators import search as S
 from recordloom.plans.registry import query
-from recordloom.plans.star import records
+from recordloom.plans.star import raw, records, star
 
 _URI = f"'{RELATION_SCHEME}/"
 
@@ -278,3 +279,37 @@ def scan_ordered(spark, sf):
 )
 def read_relations(spark, sf):
     return S.read_records(records(spark, sf, "orders")).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+_ASKED = """(SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 'c_acctbal' WHEN 'error' THEN 'c_acctbal' WHEN 'click' THEN 'c_name'
+    WHEN 'purchase' THEN 'nothing' END AS attribute FROM events)"""
+
+
+@query(
+    "term_problems",
+    f"""SELECT event_id AS request_id, attribute AS "column", CASE event_type WHEN 'error' THEN 'is not a number'
+          WHEN 'purchase' THEN 'names an attribute that is not there' ELSE 'names no attribute' END AS problem
+        FROM {_ASKED} WHERE event_type NOT IN ('view', 'click')""",
+)
+def term_problems(spark, sf):
+    """Events as search requests on customers, and why some can't be answered."""
+    e = F.col("event_type")
+    column = F.when(e.isin("view", "error"), "c_acctbal").when(e == "click", "c_name").when(e == "purchase", "nothing")
+    value = F.when(e == "error", F.concat(F.lit("about "), F.col("value").cast("string"))).otherwise(F.col("value").cast("string"))
+    requests = raw(spark, sf, "events").select(F.col("event_id").alias("request_id"), column.alias("column"), value.alias("value"))
+    return Q.term_problems(records(spark, sf, "customer"), requests)
+
+
+@query(
+    "key_problems",
+    """SELECT event_id AS upload_id, CASE event_type WHEN 'view' THEN 'customer' ELSE 'part' END AS record_type,
+              CASE event_type WHEN 'view' THEN 'the primary key is c_custkey, not p_partkey' ELSE 'the primary key is p_partkey, not c_custkey' END AS problem
+       FROM events WHERE (event_type = 'view' AND event_id % 2 = 0) OR (event_type = 'click' AND event_id % 2 = 1)""",
+)
+def key_problems(spark, sf):
+    """Events as uploads to customers, parts and new types, and which of them name another key than there is."""
+    e = F.col("event_type")
+    kind = F.when(e == "view", "customer").when(e == "click", "part").otherwise(e)
+    key = F.when(F.col("event_id") % 2 == 0, "p_partkey").otherwise("c_custkey")
+    uploads = raw(spark, sf, "events").select(F.col("event_id").alias("upload_id"), kind.alias("record_type"), key.alias("primary_key"))
+    return Q.key_problems(star(spark, sf), uploads, ["customer", "part"])

@@ -4,10 +4,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from recordloom.constants import RELATION_SCHEME
 from recordloom.errors import InvalidQuery
 from recordloom.model import AttributeType as A
-from recordloom.model import RecordTable, tag
+from recordloom.model import Collection, RecordTable, tag
 from recordloom.operators import search as S
 
 URI = f"{RELATION_SCHEME}/test/"
@@ -162,3 +163,30 @@ def test_ids_select_by_the_stored_key(spark, sf):
     assert filter_ids(customers, ["x"]).collect() == [] and get_record(customers, "nothing").collect() == []
     nation = records(spark, sf, "nation")
     assert [r["n_nationkey"] for r in filter_ids(nation, ["3", str(1 << 33)]).collect()] == ["3"]
+
+
+def test_requests_are_refused_as_single_terms_are(spark):
+    """Every request has a problem if and only if its term can't be made."""
+    from recordloom.operators.requests import key_problems, term_problems
+    from recordloom.operators.search import term
+
+    fields = {"s": "string", "n": "decimal(38,18)", "b": "boolean", "d": "date", "t": "timestamp_ntz", "j": "string", "ns": "array<decimal(38,18)>"}
+    table = RecordTable("t", tag(spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in fields.items())), "s", {"j": A.JSON}), "s")
+    values = ["x", "", "1", "-1.5e3", ".5", "5.", "1e", "true", "FALSE", "2020-02-29", "2021-02-29", "2020-2-9", "2020-01-01T10:00:00",
+              "2020-01-01 10:00:00.25", "2020-01-01T25:00:00", '{"a": [1]}', "{a}", "null"]
+    rows = [(f"{c}/{v}", c, v) for c in [*fields, "gone"] for v in values if (c, v) != ("t", "2020-02-29")] + [("none", None, "x"), ("empty", "", "x"), ("no value", "n", None)]
+    requests = spark.createDataFrame(rows, "request_id string, column string, value string")
+    found = {r["request_id"]: r["problem"] for r in term_problems(table, requests).collect()}
+    for rid, column, value in rows:
+        try:
+            # a JSON term is only parsed where it is compared
+            refused = column in (None, "") or value is None or (column == "j" and not spark.range(1).select(F.try_parse_json(F.lit(value)).isNotNull()).first()[0])
+            if not refused:
+                term(table, column, value)
+        except InvalidQuery:
+            refused = True
+        assert (rid in found) == refused, rid
+    tables = Collection.of(table)
+    uploads = spark.createDataFrame([(1, "t", "s"), (2, "t", "n"), (3, "new", "n"), (4, "t", None), (5, None, "x")], "upload_id long, record_type string, primary_key string")
+    assert [(r["upload_id"], r["problem"]) for r in key_problems(tables, uploads, ["t"]).collect()] == [(2, "the primary key is s, not n")]
+    assert key_problems(tables, uploads, []).collect() == []
