@@ -124,9 +124,9 @@ def type_mismatches(
         expected, found = schema[name].value, F.col(f"t{i}")
         text = F.concat(
             F.col("record_id"),
-            F.lit(f".{name} is a "),
+            F.lit(": "),
             found,
-            F.lit(f" in the request but is defined as {expected} in the record type definition for {record_type}"),
+            F.lit(f" given for {expected} attribute {name} of {record_type}"),
         )
         problem = F.struct(F.lit(name).alias("attribute"), text.alias("message"))
         problems.append(F.when(found != expected, problem))

@@ -27,7 +27,7 @@ def stalled_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     """Unfinished jobs without an update for too long, with the error they get."""
     limit = F.expr(f"interval {STALLED_AFTER_HOURS} hours")
     open_ = F.col("status").isin(*NONTERMINAL_STATUSES)
-    message = f"Job failed to complete in {STALLED_AFTER_HOURS} hours."
+    message = f"no update for {STALLED_AFTER_HOURS} hours"
     return jobs.filter(open_ & (F.col("updated") < now - limit)).withColumns(
         {"status": F.lit("ERROR"), "error": F.lit(message)}
     )
@@ -174,9 +174,9 @@ def check_imports(
     matches = [_any(u.rlike(p) for p in s.urls) for s in sources]
     listed = _any(matches)
     problem = (
-        F.when(scheme.isNull(), "Invalid import URL.")
-        .when(~scheme_ok, F.concat(F.lit("Files may not be imported from "), scheme, F.lit(" URLs.")))
-        .when(~host_ok & ~listed, F.concat(F.lit("Files may not be imported from "), host, F.lit(".")))
+        F.when(scheme.isNull(), "not an absolute URL")
+        .when(~scheme_ok, F.concat(F.lit("scheme not allowed: "), scheme))
+        .when(~host_ok & ~listed, F.concat(F.lit("host not allowed: "), host))
     )
 
     def required(flag: str) -> Column:

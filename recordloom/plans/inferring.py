@@ -290,8 +290,7 @@ def relation_targets_query(spark, sf):
 
 @query(
     "type_mismatch",
-    f"""SELECT CAST(event_id AS VARCHAR) record_id, attribute, event_id || '.' || attribute || ' is a ' || k ||
-          ' in the request but is defined as ' || want || ' in the record type definition for event' AS message
+    f"""SELECT CAST(event_id AS VARCHAR) record_id, attribute, event_id || ': ' || k || ' given for ' || want || ' attribute ' || attribute || ' of event' AS message
         FROM (SELECT event_id, 'mixed' AS attribute, {_case(_TSV_TYPES["mixed"])} AS k, 'NUMBER' AS want FROM events
               UNION ALL SELECT event_id, 'listed', {_case(_TSV_TYPES["listed"])}, 'ARRAY_OF_NUMBER' FROM events)
         WHERE k <> want""",

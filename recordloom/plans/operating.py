@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import infer
 from recordloom.operators import jobs as J
+from recordloom.plans.changing import APPLIED, customers, event_feed
 from recordloom.plans.importing import scratch
 from recordloom.plans.registry import query
 from recordloom.plans.star import raw
 from recordloom.sinks.table import read_table
 from recordloom.sources.tsv import typed_cell
-from recordloom.plans.changing import APPLIED, customers, event_feed
 from recordloom.streaming.changes import read_records, start_changes, start_table
 from recordloom.streaming.decisions import start_decisions
 from recordloom.streaming.ingest import start_upserts
@@ -48,7 +48,7 @@ def jobs_of_collection(spark, sf):
 
 @query(
     "stalled_jobs",
-    f"""SELECT job_id, 'ERROR' AS status, 'Job failed to complete in 6 hours.' AS error FROM {_JOBS}
+    f"""SELECT job_id, 'ERROR' AS status, 'no update for 6 hours' AS error FROM {_JOBS}
         WHERE status <> 'SUCCEEDED' AND updated < TIMESTAMP '1999-01-01 12:00:00' - INTERVAL 6 HOUR""",
 )
 def stalled_jobs(spark, sf):
@@ -165,9 +165,9 @@ _HOST = "split_part(split_part(split_part(url, '/', 3), ':', 1), '?', 1)"
     f"""SELECT page_id, problem IS NULL AS allowed, coalesce(problem, '') AS problem, private AS private_workspace, private AS protected_policy,
           CASE WHEN private THEN 'curators,readers' ELSE '' END AS required_groups FROM (
           SELECT page_id, regexp_matches(url, '^https://[^/]*example[.]org') AS private,
-            CASE WHEN url LIKE 'http://%' THEN 'Files may not be imported from http URLs.'
+            CASE WHEN url LIKE 'http://%' THEN 'scheme not allowed: http'
                  WHEN NOT regexp_full_match({_HOST}, '.*[.]example[.]com') AND NOT regexp_matches(url, '^https://[^/]*example[.]org')
-                   THEN 'Files may not be imported from ' || {_HOST} || '.' END AS problem FROM pages)""",
+                   THEN 'host not allowed: ' || {_HOST} END AS problem FROM pages)""",
 )
 def import_rules(spark, sf):
     """Page addresses as import requests."""

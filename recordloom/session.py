@@ -57,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local["):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordloom-scratch"
     if context.getCheckpointDir() is None:

@@ -206,7 +206,7 @@ def test_import_rules(spark):
     rows = J.check_imports(requests, {"https": [r"ok\.org"], "drs": [r"d\.org"], "gs": ["bucket"]}, [source]).collect()
     assert [r["allowed"] for r in rows] == [True, True, False, False, True, True, False, False]
     assert rows[4]["private_workspace"] and rows[4]["required_groups"] == ["g1"] and not rows[0]["private_workspace"]
-    assert rows[2]["problem"] == "Files may not be imported from drs URLs." and rows[6]["problem"] == "Invalid import URL."
+    assert rows[2]["problem"] == "scheme not allowed: drs" and rows[6]["problem"] == "not an absolute URL"
 
 
 def test_catalog(spark):
