@@ -49,7 +49,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     small_batches(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordloom-scratch"
     path = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
