@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import infer
 from recordloom.operators import jobs as J
+from recordloom.operators.rules import apply_rules, host_of, path_of
 from recordloom.plans.changing import APPLIED, customers, event_feed
 from recordloom.plans.importing import scratch
 from recordloom.plans.registry import query
@@ -182,6 +183,38 @@ def import_rules(spark, sf):
     )
 
 
+_PLACES = """(SELECT page_id, lower(regexp_extract(url, '^[^:/?#]+://([^:/?#]*)', 1)) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)"""
+_RULES = f"""(SELECT host, path, min(page_id) AS n FROM (
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN host WHEN 1 THEN regexp_extract(host, '[^.]*[.]?[^.]*$') ELSE '' END AS host,
+           CASE page_id % 3 WHEN 2 THEN path ELSE regexp_extract(path, '^/[^/]*') END AS path FROM {_PLACES}) GROUP BY 1, 2)"""
+
+
+@query(
+    "import_rules_table",
+    f"""SELECT page_id AS request_id, count(n) AS rules, coalesce(bool_or(n % 2 = 0), false) AS private,
+               coalesce(bool_or(n % 5 = 0), false) AS protected, coalesce(string_agg(DISTINCT 'group' || (n % 7), ',' ORDER BY 'group' || (n % 7)), '') AS groups
+        FROM {_PLACES} p LEFT JOIN {_RULES} r
+          ON (p.host = r.host OR r.host = '' OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        GROUP BY 1""",
+)
+def import_rules_table(spark, sf):
+    """Page addresses under as many rules as pages give: by host, by domain with the first part of a path, by whole path."""
+    pages = raw(spark, sf, "pages").select("page_id", "url")
+    host, path, kind = host_of(F.col("url")), path_of(F.col("url")), F.col("page_id") % 3
+    first = F.regexp_extract(path, "^/[^/]*", 0)
+    places = pages.select(
+        "page_id", F.when(kind == 0, host).when(kind == 1, F.regexp_extract(host, "[^.]*[.]?[^.]*$", 0)).otherwise("").alias("host"),
+        F.when(kind == 2, path).otherwise(first).alias("path"),
+    )
+    n = F.col("n")
+    rules = places.groupBy("host", "path").agg(F.min("page_id").alias("n")).select(
+        n.cast("string").alias("rule_id"), "host", "path", F.lit(None).cast("string").alias("pattern"), (n % 2 == 0).alias("private"),
+        (n % 5 == 0).alias("protected"), F.array(F.concat(F.lit("group"), (n % 7).cast("string"))).alias("groups"),
+    )
+    found = apply_rules(pages, rules, request_id="page_id")
+    return found.select("request_id", "rules", "private", "protected", F.array_join("groups", ",").alias("groups"))
+
+
 # ---- streams ---------------------------------------------------------------
 
 
