@@ -11,6 +11,7 @@ aside, the others are written, and the problems are returned beside the table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -100,12 +101,14 @@ def set_aside(rows: DataFrame, key: str, check: Callable[[DataFrame], DataFrame]
     """``rows`` without those that ``check`` finds problems with, and the problems.
 
     Where rows may rely on each other (``again``), those left are checked until none has a problem; a round is needed
-    for each step of a chain of records that rely on one another. Each round's problems are checkpointed.
+    for each step of a chain of records that rely on one another. Each round's problems are a table in the shared folder.
     """
-    shared_dir(rows.sparkSession)
+    spark = rows.sparkSession
     found = None
     while True:
-        new = check(rows).checkpoint()
+        path = f"{shared_dir(spark).rstrip('/')}/problems-{uuid.uuid4().hex}"
+        check(rows).write.parquet(path)
+        new = spark.read.schema(PROBLEMS).parquet(path)
         found = new if found is None else found.unionByName(new)
         if new.isEmpty():
             return rows, found

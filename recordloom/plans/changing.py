@@ -196,10 +196,11 @@ def dangling_edges(spark, sf):
 
 
 def _orders_from_events(spark, sf):
-    """Events as orders of the customer with the user's number, whether there is one or not."""
+    """Events as orders of the customer with the user's number; every other one of a customer who isn't there."""
+    customer = F.col("user_id") + F.col("event_id") % 2 * 1_000_000_000
     events = raw(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("o_orderkey"), F.col("value").alias("o_totalprice"),
-        relation_uri("customer", F.col("user_id").cast("string")).alias("o_custkey"),
+        relation_uri("customer", customer.cast("string")).alias("o_custkey"),
     )
     return tag(events, "o_orderkey", {"o_custkey": AttributeType.RELATION})
 
@@ -215,7 +216,7 @@ def _guarded_upsert(spark, sf):
     "upsert_guarded",
     """SELECT CAST(coalesce(event_id, o_orderkey) AS VARCHAR) o_orderkey, CAST(coalesce(user_id, o_custkey) AS VARCHAR) o_custkey,
               coalesce(value, o_totalprice) AS o_totalprice
-       FROM orders FULL JOIN (SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) ON event_id = o_orderkey""",
+       FROM orders FULL JOIN (SELECT * FROM events WHERE event_id % 2 = 0 AND user_id IN (SELECT c_custkey FROM customer)) ON event_id = o_orderkey""",
 )
 def upsert_guarded(spark, sf):
     """Orders after an upsert that leaves out those of customers who don't exist."""
@@ -224,44 +225,48 @@ def upsert_guarded(spark, sf):
 
 @query(
     "upsert_guarded_problems",
-    """SELECT CAST(event_id AS VARCHAR) record_id, 'o_custkey' AS attribute, CAST(user_id AS VARCHAR) AS target,
-              'names no record' AS problem, CAST(NULL AS BIGINT) AS "references"
-       FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""",
+    """SELECT CAST(event_id AS VARCHAR) record_id, 'o_custkey' AS attribute, CAST(user_id + event_id % 2 * 1000000000 AS VARCHAR) AS target,
+              'names no record' AS problem
+       FROM events WHERE user_id + event_id % 2 * 1000000000 NOT IN (SELECT c_custkey FROM customer)""",
 )
 def upsert_guarded_problems(spark, sf):
     """What was left out, and why."""
-    return _guarded_upsert(spark, sf)[1]
+    return _guarded_upsert(spark, sf)[1].drop("references")
 
 
-_FAILED = "(SELECT DISTINCT user_id FROM events WHERE event_type = 'error')"
+_FAILED = "(SELECT DISTINCT user_id + event_id % 2 * 1000000000 AS user_id FROM events WHERE event_type = 'error')"
+_PENDING = "(SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 
 
 def _guarded_delete(spark, sf):
     tables = star(spark, sf)
-    failed = _ids(raw(spark, sf, "events").filter("event_type = 'error'"), "user_id")
-    return W.delete_request(tables["customer"], ids=failed, guard="report", collection=tables)
+    orders = tables["orders"]
+    pending = RecordTable("orders", orders.df.filter("o_orderstatus = 'P'"), orders.primary_key)
+    failed = raw(spark, sf, "events").filter("event_type = 'error'")
+    asked = _ids(failed.select((F.col("user_id") + F.col("event_id") % 2 * 1_000_000_000).alias("user_id")), "user_id")
+    return W.delete_request(tables["customer"], ids=asked, guard="report", collection=Collection.of(tables["customer"], pending))
 
 
 @query(
     "delete_guarded",
     f"""SELECT CAST(c_custkey AS VARCHAR) c_custkey, c_name FROM customer
-        WHERE c_custkey NOT IN (SELECT user_id FROM {_FAILED}) OR c_custkey IN (SELECT o_custkey FROM orders)""",
+        WHERE c_custkey NOT IN (SELECT user_id FROM {_FAILED}) OR c_custkey IN {_PENDING}""",
 )
 def delete_guarded(spark, sf):
-    """Customers without those asked for, but for the ones that orders refer to."""
+    """Customers without those asked for, but for the ones that pending orders refer to."""
     return _guarded_delete(spark, sf)[0].select("c_custkey", "c_name")
 
 
 @query(
     "delete_guarded_problems",
-    f"""SELECT CAST(user_id AS VARCHAR) record_id, CAST(NULL AS VARCHAR) AS attribute, CAST(NULL AS VARCHAR) AS target,
-              CASE WHEN n IS NULL THEN 'does not exist' ELSE 'is referred to' END AS problem, n AS "references"
-        FROM {_FAILED} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = user_id
+    f"""SELECT CAST(user_id AS VARCHAR) record_id, CASE WHEN n IS NULL THEN 'does not exist' ELSE 'is referred to' END AS problem,
+              coalesce(n, 0) AS "references"
+        FROM {_FAILED} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {_PENDING} GROUP BY 1) ON o_custkey = user_id
         WHERE n IS NOT NULL OR user_id NOT IN (SELECT c_custkey FROM customer)""",
 )
 def delete_guarded_problems(spark, sf):
     """Why the others could not go."""
-    return _guarded_delete(spark, sf)[1]
+    return _guarded_delete(spark, sf)[1].select("record_id", "problem", F.coalesce("references", F.lit(0)).alias("references"))
 
 
 # ---- edges -----------------------------------------------------------------

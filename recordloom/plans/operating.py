@@ -274,18 +274,22 @@ def stream_changes(spark, sf):
 def stream_classify(spark, sf):
     """A decision for each status update as it arrives, counted per job."""
     path = scratch(spark, "decisions")
-    start_decisions(_updates(_event_stream(spark, sf)), path, scratch(spark, "decisions-state"), None).awaitTermination()
+    # three events in a row are a job of their own
+    updates = _updates(_event_stream(spark, sf)).withColumn("job_id", F.floor(F.col("seq") / 3).cast("string"))
+    start_decisions(updates, path, scratch(spark, "decisions-state"), None).awaitTermination()
     made = spark.read.parquet(path)
     return made.groupBy("job_id").agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("accepted", "ignored", "rejected")])
 
 
 @query(
     "stream_stalled",
-    """SELECT CAST(user_id AS VARCHAR) job_id, 'ERROR' AS status FROM events GROUP BY user_id
+    """SELECT CAST(event_id // 3 AS VARCHAR) job_id, 'ERROR' AS status FROM events GROUP BY event_id // 3
        HAVING count(*) FILTER (event_type IN ('purchase', 'error')) = 0 AND max(ts) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events)""",
 )
 def stream_stalled(spark, sf):
     """Jobs without an end that had no update for six hours when the stream's time had moved on."""
     path = scratch(spark, "stalled")
-    start_decisions(_updates(_event_stream(spark, sf)), path, scratch(spark, "stalled-state")).awaitTermination()
+    # three events in a row are a job of their own
+    updates = _updates(_event_stream(spark, sf)).withColumn("job_id", F.floor(F.col("seq") / 3).cast("string"))
+    start_decisions(updates, path, scratch(spark, "stalled-state")).awaitTermination()
     return spark.read.parquet(path).where("decision = 'stalled'").select("job_id", "status")

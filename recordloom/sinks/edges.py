@@ -2,7 +2,8 @@
 
 Both copies are versioned Parquet in hash buckets, as records are. A delta rewrites the buckets that its ids fall into,
 which are different ones in the two copies. References to a record are read from the copy by ``to_id`` alone: the buckets
-of the ids asked for, and in them the row groups whose statistics admit them.
+of the ids asked for, and in them the row groups whose statistics admit them. Edges that a delta takes away stay in the
+buckets it writes, as not live, until these are written again: so a bucket that has lost all its edges is written too.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from recordloom.sinks.table import DEFAULT_BUCKETS, bucket, bucket_folders, next
 #: The columns that copies are dealt by.
 FROM, TO = "from_id", "to_id"
 _FULL, _DELTA = "version=", "upsert="
-SCHEMA = "from_id string, to_id string"
+SCHEMA = "from_id string, to_id string, live boolean"
 
 
 def write_edges(edges: DataFrame, path: str, version: int | None = None, buckets: int = DEFAULT_BUCKETS) -> int:
@@ -24,14 +25,15 @@ def write_edges(edges: DataFrame, path: str, version: int | None = None, buckets
     path = path.rstrip("/")
     number = next_version(edges.sparkSession, f"{path}/{FROM}") if version is None else version
     for side in (FROM, TO):
-        write_folder(edges.select(FROM, TO), f"{path}/{side}/{_FULL}{number}", side, buckets, version is not None)
+        write_folder(edges.select(FROM, TO, F.lit(True).alias("live")), f"{path}/{side}/{_FULL}{number}", side, buckets, version is not None)
     return number
 
 
 def _copy(spark: SparkSession, path: str, side: str, version: int | None, only: set[int] | None = None) -> DataFrame:
     folders, _ = bucket_folders(spark, f"{path.rstrip('/')}/{side}", version)
     wanted = [f for b, f in sorted(folders.items()) if only is None or b in only]
-    return spark.read.schema(SCHEMA).parquet(*wanted) if wanted else spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema(SCHEMA).parquet(*wanted) if wanted else spark.createDataFrame([], SCHEMA)
+    return rows.where("live").select(FROM, TO)
 
 
 def read_edges(spark: SparkSession, path: str, side: str = FROM, version: int | None = None) -> DataFrame:
@@ -53,7 +55,9 @@ def apply_stored_delta(spark: SparkSession, path: str, delta: DataFrame, version
     for side in (FROM, TO):
         _, count = bucket_folders(spark, f"{path}/{side}", number - 1)
         part = _copy(spark, path, side, number - 1, _touched(delta, side, count))
-        write_folder(apply_delta(part, delta), f"{path}/{side}/{_DELTA}{number}", side, count, version is not None)
+        live = apply_delta(part, delta).withColumn("live", F.lit(True))
+        gone = delta.where("not added").select(FROM, TO, F.lit(False).alias("live"))
+        write_folder(live.unionByName(gone), f"{path}/{side}/{_DELTA}{number}", side, count, version is not None)
     return number
 
 
