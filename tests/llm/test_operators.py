@@ -81,6 +81,11 @@ def test_short_items_are_found_as_they_are(spark, documents):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "5", "6", "None"]
 
 
+def test_sums_of_no_lengths(spark):
+    none = spark.createDataFrame([], "length long")
+    assert lengths.suffix_sums(lengths.length_histogram(none)).collect() == []
+
+
 def test_near_duplicate_filter_keeps_one_row_of_each_component(spark, documents):
     rows = [*ODD, *[(100 + i, " ".join(f"w{j}" for j in range(400)) + f" {i % 7}") for i in range(40)]]
     found = {}
