@@ -32,7 +32,8 @@ def with_place(rows: DataFrame, name: str) -> DataFrame:
         within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         placed = rows.select("*", file, (F.col("_metadata.file_block_start") + within).alias("sys_place"))
     number = F.shiftleft("sys_file_rank", FILE_BITS) + F.col("sys_place")
-    return placed.join(ranks, "sys_file").withColumn(name, number).drop("sys_file", "sys_file_rank", "sys_place")
+    # Spark doesn't know that this table is small: it would send the rows to it, or sort all rows of a file in one task
+    return placed.join(F.broadcast(ranks), "sys_file").withColumn(name, number).drop("sys_file", "sys_file_rank", "sys_place")
 
 
 def in_place(rows: DataFrame, name: str) -> DataFrame:

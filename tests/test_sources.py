@@ -16,6 +16,7 @@ from recordloom.sources import manifest as M
 from recordloom.sources import nested as N
 from recordloom.sources import operations as O
 from recordloom.sources import tsv as T
+from recordloom.sources.places import with_place
 from tests.conftest import collect
 
 SMALL = (
@@ -261,3 +262,18 @@ def test_a_nested_file_becomes_related_tables(spark, tmp_path):
     (tmp_path / "odd.json").write_text('{"id": "3", "object": {"n": 2}}')
     with pytest.raises(InvalidName):
         N.load_nested(N.read_nested(spark, str(tmp_path), "json"))
+
+
+def test_places_leave_rows_in_their_tasks(spark, tmp_path):
+    """One file's rows never meet in one task to learn its rank: the table of files goes to them, however large they look."""
+    path = str(tmp_path / "numbers")
+    spark.range(0, 1000, 1, 4).selectExpr("cast(id as string) AS id").write.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = with_place(spark.read.parquet(path), "place")
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert [r["id"] for r in placed.orderBy("place").collect()] == [str(n) for n in range(1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
