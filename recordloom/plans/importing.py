@@ -50,14 +50,14 @@ def tsv_scan(spark, sf):
        FROM (SELECT count(*) AS n FROM events) WHERE n > 1""",
 )
 def tsv_infer_files(spark, sf):
-    """Types of a column over two files: the first by name, which is the smaller one, has the dates or the date-times."""
+    """Types of a column over two folders of files: the first by name, which is the smaller one, has the dates or the date-times."""
     events = raw(spark, sf, "events")
     day, stamp = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     path = scratch(spark, "tsv-files")
     first = F.col("event_id") % 100 == 0
     for name, part, early, late in (("a", events.where(first), day, stamp), ("b", events.where(~first), stamp, day)):
         cells = part.select(F.col("event_id").cast("string").alias("id"), early.alias("later"), late.alias("sooner"), F.col("value").cast("string").alias("value"))
-        cells.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+        cells.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
     cells, key = T.read_tsv(spark, [f"{path}/a", f"{path}/b"])
     kinds = T.infer_tsv(cells, key)
     return spark.createDataFrame([(n, k.value) for n, k in kinds.items()], "attribute string, attribute_type string")
