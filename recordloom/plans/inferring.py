@@ -142,6 +142,8 @@ _MIXED = [*_TSV_TYPES, "widened", "narrowed", "numbers", "lists", "both"]
 def _mixed_cells(spark, sf):
     events = raw(spark, sf, "events")
     half = sum(events.agg(F.min("event_id"), F.max("event_id")).first()) / 2
+    # typing costs far more than reading: rows are dealt to all tasks, however few parts the files (or the upload's share of them) have
+    events = events.repartition(2 * spark.sparkContext.defaultParallelism, "event_id")
     early, failed, listed = F.col("event_id") <= half, F.col("event_type") == "error", F.concat(F.lit("["), "value", F.lit("]"))
     return tsv_cells(
         events,

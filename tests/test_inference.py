@@ -10,6 +10,7 @@ from recordloom.functions import infer
 from recordloom.functions import recognise as R
 from recordloom.model import AttributeType as A
 from recordloom.operators.inference import column_type_aggregate, infer_columns, infer_schema, select_best_type
+from recordloom.plans import inferring
 from tests.conftest import collect
 
 TSV_CELLS = [
@@ -127,3 +128,8 @@ def test_pieces_merge_in_any_order(spark, tmp_path):
         got = keep_summary(part, path, version)
     assert got == want and keep_summary(parts[2], path, 2) == want
     assert kept_summary(spark, path, 0).count() == 12
+
+
+def test_uploads_are_typed_by_all_tasks(spark, sf):
+    """Rows of a file that one task would read are dealt out before their cells are typed."""
+    assert inferring._mixed_cells(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
