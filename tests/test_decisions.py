@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 from recordloom.operators.jobs import classify_updates, fold_statuses
-from recordloom.streaming.decisions import start_decisions
+from recordloom.streaming.decisions import decide, start_decisions
 from tests.conftest import collect
 
 SCHEMA = "job_id string, seq long, status string, updated timestamp"
@@ -58,3 +58,15 @@ def test_jobs_are_folded_by_hash(spark):
     folded = fold_statuses(spark.createDataFrame(rows, "job_id string, seq long, status string"))
     assert collect(folded) == [("a", "SUCCEEDED", 2), ("b", "RUNNING", None), ("c", "ERROR", 4), ("d", "ERROR", 1)]
     assert "SortAggregate" not in folded._sc._jvm.PythonSQLUtils.explainString(folded._jdf.queryExecution(), "formatted")
+
+
+def test_states_go_to_python_in_batches(spark, tmp_path):
+    """A job costs no call to the state store of its own; nulls and large numbers come through."""
+    rows = [("a", 2**60 + 1, "RUNNING", at(0)), ("b", None, "ERROR", at(1)), (None, 2**60 + 3, None, at(2))]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    assert "TransformWithState" not in decide(stream, timedelta(hours=6))._jdf.queryExecution().logical().toString()
+    start_decisions(stream, path, str(tmp_path / "state")).awaitTermination()
+    got = collect(spark.read.parquet(path).select("job_id", "seq", "status", "decision"))
+    assert got == [(None, 2**60 + 3, None, "rejected"), ("a", 2**60 + 1, "RUNNING", "ignored"), ("b", None, "ERROR", "accepted")]
