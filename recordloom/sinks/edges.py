@@ -21,11 +21,12 @@ SCHEMA = "from_id string, to_id string, live boolean"
 
 
 def write_edges(edges: DataFrame, path: str, version: int | None = None, buckets: int = DEFAULT_BUCKETS) -> int:
-    """Write all edges in both orders as the next version, or the one named."""
+    """Write all edges in both orders as the next version, or the one named; the second copy is made from the first."""
     path = path.rstrip("/")
     number = next_version(edges.sparkSession, f"{path}/{FROM}") if version is None else version
     for side in (FROM, TO):
         write_folder(edges.select(FROM, TO, F.lit(True).alias("live")), f"{path}/{side}/{_FULL}{number}", side, buckets, version is not None)
+        edges = edges.sparkSession.read.schema(SCHEMA).parquet(f"{path}/{side}/{_FULL}{number}")
     return number
 
 
