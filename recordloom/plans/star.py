@@ -46,9 +46,9 @@ def records(spark: SparkSession, sf_dir: str, name: str) -> RecordTable:
 def order_lines(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """Distinct ``(from_id, to_id)`` edges from orders to what their lines name."""
     lines = raw(spark, sf_dir, "lineitem")
-    return lines.select(
-        F.col("l_orderkey").cast("string").alias("from_id"), F.col(column).cast("string").alias("to_id")
-    ).distinct()
+    # whole numbers differ where their texts do, and are half as large to tell apart
+    pairs = lines.select(F.col("l_orderkey").alias("from_id"), F.col(column).alias("to_id")).distinct()
+    return pairs.select(*[F.col(c).cast("string").alias(c) for c in pairs.columns])
 
 
 class _Tables(Mapping):
