@@ -63,6 +63,21 @@ def with_deltas(table: RecordTable, deltas: dict[str, DataFrame]) -> RecordTable
     return RecordTable(table.name, table.df, table.primary_key, held)
 
 
+def with_given_edges(table: RecordTable, records: DataFrame) -> RecordTable:
+    """``table`` with the edges that an upsert leaves: where no delta is to be kept, those of touched records go and the given ones come.
+
+    Edges are matched by the record they lead from alone, once.
+    """
+    ids = records.select(quoted(table.primary_key).alias("touched_id")).distinct()
+    held = {}
+    for relation, (target, edges) in table.edge_tables.items():
+        if relation in records.columns:
+            kept = edges.select("from_id", "to_id").join(ids, F.col("from_id") == F.col("touched_id"), "left_anti")
+            edges = kept.unionByName(given_edges(records, table.primary_key, relation))
+        held[relation] = (target, edges)
+    return RecordTable(table.name, table.df, table.primary_key, held)
+
+
 def without_edges_of(table: RecordTable, ids: DataFrame) -> RecordTable:
     """``table`` without the edges that lead from ``ids.record_id``, which are deleted."""
     gone = ids.select(F.col("record_id").alias("gone"))

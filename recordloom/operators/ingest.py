@@ -15,7 +15,7 @@ from recordloom.errors import Conflict, InvalidRelation
 from recordloom.functions.relation import relation_id
 from recordloom.model import META_TARGET, META_TYPE, Collection, RecordTable, check_name, quoted, tag, type_of
 from recordloom.model import AttributeType as A
-from recordloom.operators.edges import upserted_edges, with_deltas
+from recordloom.operators.edges import with_given_edges
 from recordloom.operators.evolve import evolve, widen_to
 from recordloom.operators.guards import check_guard, guarded_feed, guarded_records
 from recordloom.operators.inference import relation_targets
@@ -119,9 +119,7 @@ def merge_records(
     rows, problems = records.select(*columns), None
     if guard is not None:
         rows, problems = guarded_records(guard, collection, evolved, rows)
-    deltas = upserted_edges(evolved, rows)
-    after = evolved.with_df(upsert(evolved, rows.drop(*held), unique=unique))
-    after = with_deltas(after, deltas) if deltas else after
+    after = with_given_edges(evolved.with_df(upsert(evolved, rows.drop(*held), unique=unique)), rows)
     return after if problems is None else (after, problems)
 
 
