@@ -382,6 +382,35 @@ def test_common_and_rare_words_have_the_same_counts(spark, documents, monkeypatc
         assert a.base_score == pytest.approx(b.base_score)
 
 
+def test_one_occurrence_less_is_what_the_other_counts_give():
+    m = language_model
+    for zeros, ones in ((1, 0), (0, 1), (2, 0), (3, 1), (1, 4), (5, 1)):
+        level = round(np.log((ones + m.PRIOR) / (zeros + m.PRIOR)) * m.SCALE)
+        known = int(np.log2(zeros + ones + 1))
+        for bit, (z, o) in enumerate(((zeros - 1, ones), (zeros, ones - 1))):
+            if z >= 0 and o >= 0:
+                assert m.LESS[0][bit, known, level + 128] == round(np.log((o + m.PRIOR) / (z + m.PRIOR)) * m.SCALE)
+                assert m.LESS[1][bit, known, level + 128] == int(np.log2(z + o + 1))
+
+
+def test_all_training_units_teach_and_counts_pass_32_bits(spark, monkeypatch):
+    """Weights come from every unit, in any number of shares, and tables of 32 bits are handed on before they are full."""
+    m = language_model
+    rows = [(f"word{i} ".encode(), 1 + 40_000 // (i + 1)) for i in range(400)]
+    counted = spark.createDataFrame(rows, "unit binary, n long")
+    code = m.prefix_code(m.symbol_counts(counted))
+    levels, known = m.slot_tables(counted, code)
+    first = m.new_model(code, levels, known)
+    one = m.taught(first, counted)
+    half = m.taught(first, counted.limit(200))
+    assert not np.array_equal(one.weights, half.weights) and not np.array_equal(one.weights, first.weights)
+    monkeypatch.setattr(m, "SHARE_UNITS", 50)
+    assert np.isfinite(m.taught(first, counted).weights).all()
+    many = spark.createDataFrame([(b"aa ", 5_000_000_000), (b"b ", 3)], "unit binary, n long")
+    whole = m._slot_counts(many, code).groupBy("slot").sum("zeros", "ones").collect()
+    assert max(r[1] + r[2] for r in whole) == 5_000_000_003
+
+
 # --- URL filters -----------------------------------------------------------------------------------------------------
 
 
