@@ -72,7 +72,9 @@ def with_given_edges(table: RecordTable, records: DataFrame) -> RecordTable:
     held = {}
     for relation, (target, edges) in table.edge_tables.items():
         if relation in records.columns:
-            kept = edges.select("from_id", "to_id").join(ids, F.col("from_id") == F.col("touched_id"), "left_anti")
+            # as with a delta, an edge to nothing is never among those that go
+            gone = (F.col("from_id") == F.col("touched_id")) & F.col("to_id").isNotNull()
+            kept = edges.select("from_id", "to_id").join(ids, gone, "left_anti")
             edges = kept.unionByName(given_edges(records, table.primary_key, relation))
         held[relation] = (target, edges)
     return RecordTable(table.name, table.df, table.primary_key, held)

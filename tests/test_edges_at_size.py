@@ -17,14 +17,14 @@ def _plan(df):
 
 
 def test_an_upsert_matches_edges_by_their_record_once(spark):
-    edges = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "3")], "from_id string, to_id string")
+    edges = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "3"), ("c", None)], "from_id string, to_id string")
     table = RecordTable("t", tag(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), "id"), "id", {"parts": ("part", edges)})
     rows = [("a", ["2", "4"]), ("c", None)]
     uris = F.transform("parts", lambda p: relation_uri("part", p)).alias("parts")
     given = spark.createDataFrame(rows, "id string, parts array<string>").select("id", uris)
     given = tag(given, "id", {"parts": AttributeType.ARRAY_OF_RELATION})
     after = merge_records(table, "t", "id", given).edge_tables["parts"][1]
-    assert collect(after) == [("a", "2"), ("a", "4"), ("b", "1")]
+    assert collect(after) == [("a", "2"), ("a", "4"), ("b", "1"), ("c", None)]
     assert "bit_or" not in _plan(after)
 
 
