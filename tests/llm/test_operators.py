@@ -393,6 +393,76 @@ def test_one_occurrence_less_is_what_the_other_counts_give():
                 assert m.LESS[1][bit, known, level + 128] == int(np.log2(z + o + 1))
 
 
+def test_lots_of_texts_are_scored_as_each_alone(monkeypatch):
+    """The match model reads whole lots; each text costs what it does when its units are read one by one."""
+    m = language_model
+    rng = np.random.default_rng(5)
+    texts = [b" ".join(rng.choice([b"a", b"bb", b"c", b"the", b"of"], n)) for n in rng.integers(0, 60, 80)]
+    texts += [b"", b" ", b"\xff \xff", b"the end\n" * 40, b"w " * 5]
+    found, many = m.split(texts)
+    found = found.dictionary_encode()
+    distinct, unit = found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+    bits, left = m.matches(unit, many)
+
+    def one_by_one(text):
+        hits, tries, seen = [0.1, 2.0, 3.0, 3.6], [4.0] * 4, {}
+        cost, rest, at, length, before = 0.0, [], 0, 0, None
+        for i, u in enumerate(text):
+            if at:
+                kind, hit = min(length, 3), u == text[at]
+                chance = hits[kind] / tries[kind]
+                cost -= np.log2(chance if hit else 1 - chance)
+                tries[kind] += 1
+                hits[kind] += hit
+                at, length = (at + 1, length + 1) if hit else (0, 0)
+            else:
+                hit = False
+            if not hit:
+                rest.append(u)
+            at = at or seen.get((before, u), 0)
+            seen[before, u] = i + 1
+            before = u
+        return cost, rest
+
+    end = np.cumsum(many)
+    for text, a, b, cost in zip(texts, end - many, end, bits, strict=True):
+        want, rest = one_by_one(m.units(text))
+        assert cost == pytest.approx(want)
+        assert rest == [distinct[u] for u, stays in zip(unit[a:b], left[a:b], strict=True) if stays]
+
+    code = m.prefix_code([1] * 256)
+    levels = rng.integers(-120, 120, (len(m.CONTEXTS), 1 << m.SLOT_BITS)).astype(np.int8)
+    model = m.new_model(code, levels, rng.integers(0, m.LEVELS, 1 << m.SLOT_BITS).astype(np.int8))
+    together = m.Cache(model).costs(distinct, unit, many)
+    alone = [one_by_one(m.units(t)) for t in texts]
+    assert together == pytest.approx([cost + model.bits(b"".join(model.packed(rest))) for cost, rest in alone])
+    monkeypatch.setattr(m, "CACHED_UNITS", 3)
+    small = m.Cache(model)
+    assert all(small.costs(distinct, unit, many) == pytest.approx(together) and len(small) <= 3 for _ in range(3))
+
+
+def test_what_a_share_learns_from_is_looked_up_for_many_steps(monkeypatch):
+    """A step of the weights takes few units, but slots are not looked up anew for each; steps see units in their order."""
+    m = language_model
+    batch = [f"word{i} ".encode() for i in range(10 * m.LEARNT_AT_ONCE)]
+    code = m.prefix_code([1] * 256)
+    tables = np.zeros((len(m.CONTEXTS), 2 << m.SLOT_BITS), np.int32)
+    times = np.arange(1, len(batch) + 1)
+    m.add_counts(tables, batch, times, code)
+    zeros, ones = tables.reshape(len(m.CONTEXTS), -1, 2).transpose(2, 0, 1)
+    levels = np.round(np.clip(np.log((ones + m.PRIOR) / (zeros + m.PRIOR)), -m.LIMIT, m.LIMIT) * m.SCALE).astype(np.int8)
+    known = np.minimum(m.LEVELS - 1, np.log2(zeros + ones + 1)).astype(np.int8).ravel()
+    model = m.new_model(code, levels, known)
+    calls = []
+    look_up = m.unit_bits
+    monkeypatch.setattr(m, "unit_bits", lambda *args: calls.append(1) or look_up(*args))
+    weights, seen = model.online(batch, times, 1)
+    assert len(calls) < 5
+    monkeypatch.setattr(m, "UNITS_AT_ONCE", m.LEARNT_AT_ONCE)
+    same, as_many = model.online(batch, times, 1)
+    assert np.array_equal(weights, same) and np.array_equal(seen, as_many)
+
+
 def test_all_training_units_teach_and_counts_pass_32_bits(spark, monkeypatch):
     """Weights come from every unit, in any number of shares, and tables of 32 bits are handed on before they are full."""
     m = language_model
