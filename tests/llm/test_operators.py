@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyspark.sql.functions as F
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -441,6 +442,14 @@ def test_lots_of_texts_are_scored_as_each_alone(monkeypatch):
     assert all(small.costs(distinct, unit, many) == pytest.approx(together) and len(small) <= 3 for _ in range(3))
 
 
+def test_bytes_of_an_array_as_a_list():
+    for values in ([], [b""], [b"a", b"", b"\xff\x00b"], [b"x" * 300, b"yy"]):
+        for kind in (pa.binary(), pa.large_binary()):
+            found = pa.array(values, kind)
+            assert language_model.octets(found) == values
+            assert language_model.octets(found.slice(1)) == values[1:]
+
+
 def test_what_a_share_learns_from_is_looked_up_for_many_steps(monkeypatch):
     """A step of the weights takes few units, but slots are not looked up anew for each; steps see units in their order."""
     m = language_model
